@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import state  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
