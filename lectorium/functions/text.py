@@ -140,7 +140,7 @@ def join_title(lines: Column) -> Column:
     return F.aggregate(
         F.filter(lines, lambda x: F.trim(x) != ""),
         F.lit(""),
-        lambda acc, x: F.when(acc == "", F.trim(x)).when(acc.rlike(r"[.!?…:;,]$"), F.concat(acc, F.lit(" "), F.trim(x))).otherwise(F.concat(acc, F.lit(". "), F.trim(x))),
+        lambda acc, x: F.when(acc == "", F.trim(x)).when(acc.rlike(r"[.!?…:;,]\z"), F.concat(acc, F.lit(" "), F.trim(x))).otherwise(F.concat(acc, F.lit(". "), F.trim(x))),
     )
 
 

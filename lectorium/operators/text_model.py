@@ -1,0 +1,222 @@
+"""Documents as tables of blocks: plain text, HTML, FB2, EPUB and positioned lines of pages."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.encoding import decode_bytes
+from . import markup
+from .markup import Block
+
+COLUMNS = "block int, kind string, level int, chapter int, text string, marks array<struct<kind: string, s: int, e: int>>, notes array<struct<pos: int, note: string>>, sentences array<struct<s: int, e: int>>"
+
+HEADING = re.compile(r"(?:глава|часть|книга|том|раздел|пролог|эпилог|введение|предисловие|послесловие|chapter|part|book|volume|section|prologue|epilogue|introduction|preface)\b.{0,80}", re.I)
+NUMBERED = re.compile(r"(?:[IVXLC]{1,7}|\d{1,3})\.?")
+
+
+def is_heading(line: str, alone: bool) -> bool:
+    """Whether a line reads as a heading: it names a part, is a lone number, or stands alone in capitals."""
+    text = line.strip()
+    if not text or len(text) > 90 or text[-1] in ",;:-":
+        return False
+    letters = [c for c in text if c.isalpha()]
+    shouted = alone and len(letters) > 2 and all(c.isupper() for c in letters)
+    return bool(HEADING.fullmatch(text)) or alone and bool(NUMBERED.fullmatch(text)) or shouted
+
+
+def txt_book(text: str) -> list[Block]:
+    """Paragraphs of a plain text.
+
+    If lines are as wide as lines of a page (most between 40 and 90 characters), a paragraph
+    goes on over lines until a blank or indented line or a line that ends short; else each
+    line is one. Three short lines in a row or more are verse.
+    """
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    sizes = sorted(len(x.rstrip()) for x in lines if x.strip())
+    wide = sizes[len(sizes) * 9 // 10] if sizes else 0
+    wrapped = len(sizes) > 20 and 40 <= wide <= 90
+    blocks: list[Block] = []
+    held: list[str] = []
+
+    def flush() -> None:
+        if held:
+            joined = re.sub(r"\s+", " ", re.sub(r"(?<=\w)-\n(?=[a-zа-яё])", "", "\n".join(held))).strip()
+            if joined:
+                blocks.append(Block("p", joined))
+            held.clear()
+
+    for k, line in enumerate(lines):
+        above = k == 0 or not lines[k - 1].strip()
+        below = k + 1 == len(lines) or not lines[k + 1].strip()
+        if not line.strip():
+            flush()
+        elif is_heading(line, above and below):
+            flush()
+            blocks.append(Block("title", re.sub(r"\s+", " ", line).strip(), level=1))
+        elif not wrapped:
+            flush()
+            held.append(line)
+            flush()
+        else:
+            if held and (line[:1].isspace() and not held[-1][:1].isspace()):
+                flush()
+            held.append(line)
+            if len(line.rstrip()) < 0.7 * wide and line.rstrip()[-1:] in ".!?…»\"":
+                flush()
+    flush()
+    return blocks
+
+
+def rows_of(blocks: list[Block]) -> list[tuple]:
+    """Blocks as rows; a chapter begins at each title, and blocks before the first are in chapter -1."""
+    out, chapter = [], -1
+    for k, b in enumerate(blocks):
+        chapter += b.kind == "title"
+        out.append(
+            (k, b.kind, b.level, chapter, b.text, [{"kind": m, "s": s, "e": e} for m, s, e in b.marks], [{"pos": p, "note": n} for p, n in b.notes], [{"s": s, "e": e} for s, e in b.sentences()])
+        )
+    return out
+
+
+def blocks_of(df: DataFrame, id_col: str, content_col: str, kernel: Callable[[object], list[Block]]) -> DataFrame:
+    """Rows of blocks for each document; a null content has none."""
+    names = [id_col, *(c.split(" ")[0] for c in re.split(r", (?=\w+ (?:int|string|array))", COLUMNS))]
+
+    def work(batches):
+        for pdf in batches:
+            for doc, content in zip(pdf[id_col], pdf[content_col]):
+                rows = rows_of(kernel(content)) if content is not None else []
+                if rows:
+                    yield pd.DataFrame([(doc, *r) for r in rows], columns=names)
+
+    return df.select(id_col, content_col).mapInPandas(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {COLUMNS}")
+
+
+def txt_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return blocks_of(df, id_col, text_col, txt_book)
+
+
+def html_blocks(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    return blocks_of(df, id_col, html_col, lambda x: markup.html_book(x)[0])
+
+
+def file_blocks(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """Blocks of files of any kind that ``markup.sniff`` knows; a PDF needs its lines, so it has none here."""
+
+    def read(raw) -> list[Block]:
+        raw = markup.single_member(bytes(raw))
+        kind = markup.sniff(raw)
+        if kind == "epub":
+            return markup.epub_book(raw)[0]
+        text = decode_bytes(raw)
+        return markup.fb2_book(text)[0] if kind == "fb2" else markup.html_book(text)[0] if kind in ("html", "htm") else [] if kind == "pdf" else txt_book(text)
+
+    return blocks_of(df, id_col, content_col, read)
+
+
+def html_notes(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Footnotes of pages: note id and text."""
+
+    def work(batches):
+        for pdf in batches:
+            rows = [(doc, n, x) for doc, s in zip(pdf[id_col], pdf[html_col]) if s is not None for n, x in markup.html_book(s)[1].items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=[id_col, "note", "text"])
+
+    return df.select(id_col, html_col).mapInPandas(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, note string, text string")
+
+
+def html_links(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Links of pages in order: position, address and text, read without a tree."""
+    found = F.regexp_extract_all(html_col, F.lit(r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>.*?</a>"), F.lit(0))
+    rows = df.select(id_col, F.posexplode(found).alias("pos", "_a"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("_a", r"(?s)<[^>]*>", ""), r"\s+", " "))
+    return rows.select(id_col, "pos", F.regexp_extract("_a", r"(?is)href=\"([^\"]*)\"", 1).alias("href"), text.alias("text"))
+
+
+# Pages of positioned lines
+
+
+def page_lines_book(lines: list[tuple[int, str, float, float, float, float, bool]]) -> list[Block]:
+    """Blocks from lines (page, text, x0, x1, y, size, bold), y growing upward.
+
+    Running heads and page numbers go; lines larger than the body or bold and short are
+    titles; an indent, a gap or a short line before ends a paragraph; hyphens at line ends join.
+    """
+    lines = sorted(lines, key=lambda r: (r[0], -round(r[4]), r[2]))
+    pages = {r[0] for r in lines}
+    edges: Counter = Counter()
+    by_page: dict[int, list] = {}
+    for r in lines:
+        by_page.setdefault(r[0], []).append(r)
+    key = lambda t: re.sub(r"\d+", "#", t.strip().lower())
+    for own in by_page.values():
+        edges.update({key(own[0][1]), key(own[-1][1])})
+    heads = {k for k, n in edges.items() if n >= max(3, len(pages) / 2)}
+    kept = [r for own in by_page.values() for i, r in enumerate(own) if not (i in (0, len(own) - 1) and (key(r[1]) in heads or re.fullmatch(r"\W*\d{1,4}\W*", r[1])))]
+    if not kept:
+        return []
+    body = Counter(round(r[5], 1) for r in kept).most_common(1)[0][0]
+    left = Counter(round(r[2]) for r in kept).most_common(1)[0][0]
+    rights = sorted(r[3] for r in kept)
+    right = rights[len(rights) * 9 // 10]
+    vocabulary = Counter(w.lower() for r in kept for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", r[1])[:-1])
+    blocks: list[Block] = []
+    held: list[str] = []
+
+    def flush() -> None:
+        text = ""
+        for piece in held:
+            text = join_hyphen(text, piece, vocabulary)
+        if text:
+            blocks.append(Block("p", text))
+        held.clear()
+
+    before = None
+    for r in kept:
+        title = r[5] > body + 0.9 or r[6] and len(r[1]) < 80
+        gap = before is not None and before[0] == r[0] and before[4] - r[4] > 1.8 * max(body, 1)
+        short = before is not None and before[3] < right - 0.15 * (right - left)
+        if title:
+            flush()
+            blocks.append(Block("title", re.sub(r"\s+", " ", r[1]).strip(), level=1))
+        else:
+            if r[2] > left + 0.8 * body or gap or short:
+                flush()
+            held.append(r[1].strip())
+        before = r
+    flush()
+    return blocks
+
+
+PARTICLES = frozenset("то либо нибудь таки ка".split())
+
+
+def join_hyphen(text: str, piece: str, vocabulary: Counter) -> str:
+    """Two lines as one; a hyphen at the end stays before a particle or where the vocabulary has the word with it more often."""
+    if not text:
+        return piece
+    last = re.search(r"([^\W\d_]+)-$", text)
+    first = re.match(r"[^\W\d_]+", piece)
+    if not last or not first:
+        return f"{text} {piece}"
+    whole, split = (last[1] + first[0]).lower(), f"{last[1]}-{first[0]}".lower()
+    stays = first[0].lower() in PARTICLES or first[0][0].isupper() or vocabulary[split] > vocabulary[whole]
+    return text + piece if stays else text[:-1] + piece
+
+
+def page_line_blocks(df: DataFrame, id_col: str) -> DataFrame:
+    """Blocks per document from rows (id, page, text, x0, x1, y, size, bold), one document a group."""
+    names = [id_col, *(c.split(" ")[0] for c in re.split(r", (?=\w+ (?:int|string|array))", COLUMNS))]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = list(pdf[["page", "text", "x0", "x1", "y", "size", "bold"]].itertuples(index=False, name=None))
+        return pd.DataFrame([(pdf[id_col].iloc[0], *r) for r in rows_of(page_lines_book(lines))], columns=names)
+
+    return df.groupBy(id_col).applyInPandas(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {COLUMNS}")
