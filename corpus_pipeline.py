@@ -20,10 +20,9 @@ TOXIC = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below ``TOXIC``, by a model fitted on them and the labels."""
-    columns = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_kept_text", F.col("text")), model, keep=(*columns, "_kept_text"))
-    return scored.where(F.col("score") < TOXIC).withColumnRenamed("_kept_text", "text").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return toxicity.score(rows, model, keep=("row",)).where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,11 @@ def squeeze(text: Column) -> Column:
 def table_partitions(df: DataFrame) -> int:
     """How many partitions a shuffle of ``df`` gets."""
     return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -277,7 +277,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most:
     own = pages.where(F.lower(html_col).rlike("<(article|main)[\\s>]")).select(F.col(id_col).alias("_id"))
     chosen = own.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
     rows = pages.join(F.broadcast(chosen), pages[id_col] == chosen["_id"]).select("_id", html_col).orderBy("_id").limit(most).collect()
-    return train([r[1] for r in rows])
+    return train([r[1] for r in rows if r[1]])
 
 
 def extract_text(pages: DataFrame, weights: TagWeights, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
