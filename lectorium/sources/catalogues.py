@@ -13,7 +13,8 @@ from .. import schema
 class CatalogueSource(DataSource):
     """``spark.read.format("catalogue").option("hits", json_lines)``: each line a hit; missing keys are null.
 
-    ``option("partitions", n)`` deals the lines to that many readers.
+    ``option("partitions", n)`` deals the lines to that many readers. Equalities are pushed
+    down, which takes ``spark.sql.python.filterPushdown.enabled``.
     """
 
     @classmethod
