@@ -12,8 +12,9 @@ a subset holds about one of its terms, so that long and short documents can be c
 from __future__ import annotations
 
 import hashlib
-import re
+import string
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,27 +32,26 @@ TABLE_BITS = 22
 LEAST_DOCUMENTS = 2
 MOST_SHARE = 0.1
 SUBSETS = 48
-#: Hexadecimal digits of one subset's hash.
-DIGITS = 4
 
-WORD = re.compile(r"[^\W_]+")
+#: ASCII signs part words as white space does.
+SIGNS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, SUBSETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class TermIds(dict):
     """64-bit ids of terms; forgets them when there are too many."""
 
-    def __missing__(self, term: str) -> int:
+    def __missing__(self, term: bytes) -> int:
         self[term] = value = xxhash.xxh64_intdigest(term, seed=5)
         return value
 
 
 def terms(text: str, ids: TermIds) -> np.ndarray:
-    """Sorted distinct 64-bit ids of the words of a text."""
-    words = set(WORD.findall(text.lower()))
-    if len(ids) > 700_000:
+    """Sorted distinct 64-bit ids of the lower-case words of a text."""
+    words = text.lower().encode().translate(SIGNS).split()
+    if len(ids) > 300_000:
         ids.clear()
-    return np.sort(np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)))
+    return np.unique(np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)))
 
 
 def bucket(ids: np.ndarray) -> np.ndarray:
@@ -65,7 +65,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENT
         counts, ids = np.zeros(1 << TABLE_BITS, np.int64), TermIds()
         for batch in batches:
             for text in batch.column(0):
-                counts[np.unique(bucket(terms(text.as_py() or "", ids)))] += 1
+                own = bucket(terms(text.as_py() or "", ids))
+                counts[own[np.diff(own, prepend=-1) != 0]] += 1  # in order, as the ids are
         found = np.nonzero(counts)[0]
         for i in range(0, len(found), 100_000):
             part = found[i : i + 100_000]
@@ -81,48 +82,48 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENT
     return np.unpackbits(mask.view(np.uint8), bitorder="little").astype(bool)
 
 
-def fingerprint(text: str, inside: np.ndarray, ids: TermIds) -> str:
-    """``level:hashes`` of three levels; an empty subset's hash is zero; without words it is ``-``.
+@dataclass
+class Fingerprint:
+    """Hashes of the subsets of three levels, 0 for an empty one; no levels without words."""
 
-    A text without any term of the lexicon is fingerprinted by all its terms.
-    """
+    level: int
+    hashes: np.ndarray
+
+    def __str__(self) -> str:
+        return f"{self.level}:{self.hashes.astype('>u2').tobytes().hex()}" if self.level >= 0 else "-"
+
+
+def fingerprint(text: str, inside: np.ndarray, ids: TermIds) -> Fingerprint:
+    """The fingerprint of a text; one without any term of the lexicon is fingerprinted by all its terms."""
     own = terms(text, ids)
     kept = own[inside[bucket(own)]] if len(own) else own
     if not len(kept):
         kept = own
     if not len(kept):
-        return "-"
-    level = int(np.log2(len(kept)))
-    levels = (level, level + 1, level + 2)
-    top = np.uint64(64 - levels[0]) if levels[0] else None
-    sums = np.zeros((3, SUBSETS), np.uint64)
+        return Fingerprint(-1, np.zeros((3, SUBSETS), np.uint64))
+    level = len(kept).bit_length() - 1
+    sums = np.zeros(3 * SUBSETS, np.uint64)
     for i in range(0, len(kept), 8192):
-        part = kept[i : i + 8192]
-        place = mix(part)[:, None] * _FACTORS[None, :]
-        term, subset = np.nonzero(place >> top == 0) if top is not None else np.nonzero(np.ones(place.shape, bool))
-        for k, one in enumerate(levels):
-            chosen = place[term, subset] >> np.uint64(64 - one) == 0 if one else np.ones(len(term), bool)
-            np.add.at(sums[k], subset[chosen], mix(part[term[chosen]]))
-    digests = (mix(sums) % np.uint64(16**DIGITS - 1) + np.uint64(1)) * (sums != 0)
-    return f"{level}:" + "".join(f"{int(x):0{DIGITS}x}" for x in digests.ravel())
-
-
-def _levels(print_: str) -> dict[int, list[str]]:
-    level, _, hexes = print_.partition(":")
-    width = DIGITS * SUBSETS
-    return {int(level) + k: [hexes[k * width + i : k * width + i + DIGITS] for i in range(0, width, DIGITS)] for k in range(3)}
+        part = mix(kept[i : i + 8192])
+        place = part[:, None] * _FACTORS[None, :]
+        term, subset = np.nonzero(place < np.uint64(1 << (64 - level))) if level else np.nonzero(np.ones(place.shape, bool))
+        chosen, value = place[term, subset], mix(part[term])
+        once, twice = chosen < np.uint64(1 << (63 - level)), chosen < np.uint64(1 << (62 - level))
+        np.add.at(sums, np.concatenate([subset, SUBSETS + subset[once], 2 * SUBSETS + subset[twice]]), np.concatenate([value, value[once], value[twice]]))
+    return Fingerprint(level, ((mix(sums) % np.uint64(2**16 - 1) + np.uint64(1)) * (sums != 0)).reshape(3, SUBSETS))
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """The share of equal hashes among the subsets in which either text has a term, over the levels that both have."""
-    if a == b:
-        return 1.0
-    if "-" in (a, b):
+    if a.level < 0 or b.level < 0:
+        return float(a.level == b.level)
+    apart = b.level - a.level
+    if abs(apart) > 2:
         return 0.0
-    x, y = _levels(a), _levels(b)
-    empty = "0" * DIGITS
-    pairs = [(p, q) for k in x.keys() & y.keys() for p, q in zip(x[k], y[k]) if not p == q == empty]
-    return sum(p == q for p, q in pairs) / len(pairs) if pairs else 0.0
+    x = a.hashes[max(0, apart) : 3 + min(0, apart)]
+    y = b.hashes[max(0, -apart) : 3 + min(0, -apart)]
+    used = np.count_nonzero(x | y)
+    return np.count_nonzero((x == y) & (x != 0)) / used if used else float(a.level == b.level and np.array_equal(a.hashes, b.hashes))
 
 
 def edit(text: str, following: str) -> str:
@@ -138,7 +139,7 @@ def fingerprint_documents(docs: DataFrame, inside: np.ndarray, id_col: str = "do
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids = np.unpackbits(shared.value).astype(bool), TermIds()
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([fingerprint(t.as_py() or "", table, ids) for t in batch.column(1)])], names=["id", "fingerprint"])
+            yield pa.record_batch([batch.column(0), pa.array([str(fingerprint(t.as_py() or "", table, ids)) for t in batch.column(1)])], names=["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_col)
     return rows.mapInArrow(work, f"id {rows.schema[0].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
@@ -201,7 +202,7 @@ def compare_edited(docs: DataFrame, inside: np.ndarray, id_col: str = "doc_id",
                 if last and last[0] == part and not last[4]:
                     changed = edit(last[2], text)
                     other = fingerprint(changed, table, known)
-                    out.append((None if last[1] == -(2**63) else last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), last[3], other, likeness(last[3], other), likeness(last[3], own)))
+                    out.append((None if last[1] == -(2**63) else last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), str(last[3]), str(other), likeness(last[3], other), likeness(last[3], own)))
                 last = (part, doc, text, own, guest)
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
