@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few
+from .common import checkpoint, few, fresh
 
 MIN_SITES = 10
 #: Base-2 logarithm of a sketch's registers: a relative standard error of 1.6 %.
@@ -36,16 +36,13 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> D
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes (_hi, _lo) of the ``lines`` (as of ``occurrences``, checkpointed) on ``min_sites`` sites or more."""
     lines = lines.where(F.col("_site").isNotNull())
-    # A line in fewer rows than sites are asked for needs no sketch: these counts are plain numbers.
-    often = lines.groupBy("_hi", "_lo").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites).select("_hi", "_lo")
-    often = few(checkpoint(often))
-    repeated = lines.join(often, ["_hi", "_lo"], "left_semi")
-    sketches = repeated.groupBy("_hi", "_lo").agg(F.hll_sketch_agg("_site", F.lit(SKETCH_BITS)).alias("_sketch"))
+    # Counts and sketches are combined in each task before they meet, however popular a line is.
+    sketches = lines.groupBy("_hi", "_lo").agg(F.count(F.lit(1)).alias("_n"), F.hll_sketch_agg("_site", F.lit(SKETCH_BITS)).alias("_sketch")).where(F.col("_n") >= min_sites)
     sketched = checkpoint(sketches.select("_hi", "_lo", F.hll_sketch_estimate("_sketch").alias("_sites")))
     margin = max(1.0, BAND * min_sites)
     clear = sketched.where(F.col("_sites") > min_sites + margin).select("_hi", "_lo")
     near = checkpoint(sketched.where(F.abs(F.col("_sites") - min_sites) <= margin).select("_hi", "_lo"))
-    sites = repeated.join(few(near), ["_hi", "_lo"], "left_semi").select("_hi", "_lo", "_site").distinct()
+    sites = lines.join(few(near), ["_hi", "_lo"], "left_semi").select("_hi", "_lo", "_site").distinct()
     exact = sites.groupBy("_hi", "_lo").count().where(F.col("count") >= min_sites)
     return clear.union(exact.select("_hi", "_lo"))
 
@@ -65,19 +62,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = checkpoint(occurrences(docs, id_col, text_col, site_col))
     spread = checkpoint(spread_lines(every, min_sites))
     places = checkpoint(every.join(few(spread), ["_hi", "_lo"], "left_semi").select("_hi", "_lo", "_id", "_pos"))
-    first = places.groupBy("_hi", "_lo").agg(F.min(F.struct("_id", "_pos")).alias("_first"))
-    surplus = places.join(first, ["_hi", "_lo"]).where(~F.struct("_id", "_pos").eqNullSafe(F.col("_first")))
-    gone = surplus.groupBy("_id").agg(F.collect_set("_pos").alias("_gone"))
+    first = checkpoint(places.groupBy("_hi", "_lo").agg(F.min(F.struct("_id", "_pos")).alias("_first")))
+    surplus = places.join(few(first), ["_hi", "_lo"]).where(~F.struct("_id", "_pos").eqNullSafe(F.col("_first")))
+    own, key = fresh("_gone", docs), fresh("_key", docs)
+    gone = surplus.groupBy(F.col("_id").alias(key)).agg(F.collect_set("_pos").alias(own))
 
     lines = F.split(text_col, "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(gone, docs[id_col] == gone["_id"], "left")
+    joined = docs.join(gone, F.col(id_col) == F.col(key), "left")
     return joined.withColumns(
         {
-            text_col: F.when(F.col("_gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(cleaned),
+            text_col: F.when(F.col(own).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(cleaned),
             "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"),
-            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
+            "n_removed": F.when(F.col(own).isNull(), 0).otherwise(F.size(own)).cast("long"),
         }
     ).select(*docs.columns, "n_lines", "n_removed")
