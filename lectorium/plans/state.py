@@ -182,7 +182,7 @@ def q_sessions(t: Tables) -> DataFrame:
 
 @query(_SESSIONS + """
 SELECT user_id, CAST(CAST(session_start AS DATE) AS VARCHAR) AS day, count(*) AS n_sessions,
-       sum(epoch_us(session_end) // 1000 - epoch_us(session_start) // 1000) FILTER (WHERE session_end - session_start >= INTERVAL 2 SECOND) AS ms
+       CAST(sum(epoch_us(session_end) // 1000 - epoch_us(session_start) // 1000) FILTER (WHERE session_end - session_start >= INTERVAL 2 SECOND) AS BIGINT) AS ms
 FROM sessions GROUP BY ALL
 """)
 def q_session_days(t: Tables) -> DataFrame:

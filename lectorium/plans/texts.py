@@ -82,7 +82,7 @@ def q_place_of_word(t: Tables) -> DataFrame:
     return seq.asof(asked, cum.select("doc_id", "before", "block"), ["doc_id"], "word", "before", ["block"])
 
 
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto FROM conversations")
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM conversations")
 def q_conv_blocks(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     return t.conversations.select("conv_id", "turn", "role", (F.row_number().over(w) - 1).alias("block"), F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
@@ -150,7 +150,7 @@ def q_match_share(t: Tables) -> DataFrame:
 
 @query(_GRAMS + """
 , b AS (SELECT doc_id, pos // 40 AS block, count(*) AS n FROM tg GROUP BY ALL), h AS (SELECT doc_id, text_pos // 40 AS block, count(*) AS hits FROM hits GROUP BY ALL)
-SELECT b.doc_id, count(*) AS silent, sum(b.n) AS words FROM b LEFT JOIN h ON b.doc_id = h.doc_id AND b.block = h.block WHERE b.n >= 6 AND h.hits IS NULL AND b.doc_id IN (SELECT doc_id FROM hits) GROUP BY 1
+SELECT b.doc_id, count(*) AS silent, CAST(sum(b.n) AS BIGINT) AS words FROM b LEFT JOIN h ON b.doc_id = h.doc_id AND b.block = h.block WHERE b.n >= 6 AND h.hits IS NULL AND b.doc_id IN (SELECT doc_id FROM hits) GROUP BY 1
 """)
 def q_silent_blocks(t: Tables) -> DataFrame:
     hits = _hits(t)
