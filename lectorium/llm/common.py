@@ -40,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_narrow(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
+    """A checkpoint of narrow rows, in as many partitions as these rows are worth."""
+    kept = checkpoint(df)
+    return kept.coalesce(kept.count() // rows_each + 1)
+
+
 def few(keys: DataFrame) -> DataFrame:
     """``keys`` with a broadcast hint if counting shows that it has few enough rows.
 

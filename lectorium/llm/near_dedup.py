@@ -7,23 +7,24 @@ ordered from the rarest; sharing ``MATCHES`` of them means that one lies in each
 prefix, which leaves out that many less one of the most frequent. So long postings, as of
 a passage that many documents share, are skipped. All links are confirmed on full sets.
 
-Within a posting, all sets are first held against the smallest one; what that joins into
-one component needs no further look. Only sets of different components in one posting
-are then compared, in blocks.
+Each set is first held against the smallest set of each of its postings and against those
+of its longest posting that share the most pairs; what that joins into one component
+needs no further look. Only sets of one posting that are still in different components
+are then all compared, in blocks, where their full sets are at hand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few
+from .common import checkpoint, checkpoint_narrow, few
 from .components import connected_components
 
 SHINGLE = 5
@@ -63,7 +64,7 @@ def shingles(text: bytes, ids: WordIds, size: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    if len(ids) > 1_000_000:
+    if len(ids) > 400_000:
         ids.clear()
     codes = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
     n = len(words) - size + 1
@@ -120,42 +121,228 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """``_rep`` and ``_key`` of the prefix of each class (_rep, _sig) that can have a partner."""
-    posted = classes.select("_rep", F.explode("_sig").alias("_key"))
+    """The prefix of each class (_rep, _sig) that can have a partner: _rep, _key, the coordinate ``_c``,
+    how many classes have the pair (``_n``), and the coordinates of the whole prefix as bits (``_mask``)."""
+    posted = classes.select("_rep", F.posexplode("_sig").alias("_c", "_key"))
     common = posted.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    own = posted.join(common, "_key").groupBy("_rep").agg(F.sort_array(F.collect_list(F.struct("_n", "_key"))).alias("_keys"))
+    own = posted.join(common, "_key").groupBy("_rep").agg(F.sort_array(F.collect_list(F.struct("_n", "_key", "_c"))).alias("_keys"))
     prefix = own.where(F.size("_keys") >= matches).select("_rep", F.slice("_keys", F.lit(1), F.size("_keys") - matches + 1).alias("_keys"))
-    return prefix.select("_rep", F.explode("_keys").alias("_entry")).select("_rep", F.col("_entry")["_key"].alias("_key"))
+    mask = F.aggregate("_keys", F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k["_c"])))
+    return prefix.select("_rep", mask.alias("_mask"), F.explode("_keys").alias("_entry")).select("_rep", "_mask", "_entry.*")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
-    """Pairs (a, b) that share ``matches`` coordinates and the percentage of their full sets; ``sets``: _id, _sig, _shingles."""
-    left = sets.select(F.col("_id").alias("a"), F.col("_sig").alias("_sa"), F.col("_shingles").alias("_ha"))
-    right = sets.select(F.col("_id").alias("b"), F.col("_sig").alias("_sb"), F.col("_shingles").alias("_hb"))
+def sharing(pairs: DataFrame, shorts: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """Pairs (a, b) that share ``matches`` coordinates, by 15 bits of them (_rep, _short), so never too few."""
+    left = shorts.select(F.col("_rep").alias("a"), F.col("_short").alias("_sa"))
+    right = shorts.select(F.col("_rep").alias("b"), F.col("_short").alias("_sb"))
     same = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda x: x))
+    return pairs.join(left, "a").join(right, "b").where(same >= matches).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose full ``sets`` (_id, _shingles) share the percentage."""
+    left = sets.select(F.col("_id").alias("a"), F.col("_shingles").alias("_ha"))
+    right = sets.select(F.col("_id").alias("b"), F.col("_shingles").alias("_hb"))
     shared = F.size(F.array_intersect("_ha", "_hb"))
     union = F.size("_ha") + F.size("_hb") - shared
-    return pairs.join(left, "a").join(right, "b").where(same >= matches).where(100 * shared >= percent * union).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * union).select("a", "b")
+
+
+@dataclass
+class Block:
+    """Sets of one block of a posting: ids, components, prefixes as bits, coordinates, and maybe full sets."""
+
+    rep: np.ndarray
+    component: np.ndarray
+    mask: np.ndarray
+    short: np.ndarray
+    shingles: np.ndarray
+
+    def __getitem__(self, rows: np.ndarray) -> Block:
+        return Block(self.rep[rows], self.component[rows], self.mask[rows], self.short[rows], self.shingles[rows])
+
+
+def _counts(x: Block, y: Block, matches: int) -> np.ndarray:
+    """How many coordinates each two sets share; 0 where that is too few or they are of one component."""
+    if len(x.rep) * len(y.rep) <= 4096:
+        counts = (x.short[:, None, :] == y.short[None, :, :]).sum(2, dtype=np.uint8)
+    else:
+        counts = np.zeros((len(x.rep), len(y.rep)), np.uint8)
+        for c in range(COORDINATES):
+            counts += x.short[:, c, None] == y.short[None, :, c]
+    return np.where((counts >= matches) & (x.component[:, None] != y.component[None, :]), counts, 0)
+
+
+def _spanning(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A maximum spanning forest of a symmetric matrix of counts, 0 for no edge (Prim)."""
+    n = len(counts)
+    inside = np.zeros(n, bool)
+    best, parent = np.zeros(n, np.int16), np.zeros(n, np.int64)
+    edges = []
+    for _ in range(n):
+        k = int(np.where(inside, -1, best).argmax())
+        if best[k] > 0:
+            edges.append((k, parent[k]))
+        inside[k] = True
+        better = (counts[k] > best) & ~inside
+        best[better], parent[better] = counts[k][better], k
+    return tuple(np.array(edges, np.int64).reshape(-1, 2).T)
+
+
+def _nearest(x: Block, y: Block, matches: int, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of two blocks the ``most`` sets of another component that share the most
+    coordinates, and the pairs that join all sets by as many shared coordinates as can be."""
+    counts = _counts(x, y, matches)
+    a, b = [], []
+    for table, own, other in ((counts, x.rep, y.rep), (counts.T, y.rep, x.rep)):
+        k = min(most, table.shape[1])
+        j = np.argpartition(table, table.shape[1] - k, axis=1)[:, table.shape[1] - k :].ravel()
+        i = np.repeat(np.arange(len(table)), k)
+        hit = table[i, j] > 0
+        a.append(own[i[hit]])
+        b.append(other[j[hit]])
+    if counts.size > most * most:
+        n, m = counts.shape
+        whole = np.zeros((n + m, n + m), np.uint8)
+        whole[:n, n:], whole[n:, :n] = counts, counts.T
+        both = np.concatenate([x.rep, y.rep])
+        i, j = _spanning(whole)
+        a.append(both[i])
+        b.append(both[j])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
+
+
+def _candidates(x: Block, y: Block, place: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks that may be linked: of different components, sharing enough, in the first posting that both prefixes have."""
+    counts = _counts(x, y, matches)
+    i, j = np.nonzero(counts)
+    if len(i):
+        likeliest = np.argsort(-counts[i, j].astype(np.int16), kind="stable")
+        i, j = i[likeliest], j[likeliest]
+        both = x.mask[i] & y.mask[j]
+        shared = (x.short[i] == y.short[j]) & (both[:, None] >> np.arange(COORDINATES) & 1).astype(bool)
+        first = shared.argmax(1) == place
+        i, j = i[first], j[first]
+    return i, j
+
+
+def _links(x: Block, y: Block, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of candidate pairs, those whose full sets share the percentage; a pair that found links already join is passed over."""
+    up: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while up.setdefault(k, k) != k:
+            k = up[k] = up[up[k]]
+        return k
+
+    found = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        p, q = top(int(x.component[a])), top(int(y.component[b]))
+        if p != q:
+            one, two = x.shingles[a], y.shingles[b]
+            at = np.searchsorted(one, two).clip(max=len(one) - 1)
+            shared = int((one[at] == two).sum())
+            if 100 * shared >= percent * (len(one) + len(two) - shared):
+                up[p] = q
+                found.append((int(x.rep[a]), int(y.rep[b])))
+    return found
+
+
+def _dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (_key, _rep, _component, ...) copied to the pairs of blocks (_i, _j) in which they meet.
+
+    In a posting, a component of more than a block has blocks of its own, which don't meet
+    each other; small components share blocks. Blocks are of bounded size on average.
+    """
+    sizes = rows.groupBy("_key", "_component").agg(F.count(F.lit(1)).alias("_m"))
+    small = sizes.where(F.col("_m") <= block).groupBy("_key").agg(F.sum("_m").alias("_smalls"))
+    named = rows.join(sizes, ["_key", "_component"]).join(small, "_key", "left")
+    large = F.col("_m") > block
+    spread = F.when(large, F.col("_rep")).otherwise(F.col("_component"))
+    parts = F.ceil(F.when(large, F.col("_m")).otherwise(F.col("_smalls")) / block)
+    own = F.struct(F.when(large, F.col("_component")).alias("o"), F.pmod(F.xxhash64(spread), parts).cast("long").alias("k"))
+    named = checkpoint_narrow(named.select("_key", "_c", "_rep", "_component", "_mask", own.alias("_own")))
+    met = named.join(named.groupBy("_key").agg(F.collect_set("_own").alias("_others")), "_key").withColumn("_other", F.explode("_others"))
+    met = met.where(F.col("_own.o").isNull() | ~F.col("_own.o").eqNullSafe(F.col("_other.o")))
+    x, y = F.xxhash64(F.col("_own.o"), F.col("_own.k")), F.xxhash64(F.col("_other.o"), F.col("_other.k"))
+    return met.select("_key", F.least(x, y).alias("_i"), F.greatest(x, y).alias("_j"), x.alias("_b"), F.col("_c").cast("long").alias("_c"), "_rep", "_component", "_mask")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, Block, int, np.ndarray]]:
+    """The two blocks of each (_key, _i, _j) of sorted rows, its coordinate, and its rows; one batch and one group are held."""
+    held: list[np.ndarray] | None = None
+
+    def blocks(a: int, b: int) -> tuple[Block, Block, int, np.ndarray]:
+        key, i, j, own, c, rep, component, mask, short, *sets = (z[a:b] for z in held)
+        every = Block(rep, component, mask, short, sets[0] if sets else np.zeros(b - a))
+        return every[own == i[0]], every[own == j[0]], int(c[0]), np.stack([key, i, j, own, c, rep, component, mask])
+
+    for batch in batches:
+        fresh = [batch.column(k).to_numpy() for k in range(8)] + [batch.column(8).flatten().to_numpy().reshape(-1, COORDINATES)]
+        if batch.num_columns > 9:
+            lists = np.empty(batch.num_rows, object)
+            lists[:] = [v.values.to_numpy().view(np.uint64) for v in batch.column(9)]  # ascending only without a sign
+            fresh.append(lists)
+        held = fresh if held is None else [np.concatenate(z) for z in zip(held, fresh)]
+        ends = (np.nonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0))[0] + 1).tolist()
+        for a, b in zip([0, *ends], ends):
+            if b - a > 1:
+                yield blocks(a, b)
+        held = [z[ends[-1] :] for z in held] if ends else held
+    if held is not None and len(held[0]) > 1:
+        yield blocks(0, len(held[0]))
+
+
+ROWS = ("_key", "_i", "_j", "_b", "_c", "_rep", "_component", "_mask")
+
+
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
+
+
+def nearest(dealt: DataFrame, shorts: DataFrame, matches: int) -> DataFrame:
+    """Pairs (a, b) of the likest sets of different components, and those that would join all."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, _, _ in _groups(batches):
+            if len(x.rep) and len(y.rep):
+                a, b = _nearest(x, y, matches)
+                both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                if both.shape[1]:
+                    yield pa.record_batch([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+
+    return _sorted_groups(dealt.join(shorts, "_rep").select(*ROWS, "_short")).mapInArrow(work, "a long, b long")
+
+
+def settled(dealt: DataFrame, shorts: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Links (a, b) that still join components, after comparing all candidates.
+
+    First only the rows that have a candidate are kept; these get their full sets, and each
+    group of blocks is settled where it lies. No pair is put out but a link.
+    """
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, place, rows in _groups(batches):
+            if len(x.rep) and len(y.rep):
+                i, j = _candidates(x, y, place, matches)
+                wanted = rows[:, np.isin(rows[5], np.concatenate([x.rep[i], y.rep[j]]))]
+                if wanted.shape[1]:
+                    yield pa.record_batch([pa.array(c.astype(np.int64)) for c in wanted], names=list(ROWS))
 
-def _block_pairs(matches: int):
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
-        pdf = pdf.sort_values("_rep")
-        first = pdf[pdf["_b"] == low]
-        second = first if low == high else pdf[pdf["_b"] == high]
-        if first.empty or second.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x, y = np.stack(first["_sig"]), np.stack(second["_sig"])
-        count = np.zeros((len(x), len(y)), np.uint8)
-        for c in range(x.shape[1]):
-            count += x[:, c, None] == y[None, :, c]
-        ra, rb = first["_rep"].to_numpy(), second["_rep"].to_numpy()
-        apart = first["_component"].to_numpy()[:, None] != second["_component"].to_numpy()[None, :]
-        i, j = np.nonzero((count >= matches) & apart & ((ra[:, None] < rb[None, :]) if low == high else True))
-        return pd.DataFrame({"a": np.maximum(ra[i], rb[j]), "b": np.minimum(ra[i], rb[j])})
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, place, _ in _groups(batches):
+            if len(x.rep) and len(y.rep):
+                found = _links(x, y, *_candidates(x, y, place, matches), percent)
+                if found:
+                    a, b = (pa.array(z, pa.int64()) for z in zip(*found))
+                    yield pa.record_batch([a, b], names=["a", "b"])
 
-    return work
+    kept = _sorted_groups(dealt.join(shorts, "_rep").select(*ROWS, "_short")).mapInArrow(keep, ", ".join(f"{c} long" for c in ROWS))
+    kept = checkpoint_narrow(kept)
+    full = kept.join(shorts, "_rep").join(sets.withColumnRenamed("_id", "_rep"), "_rep").select(*ROWS, "_short", "_shingles")
+    return _sorted_groups(full).mapInArrow(settle, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
@@ -174,34 +361,39 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     slim = checkpoint(signatures(docs, id_col, text_col))
     classes = checkpoint(slim.where(F.col("_set").isNotNull() & F.col("_id").isNotNull()).groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig")))
-    posted = checkpoint(postings(classes, matches))
+    posted = checkpoint_narrow(postings(classes, matches))
 
-    # Who shares a posting with another at all; their full sets are read from the texts.
-    hubs = posted.groupBy("_key").agg(F.min("_rep").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", "b")
-    pairs = checkpoint(posted.join(hubs, "_key").where("_rep <> b").select(F.col("_rep").alias("a"), "b").distinct())
-    wanted = checkpoint(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
+    # Only these classes can be linked at all; their full sets are read from the texts.
+    wanted = checkpoint_narrow(posted.select(F.col("_rep").alias("_id")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(few(wanted), "_id", "left_semi")
-    signed = classes.select(F.col("_rep").alias("_id"), "_sig")
-    sets = checkpoint(shingle_sets(texts, "_id", "_text").join(signed, "_id"))
-
-    links = checkpoint(confirmed(pairs, sets, percent, matches))
-    reached = connected_components(links)
-
-    # Postings that still hold several components: their sets meet in blocks of bounded size.
-    placed = posted.join(reached, posted["_rep"] == reached["node"], "left").select("_key", "_rep", F.coalesce("component", "_rep").alias("_component"))
-    mixed = placed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where("_lo <> _hi").select("_key", "_n")
-    open_rows = checkpoint(placed.join(mixed, "_key").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")))
-    if not open_rows.isEmpty():
-        dealt = (
-            open_rows.withColumn("_b", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
-            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-            .withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")})
-            .join(signed.withColumnRenamed("_id", "_rep"), "_rep")
-            .select("_key", "_i", "_j", "_b", "_rep", "_component", "_sig")
-        )
-        more = checkpoint(dealt.groupBy("_key", "_i", "_j").applyInPandas(_block_pairs(matches), "a long, b long").distinct())
-        if not more.isEmpty():
-            reached = connected_components(links.union(confirmed(more, sets, percent, matches)))
+    sets = checkpoint(shingle_sets(texts, "_id", "_text"))
+    bits = F.transform("_sig", lambda x: x.bitwiseAND(0x7FFF).cast("smallint"))
+    shorts = checkpoint(classes.join(few(wanted), F.col("_rep") == F.col("_id"), "left_semi").select("_rep", bits.alias("_short")))
+
+    # Round 1 also holds every set against the smallest one of each of its postings.
+    hubs = posted.groupBy("_key").agg(F.min("_rep").alias("b"))
+    hub_pairs = posted.join(hubs, "_key").where("_rep <> b").select(F.col("_rep").alias("a"), "b").distinct()
+    links = reached = None
+    for last in (False, False, True):
+        placed = posted.select("_rep", "_key", "_c", "_mask", "_n")
+        if reached is None:
+            placed = placed.withColumn("_component", F.col("_rep"))
+        else:
+            placed = checkpoint_narrow(placed.join(reached, F.col("_rep") == F.col("node"), "left").withColumn("_component", F.coalesce("component", "_rep")).drop("node", "component"))
+        held = placed.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where("_lo <> _hi").select("_key")
+        rows = placed.join(held, "_key", "left_semi")
+        if not last:  # each class in its longest posting only; what this joins shrinks the rest
+            longest = F.max(F.struct("_n", "_key", "_c", "_mask", "_component")).alias("_best")
+            rows = rows.groupBy("_rep").agg(longest).select("_rep", "_best.*")
+        dealt = _dealt(checkpoint_narrow(rows.select("_key", "_c", "_rep", "_component", "_mask")))
+        if last:
+            found = settled(dealt, shorts, sets, percent, matches)
+        else:
+            pairs = nearest(dealt, shorts, matches)
+            pairs = pairs.union(sharing(hub_pairs, shorts, matches)) if reached is None else pairs
+            found = confirmed(checkpoint_narrow(pairs.distinct()), sets, percent)
+        links = checkpoint_narrow(found if links is None else links.union(found))
+        reached = connected_components(links)
 
     named = classes.join(reached, classes["_rep"] == reached["node"], "left").select("_set", F.coalesce("component", "_rep").alias("_component"))
     component = F.coalesce("_component", "_id")
