@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,20 @@ SIDE_BY_SIDE = 40
 _NONE = np.int64(2**62)
 
 
+class Codes(dict):
+    """Numbers of the chunks of one variant; a new one is noted as missing."""
+
+    def __init__(self, encoder: MergeDropout, variant: int):
+        super().__init__()
+        self.encoder, self.variant = encoder, variant
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = code = self.encoder.count
+        self.encoder.count += 1
+        self.encoder.missing.append((chunk, self.variant))
+        return code
+
+
 class MergeDropout:
     """An encoder and decoder from a SentencePiece BPE model file with byte pieces."""
 
@@ -74,7 +89,22 @@ class MergeDropout:
         self.pairs = np.array(sorted(merges), np.int64)
         self.merged = np.array([merges[k] for k in self.pairs.tolist()], np.int64)
         self.lookup = merges
-        self.chunk = re.compile("|".join([*self.breaks, f" *[^ {''.join(self.breaks)}]+", " +"]))
+        # Letters and a sign that stands after a letter in no piece can't merge either.
+        before = {b: False for b in string.punctuation}
+        for p in self.ids:
+            for a, b in zip(p, p[1:]):
+                if a.isalpha() and b in before:
+                    before[b] = True
+        signs = re.escape("".join(b for b, met in before.items() if not met))
+        ends = "".join(self.breaks)
+        self.chunk = re.compile("|".join([*self.breaks, rf" *+[^\W\d_]++(?=[ {ends}{signs}]|\Z)", f" *[^ {ends}]+", " +"]))
+        # Symbols of characters by code point, for those below 2 ** 16.
+        self.table = np.arange(1 << 16) + size
+        for piece, i in self.ids.items():
+            if len(piece) == 1 and ord(piece) < 1 << 16:
+                self.table[ord(piece)] = i
+        self.table[ord(SIGN)] = size + ord(SIGN)
+        self.table[ord(" ")] = self.ids.get(SIGN, size + ord(" "))
         self.limit = np.uint64(min(2**64 - 1, int(dropout * 2**64)))
         self.forget()
 
@@ -84,7 +114,9 @@ class MergeDropout:
         return self.size + ord(text) if len(text) == 1 else None
 
     def forget(self) -> None:
-        self.codes: list[dict[str, int]] = [{} for _ in range(self.variants)]
+        self.missing: list[tuple[str, int]] = []
+        self.count = 0
+        self.codes = [Codes(self, k) for k in range(self.variants)]
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def skipped(self, key: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -94,9 +126,13 @@ class MergeDropout:
     def key(self, chunk: str, variant: int) -> int:
         return xxhash.xxh64_intdigest(chunk, seed=self.seed * 1_000_003 + variant)
 
-    def symbols(self, chunk: str) -> list[int]:
-        ids, size = self.ids, self.size
-        return [ids[SIGN] if c == " " and SIGN in ids else size + 0x2581 if c == SIGN else ids.get(c, size + ord(c)) for c in chunk]
+    def symbols(self, text: str) -> np.ndarray:
+        """Symbols of the characters of a text; a space is the model's sign, the sign itself none of its pieces."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        found = self.table[np.minimum(points, (1 << 16) - 1)]
+        for k in np.nonzero(points >= (1 << 16) - 1)[0].tolist():
+            found[k] = self.ids.get(chr(points[k]), self.size + int(points[k]))
+        return found
 
     def spell(self, symbols: list[int]) -> list[int]:
         """Ids; characters without a piece become bytes."""
@@ -107,7 +143,7 @@ class MergeDropout:
 
     def one(self, chunk: str, variant: int) -> list[int]:
         """The segmentation of one chunk with a heap as agenda."""
-        symbols = self.symbols(chunk)
+        symbols = self.symbols(chunk).tolist()
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         key = np.array([self.key(chunk, variant)], np.uint64)
@@ -142,93 +178,90 @@ class MergeDropout:
         at = np.searchsorted(self.pairs, pair).clip(max=len(self.pairs) - 1)
         return np.where((self.pairs[at] == pair) & (left >= 0) & (right >= 0), self.merged[at], _NONE)
 
-    def many(self, chunks: list[tuple[str, int]]) -> list[list[int]]:
-        """Segmentations of chunks of similar length, side by side."""
+    def many(self, chunks: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Segmentations of chunks of similar length, side by side: all ids, and how many each has."""
         n = len(chunks)
-        width = max(len(c) for c, _ in chunks)
+        sizes = np.array([len(c) for c, _ in chunks])
+        width = int(sizes.max())
+        # Symbols stay where their first character is; column ``width`` stands for both ends.
         symbols = np.full((n, width + 1), -1, np.int64)
-        for r, (chunk, _) in enumerate(chunks):
-            symbols[r, : len(chunk)] = self.symbols(chunk)
-        start = np.tile(np.arange(width + 1), (n, 1))
+        symbols[np.arange(width + 1)[None, :] < sizes[:, None]] = self.symbols("".join([c for c, _ in chunks]))
+        after, before = np.tile(np.arange(1, width + 2), (n, 1)), np.tile(np.arange(-1, width), (n, 1))
+        after[:, width] = width
         keys = np.array([self.key(c, v) for c, v in chunks], np.uint64)
 
-        def candidates(rows: np.ndarray, left: np.ndarray, right: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        def candidates(rows: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
             found = self.find(left, right)
-            if self.dropout:
-                hit = np.nonzero(found != _NONE)
-                drop = self.skipped(keys[rows[hit]], begin[hit], found[hit] & (1 << 21) - 1)
-                found[tuple(h[drop] for h in hit)] = _NONE
+            hit = np.nonzero(found != _NONE)[0]
+            if self.dropout and len(hit):
+                drop = self.skipped(keys[rows[hit]], at[hit], found[hit] & (1 << 21) - 1)
+                found[hit[drop]] = _NONE
             return found
 
-        every = np.repeat(np.arange(n)[:, None], width, 1)
-        agenda = candidates(every, symbols[:, :-1], symbols[:, 1:], start[:, :-1])
+        agenda = np.full((n, width + 1), _NONE)
+        row, at = np.nonzero(symbols[:, 1:] >= 0)
+        agenda[row, at] = candidates(row, symbols[row, at], symbols[row, at + 1], at)
         live = np.arange(n)
         while len(live):
-            best = (agenda[live] >> 21).argmin(1)
+            best = agenda[live].argmin(1)
             found = agenda[live, best]
             going = found != _NONE
             live, best, found = live[going], best[going], found[going]
             if not len(live):
                 break
-            # The right symbol goes; what stands after it moves up by one.
-            shift = np.arange(width)[None, :] + (np.arange(width)[None, :] > best[:, None])
-            part = np.take_along_axis(symbols[live], shift, 1)
-            part[np.arange(len(live)), best] = found & (1 << 21) - 1
-            symbols[live, :-1], symbols[live, -1] = part, -1
-            begin = np.take_along_axis(start[live], shift, 1)
-            start[live, :-1] = begin
-            rest = np.arange(width)[None, :]
-            ahead = np.take_along_axis(agenda[live], np.minimum(shift, width - 1), 1)
-            ahead = np.where(shift > width - 1, _NONE, ahead)
-            ahead = np.where(rest > best[:, None], ahead, agenda[live])
-            own = np.arange(len(live))
-            ahead[own, best] = candidates(live, symbols[live, best], symbols[live, best + 1], start[live, best])
-            previous = np.maximum(best - 1, 0)
-            back = candidates(live, symbols[live, previous], symbols[live, best], start[live, previous])
-            ahead[own, previous] = np.where(best > 0, back, ahead[own, previous])
-            agenda[live] = ahead
-        return [self.spell(row[row >= 0].tolist()) for row in symbols]
+            gone, previous = after[live, best], before[live, best]
+            following, piece = after[live, gone], found & (1 << 21) - 1
+            symbols[live, best], symbols[live, gone], agenda[live, gone] = piece, -1, _NONE
+            after[live, best], before[live, following] = following, best
+            agenda[live, best] = candidates(live, piece, symbols[live, following], best)
+            agenda[live, previous] = candidates(live, symbols[live, previous], piece, previous)
+        flat, counts = symbols[symbols >= 0], (symbols >= 0).sum(1)
+        if (flat >= self.size).any():
+            spelled = [self.spell(row[row >= 0].tolist()) for row in symbols]
+            flat, counts = np.array([i for x in spelled for i in x], np.int64), np.array([len(x) for x in spelled])
+        return flat, counts
 
     def learn(self, missing: list[tuple[str, int]]) -> None:
         """Segment chunks and keep what they give."""
-        out: list[list[int]] = [[]] * len(missing)
+        sizes = np.zeros(len(missing), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # places of chunks, their ids one after another
         by_length: dict[int, list[int]] = {}
-        for k, (chunk, variant) in enumerate(missing):
-            if len(chunk) > SIDE_BY_SIDE:
-                out[k] = self.one(chunk, variant)
-            else:
-                by_length.setdefault((len(chunk) + 3) // 4, []).append(k)
-        for places in by_length.values():
-            for i in range(0, len(places), 20_000):
-                block = places[i : i + 20_000]
-                for k, ids in zip(block, self.many([missing[k] for k in block])):
-                    out[k] = ids
-        ends = self.starts[-1] + np.cumsum([len(x) for x in out])
+        for k, (chunk, _) in enumerate(missing):
+            by_length.setdefault((len(chunk) + 2) // 3 if len(chunk) <= SIDE_BY_SIDE else -1, []).append(k)
+        for length, places in by_length.items():
+            for i in range(0, len(places), 2_000):
+                block = places[i : i + 2_000]
+                if length < 0:
+                    each = [self.one(*missing[k]) for k in block]
+                    flat, counts = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
+                else:
+                    flat, counts = self.many([missing[k] for k in block])
+                sizes[block] = counts
+                parts.append((np.array(block), flat))
+        first = self.starts[-1]
+        ends = first + np.cumsum(sizes)
+        begins = ends - sizes - first
+        new = np.zeros(int(sizes.sum()), np.int32)
+        for block, flat in parts:
+            n = sizes[block]
+            new[np.repeat(begins[block] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(flat))] = flat
         self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, np.array([i for x in out for i in x], np.int32)])
+        self.flat = np.concatenate([self.flat, new])
 
     def encode_batch(self, documents: list[tuple[int, str]]) -> list[np.ndarray]:
         """Ids of texts, each with the id of its document, on which its variants depend."""
-        if sum(map(len, self.codes)) > 400_000:
+        if self.count > 400_000:
             self.forget()
-        known = len(self.starts) - 1
-        missing: list[tuple[str, int]] = []
+        look_up = [known.__getitem__ for known in self.codes]
         coded = []
         for doc, text in documents:
             chunks = self.chunk.findall(" " + text) if text else []
             places = np.arange(len(chunks), dtype=np.uint64)
             drawn = mix(places + np.uint64(xxhash.xxh64_intdigest(str(doc), seed=self.seed) >> 1)) % np.uint64(self.variants)
-            codes = []
-            for chunk, variant in zip(chunks, drawn.tolist()):
-                own = self.codes[variant]
-                code = own.get(chunk)
-                if code is None:
-                    own[chunk] = code = known + len(missing)
-                    missing.append((chunk, variant))
-                codes.append(code)
-            coded.append(np.array(codes, np.int64))
-        if missing:
-            self.learn(missing)
+            coded.append(np.array([look_up[variant](chunk) for chunk, variant in zip(chunks, drawn.tolist())], np.int64))
+        if self.missing:
+            self.learn(self.missing)
+            self.missing.clear()
         out = []
         for codes in coded:
             first, n = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
