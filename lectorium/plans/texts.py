@@ -422,3 +422,24 @@ def q_language(t: Tables) -> DataFrame:
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     kept = F.filter(normal_words(head), lambda w: ~F.array_contains(stop, w))
     return t.documents.select("doc_id", F.coalesce(F.element_at(codes, F.col("lang")), F.col("lang")).alias("code"), head.rlike("[а-яё]").alias("cyrillic"), F.size(kept).cast("long").alias("meaningful"))
+
+
+@query(_LINES + """
+, s AS (SELECT doc_id, block, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, length(line) AS n FROM blocks),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS number, a, a + n AS e FROM s WHERE block % 3 <> 2),
+l AS (SELECT doc_id, max(number) AS last FROM r GROUP BY 1),
+q AS (SELECT doc_id, unnest(range(0, length(text) // 97 + 1)) * 97 AS pos FROM documents WHERE text IS NOT NULL)
+SELECT q.doc_id, q.pos, coalesce(r.number, 0) AS sentence, CASE WHEN q.pos < r.e THEN r.number ELSE l.last END AS strict
+FROM q ASOF LEFT JOIN r ON q.doc_id = r.doc_id AND q.pos >= r.a LEFT JOIN l ON q.doc_id = l.doc_id
+""")
+def q_word_sentence(t: Tables) -> DataFrame:
+    """Places in a text to sentences: the last that begins at or before; ``strict`` is the last of all where that one has ended."""
+    w = Window.partitionBy("doc_id").orderBy("block")
+    begin = F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = _blocks(t).withColumn("a", begin).where("block % 3 <> 2").withColumns({"number": (F.row_number().over(w) - 1).cast("long"), "e": F.col("a") + F.length("line")})
+    last = ranges.groupBy("doc_id").agg(F.max("number").alias("last"))
+    steps = F.sequence(F.lit(0), F.floor(F.length("text") / 97).cast("int"))
+    asked = t.documents.where("text is not null").select("doc_id", F.explode(F.transform(steps, lambda k: (k * 97).cast("long"))).alias("pos"))
+    found = seq.asof(asked, ranges.select("doc_id", "a", "number", "e"), ["doc_id"], "pos", "a", ["number", "e"])
+    strict = F.when(F.col("pos") < F.col("e"), F.col("number")).otherwise(F.col("last"))
+    return found.join(last, "doc_id", "left").select("doc_id", "pos", F.coalesce("number", F.lit(0)).alias("sentence"), strict.alias("strict"))
