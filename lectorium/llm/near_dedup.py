@@ -64,7 +64,7 @@ def shingles(text: bytes, ids: WordIds, size: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    if len(ids) > 400_000:
+    if len(ids) > 250_000:
         ids.clear()
     codes = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
     n = len(words) - size + 1

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURE_BITS = 20
+#: Words whose features a task remembers.
+MOST_KNOWN = 100_000
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
 
@@ -33,18 +35,23 @@ MIN_Z = 4.0
 
 
 class WordFeatures(dict):
-    """Hashed features of a word; forgets them when there are too many."""
+    """Hashed features of a word, all or those that ``used`` marks; forgets them when there are too many."""
+
+    def __init__(self, used: np.ndarray | None = None):
+        super().__init__()
+        self.used = used
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         names = {"=" + word, *("^" + word[:n] for n in STEMS if len(word) > n)}
-        self[word] = value = tuple(xxhash.xxh32_intdigest(x) >> (32 - FEATURE_BITS) for x in names)
+        every = (xxhash.xxh32_intdigest(x) >> (32 - FEATURE_BITS) for x in names)
+        self[word] = value = tuple(every if self.used is None else [f for f in every if self.used[f]])
         return value
 
 
 def document_features(text: str | None, known: WordFeatures) -> np.ndarray:
     """Sorted distinct features of a whole text."""
     words = set(WORD.findall((text or "").lower()))
-    if len(known) > 500_000:
+    if len(known) > MOST_KNOWN:
         known.clear()
     return np.unique(np.fromiter((f for w in words for f in known[w]), np.int32))
 
@@ -110,8 +117,8 @@ def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Features that are clearly commoner in the toxic documents than in the unlabelled ones."""
     size = 1 << FEATURE_BITS
-    in_p = np.bincount(_flat(positive)[0], minlength=size)
-    in_u = np.bincount(_flat(unlabelled)[0], minlength=size)
+    in_p = np.bincount(np.concatenate(positive), minlength=size)
+    in_u = np.bincount(np.concatenate(unlabelled), minlength=size)
     n, m = max(1, len(positive)), max(1, len(unlabelled))
     p, u = in_p / n, (in_u + 0.5) / (m + 1)
     together = (in_p + in_u + 0.5) / (n + m + 1)
@@ -205,7 +212,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         used, own, bias, slope, shift = shared.value
         weights = np.zeros(1 << FEATURE_BITS)
         weights[used] = own
-        local, known = ToxicityModel(weights, bias, slope, shift), WordFeatures()
+        local, known = ToxicityModel(weights, bias, slope, shift), WordFeatures((weights != 0).tobytes())
         for batch in batches:
             scores = [local.score(document_features(t.as_py(), known)) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
