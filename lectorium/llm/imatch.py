@@ -32,6 +32,8 @@ TABLE_BITS = 22
 LEAST_DOCUMENTS = 2
 MOST_SHARE = 0.1
 SUBSETS = 48
+#: Documents that a task compares, on average, where the session's partitions are fewer.
+RANGED_TOGETHER = 5_000
 
 #: ASCII signs part words as white space does.
 SIGNS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -153,7 +155,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int | Non
     Ranges are cut at quantiles of all ids; only they and the ranges' greatest ids come to
     the driver, one number a range.
     """
-    n = 2 * (partitions or table_partitions(docs))
+    parts = partitions or max(table_partitions(docs), docs.count() // RANGED_TOGETHER)
+    n = 2 * parts
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"))
     cuts = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
     edges = np.unique(np.array(cuts, np.int64))
@@ -172,7 +175,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int | Non
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     dealt = rows.select("_id", "_text", F.explode(places("_id")).alias("_place")).select("_id", "_text", "_place.*")
-    return dealt.repartition(n // 2, "_range").sortWithinPartitions("_range", "_guest", F.desc("_id"), "_text")
+    return dealt.repartition(parts, "_range").sortWithinPartitions("_range", "_guest", F.desc("_id"), "_text")
 
 
 def compare_edited(docs: DataFrame, inside: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

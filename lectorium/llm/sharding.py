@@ -15,6 +15,8 @@ from .common import checkpoint
 
 #: Bytes that a row takes besides its text.
 ROW_OVERHEAD = 8
+#: Rows of a partition, where the session's partitions are fewer.
+ROWS_TOGETHER = 1_000_000
 
 
 def shard_by_bytes(sized: DataFrame, shards: int, id_col: str = "doc_id", size_col: str = "size", partitions: int | None = None) -> DataFrame:
@@ -29,7 +31,7 @@ def shard_by_bytes(sized: DataFrame, shards: int, id_col: str = "doc_id", size_c
     ``start_byte`` are replaced. No shard exceeds its equal part by more than one row's size.
     """
     spark = sized.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.count() // ROWS_TOGETHER)
     sized = sized.drop("shard", "slot", "start_byte", "_bytes", "_tie", "_part")
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in sized.columns])
     rows = sized.withColumns({"_bytes": F.coalesce(F.col(size_col).cast("long"), F.lit(0)), "_tie": tie})
