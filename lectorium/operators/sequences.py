@@ -54,7 +54,7 @@ def running_max_only(df: DataFrame, by: list[str], order: list[str], value: str)
     return df.withColumn("_most", F.max(value).over(w)).where(F.col("_most").isNull() | (F.col(value) >= F.col("_most"))).drop("_most")
 
 
-def interpolate(words: DataFrame, by: list[str], order: str, time: str, weight: Column, duration: Column, longest: float = 1.5, shortest: float = 0.05) -> DataFrame:
+def interpolate(words: DataFrame, by: list[str], order: str, time: str, weight: Column, duration: Column, longest: float = 1.5, shortest: float = 0.05, digits: int | None = 3) -> DataFrame:
     """Times (t0, t1) for all words from those of some.
 
     Between two known words time goes with the weights of the words in between; before the
@@ -86,7 +86,8 @@ def interpolate(words: DataFrame, by: list[str], order: str, time: str, weight:
     timed = at.withColumn("t0", t0)
     end = F.least(F.coalesce(F.lead("t0").over(w), F.col("_d")), F.col("t0") + longest)
     timed = timed.withColumn("t1", F.when(end <= F.col("t0"), F.col("t0") + shortest).otherwise(end))
-    return timed.select(*words.columns, F.bround("t0", 3).alias("t0"), F.bround("t1", 3).alias("t1"))
+    cut = (lambda c: F.col(c)) if digits is None else lambda c: F.bround(c, digits)
+    return timed.select(*words.columns, cut("t0").alias("t0"), cut("t1").alias("t1"))
 
 
 def fix_times(df: DataFrame, by: str, order: str, value: str, step: float = 0.01) -> DataFrame:

@@ -321,7 +321,7 @@ def q_shelf_bytes(t: Tables) -> DataFrame:
 
 
 _STATES = _BOOKS + """
-, here AS (SELECT slug, list_sort(list(l_partkey || ':' || size) FILTER (WHERE flag <> 'R')) AS own, list_sort(list(l_partkey || ':' || size)) AS files, count(*) AS n FROM f GROUP BY 1),
+, here AS (SELECT slug, list_sort(list(DISTINCT l_partkey || ':' || size) FILTER (WHERE flag <> 'R')) AS own, list_sort(list(DISTINCT l_partkey || ':' || size)) AS files, count(*) AS n FROM f GROUP BY 1),
 s AS (SELECT b.slug, b.reader, b.edition, CASE WHEN status = 'O' THEN 'absent' WHEN edition LIKE '5%' THEN 'outdated' WHEN own IS NULL THEN 'textOnly' WHEN own = files THEN 'here' ELSE 'outdated' END AS state FROM b JOIN here ON b.slug = here.slug)
 """
 

@@ -305,11 +305,12 @@ n AS (
   SELECT user_id, word, CASE WHEN t IS NOT NULL THEN t WHEN at0 IS NULL THEN greatest(0, bt - (bc - c) * rate) WHEN bt IS NULL THEN least(2678400, at0 + (c - ac) * rate)
               ELSE at0 + (c - ac) * (bt - at0) / (bc - ac) END AS t0 FROM r
 ), e AS (SELECT *, least(coalesce(lead(t0) OVER (PARTITION BY user_id ORDER BY word), 2678400), t0 + 1.5) AS e FROM s)
-SELECT user_id, word, round(round_even(t0, 3), 2) AS t0, round(round_even(CASE WHEN e <= t0 THEN t0 + 0.05 ELSE e END, 3), 2) AS t1 FROM e
+SELECT user_id, word, round(t0 + 0.000371, 2) AS t0, round(CASE WHEN e <= t0 THEN t0 + 0.05 ELSE e END + 0.000371, 2) AS t1 FROM e
 """)
 def q_interpolate(t: Tables) -> DataFrame:
-    timed = seq.interpolate(_timed_words(t), ["user_id"], "word", "t", F.col("len") + 1, F.lit(2678400.0))
-    return timed.select("user_id", "word", F.round("t0", 2).alias("t0"), F.round("t1", 2).alias("t1"))
+    timed = seq.interpolate(_timed_words(t), ["user_id"], "word", "t", F.col("len") + 1, F.lit(2678400.0), digits=None)
+    # Hundredths, off the halves that the engines round in two ways.
+    return timed.select("user_id", "word", F.round(F.col("t0") + 0.000371, 2).alias("t0"), F.round(F.col("t1") + 0.000371, 2).alias("t1"))
 
 
 @query(_WORDS_TIMED + """
