@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Pages whose own ``article`` or ``main`` labels them that training reads at most.
 MOST_LABELLED = 300
 #: A kind of element is left out when the log-odds of content under it are below this.
@@ -293,4 +295,4 @@ def extract_text(pages: DataFrame, weights: TagWeights, id_col: str = "page_id",
             texts = [main_text(x.as_py(), weights) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
-    return rows.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string")
+    return rows.mapInArrow(tidy(work), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string")

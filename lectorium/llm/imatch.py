@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table_partitions
+from .common import table_partitions, tidy
 from .near_dedup import mix
 
 #: Counters of hashed terms: 2 to this power.
@@ -75,7 +75,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENT
             yield pa.record_batch([pa.array(part), pa.array(counts[part])], names=["bucket", "n"])
 
     total = docs.count()
-    counted = docs.select(text_col).mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).mapInArrow(tidy(work), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     inside = counted.where((F.col("n") >= least) & (F.col("n") <= max(float(least), most * total)))
     words = inside.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bucket & 63 as int)))").alias("bits"))
     mask = np.zeros(1 << (TABLE_BITS - 6), np.int64)
@@ -144,7 +144,7 @@ def fingerprint_documents(docs: DataFrame, inside: np.ndarray, id_col: str = "do
             yield pa.record_batch([batch.column(0), pa.array([str(fingerprint(t.as_py() or "", table, ids)) for t in batch.column(1)])], names=["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_col)
-    return rows.mapInArrow(work, f"id {rows.schema[0].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(work), f"id {rows.schema[0].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
@@ -210,4 +210,4 @@ def compare_edited(docs: DataFrame, inside: np.ndarray, id_col: str = "doc_id",
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return dealt.mapInArrow(work, schema)
+    return dealt.mapInArrow(tidy(work), schema)

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .near_dedup import mix
 
 VARIANTS = 8
@@ -291,7 +292,7 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = 1,
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "ids"])
 
-    return rows.mapInArrow(work, _schema(rows) + ", ids array<int>")
+    return rows.mapInArrow(tidy(work), _schema(rows) + ", ids array<int>")
 
 
 def portions(batch: pa.RecordBatch, most: int = 500) -> Iterator[pa.RecordBatch]:
@@ -313,4 +314,4 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
             texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False)) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
-    return rows.mapInArrow(work, _schema(rows) + ", text string")
+    return rows.mapInArrow(tidy(work), _schema(rows) + ", text string")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_narrow, few
+from .common import checkpoint, checkpoint_narrow, few, tidy
 from .components import connected_components
 
 SHINGLE = 5
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)), flat)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), lists], names=["_id", "n_shingles", "_set", "_sig"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(work, "_id long, n_shingles long, _set binary, _sig array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(work), "_id long, n_shingles long, _set binary, _sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +117,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.array([], np.int64)))
             yield pa.record_batch([batch.column(0), lists], names=["_id", "_shingles"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(work, "_id long, _shingles array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(work), "_id long, _shingles array<long>")
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -313,7 +313,7 @@ def nearest(dealt: DataFrame, shorts: DataFrame, matches: int) -> DataFrame:
                 if both.shape[1]:
                     yield pa.record_batch([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
 
-    return _sorted_groups(dealt.join(shorts, "_rep").select(*ROWS, "_short")).mapInArrow(work, "a long, b long")
+    return _sorted_groups(dealt.join(shorts, "_rep").select(*ROWS, "_short")).mapInArrow(tidy(work), "a long, b long")
 
 
 def settled(dealt: DataFrame, shorts: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
@@ -339,10 +339,10 @@ def settled(dealt: DataFrame, shorts: DataFrame, sets: DataFrame, percent: int,
                     a, b = (pa.array(z, pa.int64()) for z in zip(*found))
                     yield pa.record_batch([a, b], names=["a", "b"])
 
-    kept = _sorted_groups(dealt.join(shorts, "_rep").select(*ROWS, "_short")).mapInArrow(keep, ", ".join(f"{c} long" for c in ROWS))
+    kept = _sorted_groups(dealt.join(shorts, "_rep").select(*ROWS, "_short")).mapInArrow(tidy(keep), ", ".join(f"{c} long" for c in ROWS))
     kept = checkpoint_narrow(kept)
     full = kept.join(shorts, "_rep").join(sets.withColumnRenamed("_id", "_rep"), "_rep").select(*ROWS, "_short", "_shingles")
-    return _sorted_groups(full).mapInArrow(settle, "a long, b long")
+    return _sorted_groups(full).mapInArrow(tidy(settle), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -74,7 +74,7 @@ def encode_pieces(docs: DataFrame, ranks: str, capacity: int = CAPACITY, end_id:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), PIECES)
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 FEATURE_BITS = 20
 #: Words whose features a task remembers.
 MOST_KNOWN = 100_000
@@ -194,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([batch.column(0), pa.array([document_features(t.as_py(), known).tobytes() for t in batch.column(1)], pa.binary())], names=["_kind", "_features"])
 
     found: dict[str, list[np.ndarray]] = {"toxic": [], "clean": [], "any": []}
-    for row in texts.select("_kind", "_text").mapInArrow(work, "_kind string, _features binary").collect():
+    for row in texts.select("_kind", "_text").mapInArrow(tidy(work), "_kind string, _features binary").collect():
         found[row["_kind"]].append(np.frombuffer(row["_features"], np.int32))
     labelled = [(x, 1) for x in found["toxic"][:MOST_CALIBRATION]] + [(x, 0) for x in found["clean"]]
     return train(found["toxic"][:MOST_POSITIVE], found["any"], labelled, prior)
@@ -219,4 +221,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(work, f"{schema}, score double")
+    return rows.mapInArrow(tidy(work), f"{schema}, score double")
