@@ -1,11 +1,11 @@
-"""A catalogue of hits as a Python data source that answers from saved feeds, with filters pushed to it."""
+"""A catalogue of hits as a Python data source that answers from saved feeds."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema
 
@@ -13,8 +13,8 @@ from .. import schema
 class CatalogueSource(DataSource):
     """``spark.read.format("catalogue").option("hits", json_lines)``: each line a hit; missing keys are null.
 
-    ``option("partitions", n)`` deals the lines to that many readers. Equalities are pushed
-    down, which takes ``spark.sql.python.filterPushdown.enabled``.
+    ``option("partitions", n)`` deals the lines to that many readers. Filters stay with
+    Spark: a scan with pushed ones is used again for queries that lack them.
     """
 
     @classmethod
@@ -32,14 +32,6 @@ class CatalogueReader(DataSourceReader):
     def __init__(self, options: dict):
         self.lines = options.get("hits", "").splitlines()
         self.parts = int(options.get("partitions", "1"))
-        self.equal: dict[str, object] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
-                self.equal[f.attribute[0]] = f.value
-            else:
-                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in range(self.parts)]
@@ -48,5 +40,4 @@ class CatalogueReader(DataSourceReader):
         names = [c.split()[0] for c in schema.HIT.split(", ")]
         for line in self.lines[partition.value :: self.parts]:
             hit = json.loads(line)
-            if all(hit.get(k) == v for k, v in self.equal.items()):
-                yield tuple(hit.get(k) for k in names)
+            yield tuple(hit.get(k) for k in names)

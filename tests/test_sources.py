@@ -143,7 +143,6 @@ def test_landing(spark, tmp_path):
 
 def test_catalogue_source(spark):
     spark.dataSource.register(catalogues.CatalogueSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     lines = "\n".join(json.dumps({"source": s, "title": f"T{k}", "kind": "fb2"}) for k, s in enumerate("xyx"))
     df = spark.read.format("catalogue").option("hits", lines).option("partitions", 2).load()
     assert sorted(r.title for r in df.where("source = 'x'").collect()) == ["T0", "T2"]
