@@ -168,9 +168,14 @@ def q_gaps(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Texts and spoken items that share a rare n-gram, as arrays of words."""
-    met = _hits(t).select("doc_id", "item_id").distinct()
-    return met.join(_english(t).withColumnRenamed("w", "text_words"), "doc_id").join(_spoken(t).withColumnRenamed("w", "spoken_words"), "item_id")
+    """Texts of any language and length and spoken items that share a rare n-gram, as arrays of words."""
+    words = normal_words(F.col("text"))
+    spoken = al.ngrams(_spoken(t), ["item_id"], "w")
+    # Only grams that are spoken can be hits; the others are not counted.
+    grams = al.ngrams(t.documents.select("doc_id", words.alias("w")), ["doc_id"], "w").join(al.few(spoken.select("gram").distinct()), "gram", "left_semi")
+    met = al.seed_hits(al.rare_ngrams(grams, ["doc_id"]), spoken, ["doc_id"], ["item_id"]).select("doc_id", "item_id").distinct()
+    texts = met.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "item_id", words.alias("text_words"))
+    return texts.join(_spoken(t).withColumnRenamed("w", "spoken_words"), "item_id")
 
 
 @query()
@@ -191,8 +196,8 @@ def q_word_match(t: Tables) -> DataFrame:
 
 @query()
 def q_sentence_map(t: Tables) -> DataFrame:
-    """Each English text against itself without its third line, line by line."""
-    lines = t.documents.where("lang = 'en' and length(text) < 4000").select("doc_id", F.split("text", "\n").alias("l"))
+    """Each text against itself without its third line, line by line."""
+    lines = t.documents.where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
     old = F.transform("l", normal_words)
     new = F.filter(old, lambda x, i: i != 2)
     kernel = lambda a, b: list(enumerate(al.sentence_map(a, b)))

@@ -7,6 +7,7 @@ from lectorium.operators import catalogue as cat
 from lectorium.operators import library as lib
 from lectorium.operators import sequences as seq
 from lectorium.operators import state as st
+from lectorium.queries import QUERIES
 
 
 def test_last_writer_wins(spark):
@@ -166,3 +167,28 @@ def test_updates(spark):
     new = spark.createDataFrame([(3, "a", ""), (4, "D", "")], "id int, title string, note string")
     assert sorted(r.id for r in lib.insert_unless_title(rows, new, "title").collect()) == [1, 2, 4]
     assert [r.id for r in lib.delete_by(rows, new.withColumn("id", F.lit(1)), "id").collect()] == [2]
+
+
+def test_alignment_queries_take_long_texts_and_all_languages(spark, tmp_path):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    spoken = {1: words(120), 2: words(90)}
+    long = [*words(1500), *spoken[1][:70], *words(1700), *spoken[1][70:], *words(40)]
+    texts = [(1, long, "en"), (2, [*words(30), *spoken[2], *words(20)], "de"), (3, words(25), "en"), (4, [*spoken[1], *spoken[1]], "fr")]
+    lines = {i: [w[k : k + 9] for k in range(0, len(w), 9)] for i, w, _ in texts}
+    text = {i: "\n".join(map(" ".join, x)) for i, x in lines.items()}
+    assert len(text[1]) > 4000
+    rows = [(i, text[i], lang) for i, _, lang in texts] + [(5, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in spoken.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    grams = lambda w: [tuple(w[k : k + 4]) for k in range(len(w) - 3)]
+    met = [(i, j) for i, w, _ in texts for j, s in spoken.items() if any(grams(w).count(g) == 1 for g in set(grams(s)))]
+    assert {(1, 1), (2, 2)} <= set(met)
+    whole = {i: w for i, w, _ in texts}
+    kernels = {"q_chain": al.chain, "q_chunk_match": al.window_match, "q_word_match": lambda a, b: [(k, m) for k, m in enumerate(al.word_match(a, b)) if m >= 0]}
+    for name, kernel in kernels.items():
+        got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted((i, j, *x) for i, j in met for x in kernel(whole[i], spoken[j])), name
+    assert sum(n for i, j, _, _, n in (tuple(r) for r in QUERIES["q_chunk_match"](spark, str(tmp_path)).collect()) if (i, j) == (1, 1)) >= 110
+    got = sorted(tuple(r) for r in QUERIES["q_sentence_map"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, *x) for i, l in lines.items() for x in enumerate(al.sentence_map(l, l[:2] + l[3:])))
