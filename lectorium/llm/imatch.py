@@ -1,9 +1,10 @@
 """Document fingerprints: I-Match over randomised subsets of a lexicon.
 
 The lexicon is the terms within a band of inverse document frequency over all documents.
-Frequencies are counted by hashed term, in a table of fixed size, so that the lexicon can
-be sent to every task whatever the corpus. A document's distinct terms of the lexicon are
-sorted and hashed once for each of several random subsets of the lexicon.
+Frequencies are counted for each 64-bit term id, and the ids of the lexicon are sent to
+every task, 8 bytes a term; they grow with the distinct terms. A document's distinct
+terms of the lexicon are sorted and hashed once for each of several random subsets of
+the lexicon.
 
 Subsets come in sizes that halve from level to level; a document uses the levels at which
 a subset holds about one of its terms, so that long and short documents can be compared.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import table_partitions, tidy
 from .near_dedup import mix
 
-#: Counters of hashed terms: 2 to this power.
+#: A lexicon may also be given as booleans for the first bits, so many, of term ids.
 TABLE_BITS = 22
+#: Distinct terms that a task counts before it puts them out.
+COUNTED_TOGETHER = 1_000_000
 #: The band: terms in at least this many documents, and at most in this share of them.
 LEAST_DOCUMENTS = 2
 MOST_SHARE = 0.1
@@ -56,32 +59,83 @@ def terms(text: str, ids: TermIds) -> np.ndarray:
     return np.unique(np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)))
 
 
+class Lexicon:
+    """A set of terms by their sorted ids; indexed by ids it says which of them are its own."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(ids), bool)
+        return self.ids[np.searchsorted(self.ids, ids).clip(max=len(self.ids) - 1)] == ids
+
+    def packed(self) -> np.ndarray:
+        return self.ids
+
+
+class Marks(Lexicon):
+    """Booleans for the first ``TABLE_BITS`` bits of ids."""
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        return self.ids[(ids >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+
+    def packed(self) -> np.ndarray:
+        return np.packbits(self.ids)
+
+
+def packed(inside: Lexicon | np.ndarray) -> np.ndarray:
+    """A lexicon, or booleans, as an array to be sent to tasks."""
+    return (Marks(inside) if isinstance(inside, np.ndarray) else inside).packed()
+
+
+def unpacked(sent: np.ndarray) -> Lexicon:
+    return Lexicon(sent) if sent.dtype == np.uint64 else Marks(np.unpackbits(sent).astype(bool))
+
+
 def bucket(ids: np.ndarray) -> np.ndarray:
-    return (ids >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    """What a lexicon is indexed by: all bits of the ids, as each term has a counter of its own."""
+    return ids
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS, most: float = MOST_SHARE) -> np.ndarray:
-    """Which counters are within the band, as one boolean for each; counts cover all documents."""
+def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS, most: float = MOST_SHARE) -> Lexicon:
+    """The terms within the band; counts are exact and cover all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, ids = np.zeros(1 << TABLE_BITS, np.int64), TermIds()
+        ids = TermIds()
+        known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
+        waiting = 0
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            own, n = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (known[:0], counts[:0])
+            both, at = np.unique(np.concatenate([known, own]), return_inverse=True)
+            sums = np.zeros(len(both), np.int64)
+            sums[at[: len(known)]] = counts
+            sums[at[len(known) :]] += n
+            return both, sums
+
+        def put(known: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(known), 100_000):
+                yield pa.record_batch([pa.array(known[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], names=["term", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                own = bucket(terms(text.as_py() or "", ids))
-                counts[own[np.diff(own, prepend=-1) != 0]] += 1  # in order, as the ids are
-        found = np.nonzero(counts)[0]
-        for i in range(0, len(found), 100_000):
-            part = found[i : i + 100_000]
-            yield pa.record_batch([pa.array(part), pa.array(counts[part])], names=["bucket", "n"])
+                fresh.append(terms(text.as_py() or "", ids))
+                waiting += len(fresh[-1])
+                if waiting > COUNTED_TOGETHER:
+                    known, counts = counted()
+                    fresh, waiting = [], 0
+                    if len(known) > COUNTED_TOGETHER:
+                        yield from put(known, counts)
+                        known, counts = known[:0], counts[:0]
+        yield from put(*counted())
 
     total = docs.count()
-    counted = docs.select(text_col).mapInArrow(tidy(work), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    inside = counted.where((F.col("n") >= least) & (F.col("n") <= max(float(least), most * total)))
-    words = inside.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bucket & 63 as int)))").alias("bits"))
-    mask = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    for row in words.toPandas().itertuples():  # 2 ** (TABLE_BITS - 6) rows at most
-        mask[row.word] = row.bits
-    return np.unpackbits(mask.view(np.uint8), bitorder="little").astype(bool)
+    counted = docs.select(text_col).mapInArrow(tidy(work), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    inside = counted.where((F.col("n") >= least) & (F.col("n") <= max(float(least), most * total))).select("term")
+    found = inside.toArrow().column("term").to_numpy()
+    return Lexicon(np.sort(found.view(np.uint64)))
 
 
 @dataclass
@@ -95,7 +149,7 @@ class Fingerprint:
         return f"{self.level}:{self.hashes.astype('>u2').tobytes().hex()}" if self.level >= 0 else "-"
 
 
-def fingerprint(text: str, inside: np.ndarray, ids: TermIds) -> Fingerprint:
+def fingerprint(text: str, inside: Lexicon, ids: TermIds) -> Fingerprint:
     """The fingerprint of a text; one without any term of the lexicon is fingerprinted by all its terms."""
     own = terms(text, ids)
     kept = own[inside[bucket(own)]] if len(own) else own
@@ -134,12 +188,12 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprint_documents(docs: DataFrame, inside: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, inside: Lexicon | np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row its id and ``fingerprint``; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(inside))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(inside))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ids = np.unpackbits(shared.value).astype(bool), TermIds()
+        table, ids = unpacked(shared.value), TermIds()
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([str(fingerprint(t.as_py() or "", table, ids)) for t in batch.column(1)])], names=["id", "fingerprint"])
 
@@ -178,7 +232,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int | Non
     return dealt.repartition(parts, "_range").sortWithinPartitions("_range", "_guest", F.desc("_id"), "_text")
 
 
-def compare_edited(docs: DataFrame, inside: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_edited(docs: DataFrame, inside: Lexicon | np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
     The next document is the one with the next smaller id, after the last the first; rows
@@ -189,11 +243,11 @@ def compare_edited(docs: DataFrame, inside: np.ndarray, id_col: str = "doc_id",
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(inside))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(inside))
     dealt = with_next(docs, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = np.unpackbits(shared.value).astype(bool), TermIds()
+        table, known = unpacked(shared.value), TermIds()
         last = None  # range, id, text, fingerprint, whether a guest
         for batch in batches:
             out = []

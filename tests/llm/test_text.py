@@ -139,6 +139,16 @@ def test_lexicon_counts_documents(spark):
     assert [has(w) for w in ("alpha", "beta", "gamma", "filler")] == [False, True, False, True]
 
 
+def test_lexicon_is_exact_with_many_terms(spark):
+    n = 1_500_000  # so many that first bits of ids are shared
+    once = spark.range(0, n, 1000).select(F.concat_ws(" ", F.transform(F.sequence("id", F.col("id") + 999), lambda x: F.concat(F.lit("t"), x.cast("string")))).alias("text"))
+    docs = once.union(spark.createDataFrame([("twice t7",), ("twice t1400007",)], "text string")).repartition(4)
+    inside = imatch.lexicon(docs, most=0.5)
+    known = imatch.TermIds()
+    assert not inside[imatch.bucket(imatch.terms(" ".join(f"t{k}" for k in range(50_000, 90_000)), known))].any()
+    assert inside[imatch.bucket(imatch.terms("twice t7 t1400007", known))].all() and len(inside.ids) == 3
+
+
 def test_edited_texts(spark):
     rng = random.Random(3)
     texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(1, 300))) for _ in range(150)] + [None, "", "x", "é" * 50, "same words here", "same words here"]
