@@ -4,9 +4,11 @@ A text is cut into chunks that no piece of the model crosses: runs of spaces wit
 follows them. In a chunk the best candidate merge is taken from the agenda again and
 again (the greatest score, then the leftmost). A candidate is skipped when the hash of
 the key, the chunk, its place and its piece falls below the dropout rate; a skipped
-candidate stays skipped, so the outcome depends on the key alone. The key of an
-occurrence is one of ``VARIANTS`` variants, drawn by seed, document and position, so that
-equal words are cut in different ways and frequent ones need not be cut anew each time.
+candidate stays skipped, so the outcome depends on the key alone. Each occurrence has a
+64-bit key of its own, from seed, document and position, so equal words are cut in
+different ways. Only the cut without skips is kept for each chunk: it holds for an
+occurrence that skips none of the merges made in it, as a candidate that is never taken
+changes nothing. All others are cut anew.
 
 Spaces become the model's space sign; a space sign in the text, and characters without a
 piece, become byte pieces. So every text is decoded to itself.
@@ -28,37 +30,55 @@ from pyspark.sql import functions as F
 from .common import tidy
 from .near_dedup import mix
 
-VARIANTS = 8
 DROPOUT = 0.1
 SIGN = "▁"
 #: Chunks up to this many symbols are merged side by side in arrays, longer ones with a heap.
 SIDE_BY_SIDE = 40
-
 _NONE = np.int64(2**62)
 
 
 class Codes(dict):
-    """Numbers of the chunks of one variant; a new one is noted as missing."""
+    """Numbers of the chunks; a new one is noted as missing."""
 
-    def __init__(self, encoder: MergeDropout, variant: int):
+    def __init__(self, missing: list[str]):
         super().__init__()
-        self.encoder, self.variant = encoder, variant
+        self.missing = missing
 
     def __missing__(self, chunk: str) -> int:
-        self[chunk] = code = self.encoder.count
-        self.encoder.count += 1
-        self.encoder.missing.append((chunk, self.variant))
+        self[chunk] = code = len(self)
+        self.missing.append(chunk)
         return code
 
 
+class Grown:
+    """An array that grows at its end, with room to spare."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(self.n + 2 * len(values), self.held.dtype)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.held[at]
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers from ``first`` on, ``n`` of them, one range after another."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class MergeDropout:
     """An encoder and decoder from a SentencePiece BPE model file with byte pieces."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = 1, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = 1):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropout, self.variants, self.seed = dropout, variants, seed
+        self.dropout, self.seed = dropout, seed
         size = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(size)]
         self.bytes_of = [b""] * size
@@ -115,17 +135,22 @@ class MergeDropout:
         return self.size + ord(text) if len(text) == 1 else None
 
     def forget(self) -> None:
-        self.missing: list[tuple[str, int]] = []
-        self.count = 0
-        self.codes = [Codes(self, k) for k in range(self.variants)]
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.missing: list[str] = []
+        self.codes = Codes(self.missing)
+        # Of each chunk without skips: its ids and the merges made (place << 21 | piece) as ranges; the chunk's hash.
+        self.id_start, self.id_count, self.made_start, self.made_count = (Grown(np.int64) for _ in range(4))
+        self.hashes = Grown(np.uint64)
+        self.flat, self.made = Grown(np.int32), Grown(np.int64)
 
     def skipped(self, key: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether candidates are skipped: hash of the chunk's key, the first character's place and the piece."""
+        """Whether candidates are skipped: hash of the occurrence's key, the first character's place and the piece."""
         return mix(key + (start.astype(np.uint64) << np.uint64(32)) + piece.astype(np.uint64)) < self.limit
 
+    def hash(self, chunk: str) -> int:
+        return xxhash.xxh64_intdigest(chunk, seed=self.seed)
+
     def key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(chunk, seed=self.seed * 1_000_003 + variant)
+        return (self.hash(chunk) + variant) % 2**64
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of the characters of a text; a space is the model's sign, the sign itself none of its pieces."""
@@ -142,12 +167,12 @@ class MergeDropout:
             out += [s] if s < self.size else [self.byte_id[b] for b in chr(s - self.size).encode()]
         return out
 
-    def one(self, chunk: str, variant: int) -> list[int]:
-        """The segmentation of one chunk with a heap as agenda."""
+    def one(self, chunk: str, variant: int, keyed: bool = False) -> list[int]:
+        """The segmentation of one chunk with a heap as agenda, for a variant or, if ``keyed``, a whole key."""
         symbols = self.symbols(chunk).tolist()
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = np.array([self.key(chunk, variant)], np.uint64)
+        key = np.array([variant if keyed else self.key(chunk, variant)], np.uint64)
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def offer(i: int) -> None:
@@ -181,20 +206,23 @@ class MergeDropout:
 
     def many(self, chunks: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Segmentations of chunks of similar length, side by side: all ids, and how many each has."""
+        return self.side_by_side([c for c, _ in chunks], np.array([self.key(*c) for c in chunks], np.uint64))
+
+    def side_by_side(self, chunks: list[str], keys: np.ndarray | None, made: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As ``many``; without keys nothing is skipped. ``made`` gets the merges as row << 42 | place << 21 | piece."""
         n = len(chunks)
-        sizes = np.array([len(c) for c, _ in chunks])
+        sizes = np.array([len(c) for c in chunks])
         width = int(sizes.max())
         # Symbols stay where their first character is; column ``width`` stands for both ends.
         symbols = np.full((n, width + 1), -1, np.int64)
-        symbols[np.arange(width + 1)[None, :] < sizes[:, None]] = self.symbols("".join([c for c, _ in chunks]))
+        symbols[np.arange(width + 1)[None, :] < sizes[:, None]] = self.symbols("".join(chunks))
         after, before = np.tile(np.arange(1, width + 2), (n, 1)), np.tile(np.arange(-1, width), (n, 1))
         after[:, width] = width
-        keys = np.array([self.key(c, v) for c, v in chunks], np.uint64)
 
         def candidates(rows: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
             found = self.find(left, right)
             hit = np.nonzero(found != _NONE)[0]
-            if self.dropout and len(hit):
+            if keys is not None and self.dropout and len(hit):
                 drop = self.skipped(keys[rows[hit]], at[hit], found[hit] & (1 << 21) - 1)
                 found[hit[drop]] = _NONE
             return found
@@ -212,6 +240,8 @@ class MergeDropout:
                 break
             gone, previous = after[live, best], before[live, best]
             following, piece = after[live, gone], found & (1 << 21) - 1
+            if made is not None:
+                made.append(live << 42 | best << 21 | piece)
             symbols[live, best], symbols[live, gone], agenda[live, gone] = piece, -1, _NONE
             after[live, best], before[live, following] = following, best
             agenda[live, best] = candidates(live, piece, symbols[live, following], best)
@@ -222,53 +252,76 @@ class MergeDropout:
             flat, counts = np.array([i for x in spelled for i in x], np.int64), np.array([len(x) for x in spelled])
         return flat, counts
 
-    def learn(self, missing: list[tuple[str, int]]) -> None:
-        """Segment chunks and keep what they give."""
-        sizes = np.zeros(len(missing), np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray]] = []  # places of chunks, their ids one after another
-        by_length: dict[int, list[int]] = {}
-        for k, (chunk, _) in enumerate(missing):
-            by_length.setdefault((len(chunk) + 2) // 3 if len(chunk) <= SIDE_BY_SIDE else -1, []).append(k)
-        for length, places in by_length.items():
+    @staticmethod
+    def blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of chunks of similar length, 2,000 at most."""
+        group = (lengths + 2) // 3
+        order = np.argsort(group, kind="stable")
+        for places in np.split(order, np.nonzero(np.diff(group[order]))[0] + 1):
             for i in range(0, len(places), 2_000):
-                block = places[i : i + 2_000]
-                if length < 0:
-                    each = [self.one(*missing[k]) for k in block]
-                    flat, counts = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
-                else:
-                    flat, counts = self.many([missing[k] for k in block])
-                sizes[block] = counts
-                parts.append((np.array(block), flat))
-        first = self.starts[-1]
-        ends = first + np.cumsum(sizes)
-        begins = ends - sizes - first
-        new = np.zeros(int(sizes.sum()), np.int32)
-        for block, flat in parts:
-            n = sizes[block]
-            new[np.repeat(begins[block] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(flat))] = flat
-        self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, new])
+                yield places[i : i + 2_000]
+
+    def learn(self) -> None:
+        """Cut the missing chunks without skips and keep what comes of them; long ones get no ids."""
+        n = len(self.missing)
+        ids, merges = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+        lengths = np.array([len(c) for c in self.missing])
+        short = np.nonzero(lengths <= SIDE_BY_SIDE)[0]
+        for places in self.blocks(lengths[short]) if len(short) else ():
+            block = short[places]
+            made: list[np.ndarray] = []
+            flat, counts = self.side_by_side([self.missing[k] for k in block.tolist()], None, made)
+            codes = np.sort(np.concatenate(made)) if made else np.zeros(0, np.int64)
+            many = np.bincount(codes >> 42, minlength=len(block))
+            ids[:, block] = self.flat.n + np.cumsum(counts) - counts, counts
+            merges[:, block] = self.made.n + np.cumsum(many) - many, many
+            self.flat.extend(flat)
+            self.made.extend(codes & (1 << 42) - 1)
+        for column, values in ((self.id_start, ids[0]), (self.id_count, ids[1]), (self.made_start, merges[0]), (self.made_count, merges[1])):
+            column.extend(values)
+        self.hashes.extend(np.array([self.hash(c) for c in self.missing], np.uint64))
+        self.missing.clear()
+
+    def skips(self, codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Places of the occurrences that skip a merge made in their chunk without skips."""
+        n = self.made_count[codes]
+        merge = self.made[ranges(self.made_start[codes], n)]
+        on = np.nonzero(self.skipped(np.repeat(keys, n), merge >> 21, merge & (1 << 21) - 1))[0]
+        return np.unique(np.searchsorted(np.cumsum(n), on, side="right"))
 
     def encode_batch(self, documents: list[tuple[int, str]]) -> list[np.ndarray]:
-        """Ids of texts, each with the id of its document, on which its variants depend."""
-        if self.count > 400_000:
+        """Ids of texts, each with the id of its document, on which its keys depend."""
+        if len(self.codes) > 400_000:
             self.forget()
-        look_up = [known.__getitem__ for known in self.codes]
-        coded = []
+        chunks: list[str] = []
+        ends, drawn = [], []
         for doc, text in documents:
-            chunks = self.chunk.findall(" " + text) if text else []
-            places = np.arange(len(chunks), dtype=np.uint64)
-            drawn = mix(places + np.uint64(xxhash.xxh64_intdigest(str(doc), seed=self.seed) >> 1)) % np.uint64(self.variants)
-            coded.append(np.array([look_up[variant](chunk) for chunk, variant in zip(chunks, drawn.tolist())], np.int64))
+            found = self.chunk.findall(" " + text) if text else []
+            places = np.arange(len(found), dtype=np.uint64)
+            drawn.append(mix(places + np.uint64(xxhash.xxh64_intdigest(str(doc), seed=self.seed) >> 1)))
+            chunks += found
+            ends.append(len(chunks))
+        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
         if self.missing:
-            self.learn(self.missing)
-            self.missing.clear()
-        out = []
-        for codes in coded:
-            first, n = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
-            shift = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(codes) else np.zeros(0, np.int64)
-            out.append(self.flat[shift + np.arange(len(shift))])
-        return out
+            self.learn()
+        keys = self.hashes[codes] + np.concatenate(drawn)
+        first, n = self.id_start[codes], self.id_count[codes]
+        parts, end = [self.flat.held[: self.flat.n]], self.flat.n
+        anew = self.skips(codes, keys) if self.dropout else np.zeros(0, np.int64)
+        for places in self.blocks(np.array([len(chunks[k]) for k in anew.tolist()])) if len(anew) else ():
+            block = anew[places]
+            flat, counts = self.side_by_side([chunks[k] for k in block.tolist()], keys[block])
+            first[block], n[block] = end + np.cumsum(counts) - counts, counts
+            parts.append(flat)
+            end += len(flat)
+        for k in np.nonzero(n == 0)[0].tolist():  # long chunks
+            ids = self.one(chunks[k], int(keys[k]), keyed=True)
+            first[k], n[k] = end, len(ids)
+            parts.append(np.array(ids, np.int64))
+            end += len(ids)
+        flat = np.concatenate([p.astype(np.int32) for p in parts])[ranges(first, n)]
+        sizes = np.concatenate([[0], np.cumsum(n)])
+        return np.split(flat, sizes[ends[:-1]])
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()[1:]

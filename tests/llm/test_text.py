@@ -59,6 +59,33 @@ def test_equal_words_vary():
     assert bpe.decode(np.array(ids)) == "international " * 50
 
 
+def test_each_occurrence_has_its_own_skips():
+    model = vocabulary("piece_bpe_32k.model")
+    bpe = merge_dropout.MergeDropout(model, 0.1)
+    text = "international " * 4000
+    ids = bpe.encode_batch([(1, text)])[0].tolist()
+    words, word = [], []
+    for i in ids:
+        word.append(i)
+        if bpe.decode(np.array([bpe.ids["▁"], *word])).strip().endswith("international"):
+            words.append(tuple(word))
+            word = []
+    assert len(words) == 4000 and len(set(words)) > 20  # more than eight ways
+
+
+def test_kept_cuts_are_those_of_the_heap():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeinrstÉж,") for _ in range(rng.randrange(1, 30))) for _ in range(40)] + ["international", "the", "and"]
+    docs = [(d, " ".join(rng.choices(words, k=150)) + "\n") for d in range(12)] + [(20, ""), (None, "the " * 30)]
+    for rate in (0.1, 0.5, 1.0):
+        bpe = merge_dropout.MergeDropout(vocabulary("piece_bpe_32k.model"), rate)
+        for (doc, text), got in zip(docs, bpe.encode_batch(docs)):
+            chunks = bpe.chunk.findall(" " + text) if text else []
+            start = merge_dropout.xxhash.xxh64_intdigest(str(doc), seed=1) >> 1
+            keys = merge_dropout.mix(np.arange(len(chunks), dtype=np.uint64) + np.uint64(start)).tolist()
+            assert got.tolist() == [i for c, k in zip(chunks, keys) for i in bpe.one(c, k)]
+
+
 # Packing
 
 
