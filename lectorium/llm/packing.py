@@ -8,16 +8,19 @@ sequences at one offset. Pieces then find their slots by their rank within their
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, tidy
+from .common import checkpoint, fresh, tidy
+from .merge_dropout import Codes, Grown, portions, ranges
 
 CAPACITY = 2048
 END_ID = 0
@@ -26,17 +29,71 @@ RANKED_TOGETHER = 20_000
 #: Runs of a plan that may be broadcast; a plan is some hundred runs to some ten thousand, whatever the corpus.
 MOST_RUNS = 500_000
 
+#: Chunks that a task keeps the ids of.
+MOST_KEPT = 300_000
+CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+SPACED_WORD = re.compile(r" ?[^\t-\r ]{1,60}")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def byte_bpe(path: str):
-    """An encoder from a rank file of byte-level BPE; the ids are those of the same vocabulary's JSON file."""
-    import public_tokenizers
-    import tiktoken
+class ByteBpe:
+    """Ids by the ``tokenizers`` library from a JSON file of byte-level BPE, as the file stands.
+
+    Added tokens in a text, such as ``<|endoftext|>``, get their own ids. No token of such a
+    file goes on over the place where white space follows another sign, so texts are cut
+    there into chunks; each chunk is encoded once and kept. Texts with white space that
+    libraries don't agree on are encoded whole.
+    """
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.line_feed = self.library.token_to_id("Ċ")
+        self.forget()
+
+    def forget(self) -> None:
+        self.missing: list[str] = []
+        self.codes = Codes(self.missing)
+        self.start, self.count, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Encode the missing chunks: words all at once with line feeds between, as these are a token of their own there."""
+        words = [SPACED_WORD.fullmatch(x) is not None for x in self.missing]
+        text = "\n".join(x for x, w in zip(self.missing, words) if w)
+        joined = np.array(self.whole([text])[0] if text else [], np.uint32)
+        ends = np.append(np.nonzero(joined == self.line_feed)[0], len(joined))
+        if len(ends) != max(1, sum(words)):
+            raise ValueError("this vocabulary joins line feeds with words")
+        starts = np.append(0, ends[:-1] + 1)
+        rest = self.whole([x for x, w in zip(self.missing, words) if not w])
+        word, n = np.array(words, bool), np.array([len(x) for x in rest], np.int64)
+        start, count = np.zeros((2, len(words)), np.int64)
+        if text:
+            start[word], count[word] = starts, ends - starts
+        start[~word], count[~word] = len(joined) + np.cumsum(n) - n, n
+        self.start.extend(start + self.flat.n)
+        self.count.extend(count)
+        self.flat.extend(joined)
+        self.flat.extend(np.fromiter(chain.from_iterable(rest), np.uint32, int(n.sum())))
+        self.missing.clear()
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.codes) > MOST_KEPT or self.flat.n > 8 * MOST_KEPT:
+            self.forget()
+        coded = []
+        for text in texts:
+            chunks = [] if ODD_SPACE.search(text) else CHUNK.findall(text)
+            coded.append(np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks)))
+        if self.missing:
+            self.learn()
+        found = [self.flat[ranges(self.start[c], self.count[c])] for c in coded]
+        return [np.array(self.whole([t])[0], np.uint32) if t and not len(c) else x for t, c, x in zip(texts, coded, found)]
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -44,22 +101,23 @@ def cut(n: int, capacity: int) -> list[int]:
     return [0, *range(n - (n - 1) // capacity * capacity, n, capacity), n]
 
 
-def encode_pieces(docs: DataFrame, ranks: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): ``piece`` from 0, ``start``, ``length``, ``ids`` (little-endian uint32).
 
     A document is its tokens, then ``end_id``; a null text is empty, so it gives one piece
-    of one token. Strings of special tokens are ordinary text. Only documents longer than
-    ``capacity`` are cut; the first piece then takes what is over. Null ids and repeated
-    rows are kept, each on its own; other columns are not read.
+    of one token. Only documents longer than ``capacity`` are cut; the first piece then
+    takes what is over. Null ids and repeated rows are kept, each on its own. Other columns
+    are not read, whatever their names; an empty table gives an empty result.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(ranks)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        bpe = ByteBpe(vocabulary)
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(bpe.encode_to_numpy(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc, ids in encoded(bpe, batch):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 at = cut(len(ids), capacity)
                 for k, (a, b) in enumerate(zip(at, at[1:])):
                     out.append((doc, k, a, b - a, ids[a:b].tobytes()))
@@ -70,6 +128,10 @@ def encode_pieces(docs: DataFrame, ranks: str, capacity: int = CAPACITY, end_id:
             if out:
                 yield rows(out)
 
+    def encoded(bpe: ByteBpe, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for part in portions(batch):
+            yield from zip(part.column(0).to_pylist(), bpe.encode_batch([t or "" for t in part.column(1).to_pylist()]))
+
     def rows(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids"])
@@ -129,33 +191,40 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``pieces`` is read more than once, so it must be checkpointed or cheap. Every length
     must be from 1 to ``capacity``. Ranks within a length are counted by salted parts, so a
-    length that holds most pieces is spread as well. An empty table gives an empty result.
+    length that holds most pieces is spread as well, and so are rows that are all alike.
+    Columns named ``sequence_id`` or ``offset`` are replaced, others are kept, but those of
+    the plan (_length, _first, _n, _sequence, _offset) are dropped. An empty table gives an
+    empty result.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset", "_length", "_first", "_n", "_sequence", "_offset")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most one row a length
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
     runs = plan_runs(counts, capacity)
-    plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "_length long, _first long, _n long, _sequence long, offset long")
+    plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "_length long, _first long, _n long, _sequence long, _offset long")
     if len(runs) <= MOST_RUNS:
         plan = F.broadcast(plan)
 
+    # The salt is kept in the checkpoint, so rows equal in all columns can be spread as well.
     salts = max(64, sum(counts.values()) // RANKED_TOGETHER)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    parts = salted.groupBy("length", "_salt").count()
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(inside)).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base"))
-    rank, first = F.col("_rank"), F.col("_first")
+    salt, rank_col, base = (fresh(name, pieces) for name in ("_salt", "_rank", "_base"))
+    spread = F.pmod(F.xxhash64(*pieces.columns, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(salts))
+    salted = checkpoint(pieces.withColumn(salt, spread))
+    parts = salted.groupBy("length", salt).count()
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("length", salt, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy("length", salt).orderBy("doc_id", "piece")
+    ranked = salted.withColumn(rank_col, F.row_number().over(inside)).join(bases, ["length", salt]).withColumn(rank_col, F.col(rank_col) - 1 + F.col(base))
+    rank, first = F.col(rank_col), F.col("_first")
     return ranked.join(plan, (F.col("length") == F.col("_length")) & (rank >= first) & (rank < first + F.col("_n"))).select(
-        *pieces.columns,
+        *[F.col(f"`{c}`") for c in pieces.columns],
         (F.col("_sequence") + rank - first).alias("sequence_id"),
-        "offset",
+        F.col("_offset").alias("offset"),
     )
 
 
-def packed_documents(docs: DataFrame, ranks: str, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of ``docs`` with their places; of the tokens only ``ids_crc32`` stays."""
-    pieces = encode_pieces(docs, ranks, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"))
+    pieces = encode_pieces(docs, vocabulary, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"))
     return pack(checkpoint(pieces), capacity)

@@ -97,7 +97,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

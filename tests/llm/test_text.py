@@ -92,11 +92,37 @@ def test_kept_cuts_are_those_of_the_heap():
 def test_tokens_are_those_of_the_json_file():
     from tokenizers import Tokenizer
 
-    reference = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    own = packing.byte_bpe(vocabulary("byte_bpe_50k.tiktoken"))
-    for t in TEXTS:
-        assert own.encode_ordinary(t or "") == reference.encode(t or "", add_special_tokens=False).ids
+    path = vocabulary("byte_bpe_50k.json")
+    reference, own = Tokenizer.from_file(path), packing.ByteBpe(path)
+    rng = random.Random(11)
+    signs = ["a", "the", "é", "ж", "中", "😀", "1", "42", ".", "'s", "'ll", "<|endoftext|>", "<|endoftext", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\ufeff", "\x00", "\u0301"]
+    made = ["".join(rng.choices(signs, k=rng.randrange(1, 25))) for _ in range(4000)]
+    specials = ["<|endoftext|> hi <|endoftext|>", "end <|endoftext|> of", "a<|endoftext|>\n\n<|endoftext|> b"]
+    for t in [*TEXTS, *made, *specials, " " * 2_000_000, "\n" * 300_000 + "x", "x" * 200_000, " \n" * 100_000 + " y"]:
+        assert own.encode_batch([t or ""])[0].tolist() == reference.encode(t or "", add_special_tokens=False).ids
+    assert own.encode_batch(["<|endoftext|>"])[0].tolist() == [50256]
+
+
+def test_tokens_of_the_table_are_those_of_the_json_file(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    reference, own = Tokenizer.from_file(path), packing.ByteBpe(path)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for i in range(0, len(texts), 200):
+        assert [x.tolist() for x in own.encode_batch(texts[i : i + 200])] == [x.ids for x in reference.encode_batch(texts[i : i + 200], add_special_tokens=False)]
+
+
+def test_odd_packing(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    rows = [(1, None, 5, "x", 1), (1, None, 5, "x", 1), (None, " " * 1_500_000, 1, "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, offset long, _salt string, length long")
+    packed = packing.packed_documents(docs, path).collect()
+    assert len(packed) == 2 + -(-1_500_001 // 2048) and len({(p.sequence_id, p.offset) for p in packed}) == len(packed)
+    assert packing.packed_documents(docs.limit(0), path).count() == 0
+    alike = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(100).cast("long").alias("length"), F.lit(1).alias("_salt"), F.lit(2).alias("offset"), F.lit(3).alias("_rank"))
+    got = packing.pack(alike).collect()
+    assert len({(p.sequence_id, p.offset) for p in got}) == 500 and len({p.sequence_id for p in got}) == 25 and got[0]["_rank"] == 3 and got[0]["_salt"] == 1
 
 
 def test_cut():
@@ -136,22 +162,22 @@ def test_plan_is_best_fit():
 def test_packing_is_a_round_trip(spark):
     texts = [*TEXTS, *[f"text {i % 7} " * (i % 40) for i in range(200)], "long " * 9000]
     docs = docs_of(spark, texts)
-    pieces = packing.encode_pieces(docs, vocabulary("byte_bpe_50k.tiktoken")).collect()
-    bpe = packing.byte_bpe(vocabulary("byte_bpe_50k.tiktoken"))
+    pieces = packing.encode_pieces(docs, vocabulary("byte_bpe_50k.json")).collect()
+    bpe = packing.ByteBpe(vocabulary("byte_bpe_50k.json"))
     whole = {}
     for p in sorted(pieces, key=lambda p: (p.doc_id, p.piece)):
         ids = np.frombuffer(p.ids, "<u4")
         assert p.start == len(whole.get(p.doc_id, [])) and len(ids) == p.length <= 2048 and (p.length == 2048 or p.piece == 0)
         whole.setdefault(p.doc_id, []).extend(ids.tolist())
-    assert {i: bpe.decode(x[:-1]) for i, x in whole.items()} == {i: t or "" for i, t in enumerate(texts)} and all(x[-1] == 0 for x in whole.values())
-    packed = packing.packed_documents(docs, vocabulary("byte_bpe_50k.tiktoken")).collect()
+    assert {i: bpe.library.decode(x[:-1], skip_special_tokens=False) for i, x in whole.items()} == {i: t or "" for i, t in enumerate(texts)} and all(x[-1] == 0 for x in whole.values())
+    packed = packing.packed_documents(docs, vocabulary("byte_bpe_50k.json")).collect()
     assert sorted((p.doc_id, p.piece) for p in packed) == sorted((p.doc_id, p.piece) for p in pieces)
     fill = {}
     for p in sorted(packed, key=lambda p: (p.sequence_id, p.offset)):
         assert fill.get(p.sequence_id, 0) == p.offset
         fill[p.sequence_id] = p.offset + p.length
     assert max(fill.values()) <= 2048 and len(fill) == best_fit([p.length for p in packed], 2048)
-    repeated = packing.packed_documents(docs.union(docs), vocabulary("byte_bpe_50k.tiktoken")).collect()
+    repeated = packing.packed_documents(docs.union(docs), vocabulary("byte_bpe_50k.json")).collect()
     assert len({(p.sequence_id, p.offset) for p in repeated}) == len(repeated) == 2 * len(packed)
 
 
