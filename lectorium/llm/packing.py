@@ -8,11 +8,11 @@ sequences at one offset. Pieces then find their slots by their rank within their
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fresh, tidy
-from .merge_dropout import Codes, Grown, portions, ranges
 
 CAPACITY = 2048
 END_ID = 0
@@ -29,71 +28,54 @@ RANKED_TOGETHER = 20_000
 #: Runs of a plan that may be broadcast; a plan is some hundred runs to some ten thousand, whatever the corpus.
 MOST_RUNS = 500_000
 
-#: Chunks that a task keeps the ids of.
-MOST_KEPT = 300_000
-CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-SPACED_WORD = re.compile(r" ?[^\t-\r ]{1,60}")
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+#: Words, or blanks over one a word, from which on a text is not plain.
+LONG_RUN = 1_000
+#: Signs that are a letter, a mark or a blank to any library: white space, ASCII, Latin, Greek, Cyrillic,
+#: Hebrew and Arabic letters, punctuation, kana, Han and Hangul.
+PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*+")
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class ByteBpe:
-    """Ids by the ``tokenizers`` library from a JSON file of byte-level BPE, as the file stands.
+    """Ids as the ``tokenizers`` library gives them for a JSON file of byte-level BPE, as the file stands.
 
-    Added tokens in a text, such as ``<|endoftext|>``, get their own ids. No token of such a
-    file goes on over the place where white space follows another sign, so texts are cut
-    there into chunks; each chunk is encoded once and kept. Texts with white space that
-    libraries don't agree on are encoded whole.
+    Added tokens in a text, such as ``<|endoftext|>``, get their own ids. Plain texts, which
+    are nearly all, go through a faster library with the vocabulary of the same file, which
+    gives equal ids (tested); texts with an added token, with signs that are not plain, with
+    very long words or much white space go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
         self.library = Tokenizer.from_file(path)
-        self.line_feed = self.library.token_to_id("Ċ")
-        self.forget()
-
-    def forget(self) -> None:
-        self.missing: list[str] = []
-        self.codes = Codes(self.missing)
-        self.start, self.count, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self) -> None:
-        """Encode the missing chunks: words all at once with line feeds between, as these are a token of their own there."""
-        words = [SPACED_WORD.fullmatch(x) is not None for x in self.missing]
-        text = "\n".join(x for x, w in zip(self.missing, words) if w)
-        joined = np.array(self.whole([text])[0] if text else [], np.uint32)
-        ends = np.append(np.nonzero(joined == self.line_feed)[0], len(joined))
-        if len(ends) != max(1, sum(words)):
-            raise ValueError("this vocabulary joins line feeds with words")
-        starts = np.append(0, ends[:-1] + 1)
-        rest = self.whole([x for x, w in zip(self.missing, words) if not w])
-        word, n = np.array(words, bool), np.array([len(x) for x in rest], np.int64)
-        start, count = np.zeros((2, len(words)), np.int64)
-        if text:
-            start[word], count[word] = starts, ends - starts
-        start[~word], count[~word] = len(joined) + np.cumsum(n) - n, n
-        self.start.extend(start + self.flat.n)
-        self.count.extend(count)
-        self.flat.extend(joined)
-        self.flat.extend(np.fromiter(chain.from_iterable(rest), np.uint32, int(n.sum())))
-        self.missing.clear()
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > MOST_KEPT or self.flat.n > 8 * MOST_KEPT:
-            self.forget()
-        coded = []
-        for text in texts:
-            chunks = [] if ODD_SPACE.search(text) else CHUNK.findall(text)
-            coded.append(np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks)))
-        if self.missing:
-            self.learn()
-        found = [self.flat[ranges(self.start[c], self.count[c])] for c in coded]
-        return [np.array(self.whole([t])[0], np.uint32) if t and not len(c) else x for t, c, x in zip(texts, coded, found)]
+        added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"\Z\A.").search
+        bytes_of = byte_letters()
+        ranks = {bytes(bytes_of[c] for c in piece): i for piece, i in vocabulary.items() if piece not in added}
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def is_plain(self, text: str) -> bool:
+        words = text.split()
+        longest, blanks = max(map(len, words), default=0), len(text) - sum(map(len, words))
+        return longest < LONG_RUN and blanks - len(words) < LONG_RUN and PLAIN.fullmatch(text) is not None and self.added(text) is None
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.is_plain(text):
+            return self.fast.encode_to_numpy(text)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: those that can be seen as such stand for themselves."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    unseen = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(unseen)}
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -116,8 +98,8 @@ def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, en
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for doc, ids in encoded(bpe, batch):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.append(bpe.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 at = cut(len(ids), capacity)
                 for k, (a, b) in enumerate(zip(at, at[1:])):
                     out.append((doc, k, a, b - a, ids[a:b].tobytes()))
@@ -128,10 +110,6 @@ def encode_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, en
             if out:
                 yield rows(out)
 
-    def encoded(bpe: ByteBpe, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for part in portions(batch):
-            yield from zip(part.column(0).to_pylist(), bpe.encode_batch([t or "" for t in part.column(1).to_pylist()]))
-
     def rows(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids"])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,10 +98,15 @@ def test_tokens_are_those_of_the_json_file():
     rng = random.Random(11)
     signs = ["a", "the", "é", "ж", "中", "😀", "1", "42", ".", "'s", "'ll", "<|endoftext|>", "<|endoftext", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\ufeff", "\x00", "\u0301"]
     made = ["".join(rng.choices(signs, k=rng.randrange(1, 25))) for _ in range(4000)]
+    rng = random.Random(12)  # plain texts of all signs
+    plain = [chr(k) for k in range(0x10000) if not 0xD800 <= k < 0xE000 and packing.PLAIN.fullmatch(chr(k))]
+    common = [*"\t\n\r    ", *(chr(k) for k in range(33, 127)), "'s", "'re", "'LL"]
+    drawn = ["".join(rng.choices(common, k=20) + rng.choices(plain, k=10)) for _ in range(6000)]
+    made += ["".join(rng.sample(x, len(x))) for x in drawn] + ["".join(plain[k : k + 50]) for k in range(0, len(plain), 50)]
     specials = ["<|endoftext|> hi <|endoftext|>", "end <|endoftext|> of", "a<|endoftext|>\n\n<|endoftext|> b"]
     for t in [*TEXTS, *made, *specials, " " * 2_000_000, "\n" * 300_000 + "x", "x" * 200_000, " \n" * 100_000 + " y"]:
-        assert own.encode_batch([t or ""])[0].tolist() == reference.encode(t or "", add_special_tokens=False).ids
-    assert own.encode_batch(["<|endoftext|>"])[0].tolist() == [50256]
+        assert own.encode(t or "").tolist() == reference.encode(t or "", add_special_tokens=False).ids
+    assert own.encode("<|endoftext|>").tolist() == [50256]
 
 
 def test_tokens_of_the_table_are_those_of_the_json_file(spark):
@@ -109,8 +115,9 @@ def test_tokens_of_the_table_are_those_of_the_json_file(spark):
     path = vocabulary("byte_bpe_50k.json")
     reference, own = Tokenizer.from_file(path), packing.ByteBpe(path)
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert sum(map(own.is_plain, texts)) > 0.9 * len(texts)
     for i in range(0, len(texts), 200):
-        assert [x.tolist() for x in own.encode_batch(texts[i : i + 200])] == [x.ids for x in reference.encode_batch(texts[i : i + 200], add_special_tokens=False)]
+        assert [own.encode(x).tolist() for x in texts[i : i + 200]] == [x.ids for x in reference.encode_batch(texts[i : i + 200], add_special_tokens=False)]
 
 
 def test_odd_packing(spark):
@@ -188,7 +195,7 @@ def test_lexicon_counts_documents(spark):
     texts = ["alpha beta", "alpha gamma gamma", "alpha delta beta", None] + ["filler"] * 2
     inside = imatch.lexicon(docs_of(spark, texts), least=2, most=0.34)
     known = imatch.TermIds()
-    has = lambda w: bool(inside[imatch.bucket(imatch.terms(w, known))][0])
+    has = lambda w: len(inside.of(imatch.terms(w, known))) == 1
     assert [has(w) for w in ("alpha", "beta", "gamma", "filler")] == [False, True, False, True]
 
 
@@ -198,8 +205,8 @@ def test_lexicon_is_exact_with_many_terms(spark):
     docs = once.union(spark.createDataFrame([("twice t7",), ("twice t1400007",)], "text string")).repartition(4)
     inside = imatch.lexicon(docs, most=0.5)
     known = imatch.TermIds()
-    assert not inside[imatch.bucket(imatch.terms(" ".join(f"t{k}" for k in range(50_000, 90_000)), known))].any()
-    assert inside[imatch.bucket(imatch.terms("twice t7 t1400007", known))].all() and len(inside.ids) == 3
+    assert not len(inside.of(imatch.terms(" ".join(f"t{k}" for k in range(50_000, 90_000)), known)))
+    assert len(inside.of(imatch.terms("twice t7 t1400007", known))) == 3 == len(inside.ids)
 
 
 def test_edited_texts(spark):
@@ -223,10 +230,74 @@ def test_edited_texts(spark):
     assert {r.doc_id: r.fingerprint for r in whole} == {i: got[i].fingerprint for i in got}
 
 
+EVERY = imatch.Lexicon(np.array([], np.uint64))  # no term is in it, so all count
+
+
+def plain_mix(x):
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD % 2**64
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
+    return x ^ x >> 33
+
+
+def brute_fingerprint(text, lexicon):
+    """Per level and subset the hash of the sorted terms in it, in whole numbers; ``lexicon`` holds the words."""
+    import string
+
+    words = {w for w in text.lower().translate(str.maketrans(string.punctuation, " " * len(string.punctuation))).encode().split()}
+    kept = {w for w in words if w in lexicon} or words
+    if not kept:
+        return None, {}
+    level = len(kept).bit_length() - 1
+    hashes = {}
+    for k in range(3):
+        for s in range(imatch.SUBSETS):
+            chosen = [m for m in (plain_mix(imatch.xxhash.xxh64_intdigest(w, seed=5)) for w in kept) if m * int(imatch._FACTORS[s]) % 2**64 < 2 ** (64 - level - k)]
+            total = sum(map(plain_mix, sorted(chosen))) % 2**64
+            hashes[level + k, s] = plain_mix(total) % (2**16 - 1) + 1 if total else 0
+    return level, hashes
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.5)), 4000)}" for _ in range(rng.randrange(0, 400))) for _ in range(120)] + [None, "", "w1", "¡ñandú! w1,w1"]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in imatch.compare_edited(docs, imatch.lexicon(docs)).collect()}
+    count = {}
+    for t in texts:
+        for w in set((t or "").lower().replace("!", " ").replace(",", " ").encode().split()):
+            count[w] = count.get(w, 0) + 1
+    lexicon = {w for w, n in count.items() if 2 <= n <= 0.1 * len(texts)}
+
+    def written(level, hashes):
+        return "-" if level is None else f"{level}:" + "".join(f"{hashes[level + k, s]:04x}" for k in range(3) for s in range(imatch.SUBSETS))
+
+    def like(a, b):
+        if a[0] is None or b[0] is None:
+            return float(a[0] == b[0])
+        if abs(a[0] - b[0]) > 2:
+            return 0.0
+        both = a[1].keys() & b[1].keys()
+        used = [k for k in both if a[1][k] or b[1][k]]
+        return sum(a[1][k] == b[1][k] for k in used) / len(used) if used else float(a == b)
+
+    for i, t in enumerate(texts):
+        following = (texts[i - 1] if i else texts[-1]) or ""
+        edited = imatch.edit(t or "", following)
+        own, other, after = (brute_fingerprint(x, lexicon) for x in (t or "", edited, following))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (written(*own), written(*other))
+        assert abs(got[i].near_edited - like(own, other)) < 1e-12 and abs(got[i].near_next - like(own, after)) < 1e-12
+
+
+def test_lexicon_has_a_bound(spark):
+    docs = spark.range(30_000).select(F.concat(F.lit("often"), (F.col("id") % 500).cast("string"), F.lit(" pair"), F.floor(F.col("id") / 2).cast("string")).alias("text"))
+    assert len(imatch.lexicon(docs).ids) == 500  # in 60 documents each; a pair is in two, less than the share
+    assert len(imatch.lexicon(docs, least_share=0.0).ids) == 15_500
+
+
 def test_next_document_over_many_ranges(spark):
     ids = random.Random(5).sample(range(-500, 10**6), 300)
     docs = spark.createDataFrame([(i, f"text of {i} and its words") for i in ids], "doc_id long, text string").repartition(7)
-    got = {r.doc_id: r.edited_sha256 for r in imatch.compare_edited(docs, np.ones(1 << imatch.TABLE_BITS, bool)).collect()}
+    got = {r.doc_id: r.edited_sha256 for r in imatch.compare_edited(docs, EVERY).collect()}
     order = sorted(ids, reverse=True)
     for k, i in enumerate(order):
         edited = imatch.edit(f"text of {i} and its words", f"text of {order[(k + 1) % len(order)]} and its words")
@@ -234,7 +305,9 @@ def test_next_document_over_many_ranges(spark):
 
 
 def test_fingerprints_of_odd_tables(spark):
-    inside = np.ones(1 << imatch.TABLE_BITS, bool)
+    inside = EVERY
+    long = imatch.compare_edited(docs_of(spark, ["many words " * 300_000, "b"]), inside).collect()
+    assert sorted(r.n_chars for r in long) == [1, 3_300_000]
     one = imatch.compare_edited(docs_of(spark, ["just one document"]), inside).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert imatch.compare_edited(docs_of(spark, ["x"]).limit(0), inside).count() == 0
@@ -248,47 +321,114 @@ ARTICLE = "<h1>A   title &amp; more</h1><p>First <b>bold</b> words of the text,<
 CLEAN = "A title & more First bold words of the text, and a second line. Then <this> comes. one two The end."
 
 
-@pytest.mark.parametrize(
-    "page",
-    [
-        f"<html><head><title>No title</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><a>Menu</a><a>Other</a></nav><article>{ARTICLE}</article><footer>All rights reserved by us, write to us</footer></body></html>",
-        f"<body><header>Big site name</header><div class='ad'>Buy these things now for less money</div><main>{ARTICLE}</main><aside>Other news of today</aside><section id=comments><p>I like this very much indeed</p></section>",
-        f"<body><div class='cookie-notice'>This site uses cookies to be better</div><article>{ARTICLE}<form><label>Your mail</label><button>Send it</button></form></article><!-- <p>not this</p> -->",
-        f"<div><div class=sidebar><ul><li><a>x</a><li><a>y</a></ul></div><div class='post-content'>{ARTICLE}</div></div>",
-    ],
-)
-def test_main_text(page):
-    assert html_content.main_text(page, html_content.train([])) == CLEAN
+WORDS = "and so the story goes on for quite some more words than that"
+SITE = "<!DOCTYPE html><html><head><title>No title</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{}</body></html>"
+LINKS = "<ul><li><a href=/a>One</a></li><li><a href=/b>Two more</a></li><li><a href=/c>And three</a></li><li><a href=/d>Four</a></li></ul>"
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    """Weights from the labelled pages of the table."""
+    return html_content.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+PAGES = {
+    "usual": SITE.format(f"<nav><a>Menu</a><a>Other</a></nav><article>{ARTICLE}</article><footer>All rights reserved by us, write to us</footer>"),
+    "main": f"<body><header>Big site name</header><div class='ad'>Buy these things now for less money</div><main>{ARTICLE}</main><aside>Other news of today</aside><section id=comments><p>I like this very much indeed</p></section>",
+    "form inside": f"<body><div class='cookie-notice'>This site uses cookies to be better</div><article>{ARTICLE}<form><label>Your mail</label><button>Send it</button></form></article><!-- <p>not this</p> -->",
+    "no article": f"<div><div class=sidebar><ul><li><a>x</a><li><a>y</a></ul></div><div class='post-content'>{ARTICLE}</div></div>",
+    "unknown classes": SITE.format(f"<div class=qx1><h3>Else</h3>{LINKS}</div><article class=zz>{ARTICLE}</article><div class=kk9>Some words of a notice that no one has seen before</div>"),
+    "unknown classes, no article": SITE.format(f"<div class=qx1>{LINKS}</div><div class=zz>{ARTICLE}</div><div class=kk9>Copyright of someone</div>"),
+    "unknown links inside": SITE.format(f"<article>{ARTICLE}<div class=zq>{LINKS}</div></article>"),
+    "comments inside": SITE.format(f"<article>{ARTICLE}<div class=reader-feedback><p>{WORDS}</p></div><ol class=commentlist><li>{WORDS}</li></ol></article>"),
+    "articles as comments": SITE.format(f"<article>{ARTICLE}<div class=u><article>{WORDS}</article><article><p>{WORDS}</article></div></article>"),
+    "known advert between": SITE.format(f"<main><div>{ARTICLE.split('<ul>')[0]}</div><div class='zone adSlot-3'>{WORDS}</div><div><ul>{ARTICLE.split('<ul>')[1]}</div></main>"),
+    "short article beside a long sidebar": SITE.format(f"<article>{ARTICLE}</article><div class=q7>" + f"<p>{WORDS}</p>" * 8 + "</div>"),
+    "class on body": f"<body class='with-sidebar comments-open'><div id=page class=has-sidebar><article class=hentry>{ARTICLE}</article></div><div id=disqus_thread>{WORDS}</div>",
+    "whole page in a form": f"<body><form id=f><nav>{LINKS}</nav><article>{ARTICLE}</article></form>",
+    "header inside": f"<body><article><header><h1>A title &amp; more</h1></header>{ARTICLE.split('</h1>')[1]}<footer>Posted by someone in something</footer></article>",
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text(weights, name):
+    assert html_content.main_text(PAGES[name], weights) == CLEAN
+
+
+def test_main_text_without_labelled_pages():
+    assert html_content.main_text(PAGES["usual"], html_content.train([])) == CLEAN
+
+
+def test_learned_kinds():
+    """What labelled pages say of a class they alone know, and that they can overturn a prior."""
+    page = lambda k: f"<body><div class=zub>{WORDS} {k}</div><article><div class=sidebar>{WORDS} {k}</div><p>{WORDS}</p></article><div class=zub>{WORDS}</div></body>"
+    learned = html_content.train([page(k) for k in range(30)])
+    assert html_content.main_text(f"<body><p>{WORDS}</p><div class=zub>gone</div><p>{WORDS}</p></body>", learned) == f"{WORDS} {WORDS}"
+    assert html_content.main_text(f"<body><p>{WORDS}</p><div class=sidebar>stays</div><p>{WORDS}</p></body>", learned) == f"{WORDS} stays {WORDS}"
+
+
+def brute_region(scores):
+    best, at = 0.0, (0, 0)
+    for i in range(len(scores)):
+        total = 0.0
+        for j in range(i, len(scores)):
+            total += scores[j]
+            if total > best + 1e-9:
+                best, at = total, (i, j + 1)
+    return best, at
 
 
 def test_best_region():
     rng = random.Random(6)
     for _ in range(200):
         scores = [rng.choice([-3, -1, -0.5, 1, 2]) for _ in range(rng.randrange(0, 15))]
-        a, b = html_content.best_region(np.array(scores))
-        best = max([sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)], default=0)
-        assert abs(sum(scores[a:b]) - max(0, best)) < 1e-9
+        a, b = html_content.best_region(scores)
+        assert abs(sum(scores[a:b]) - brute_region(scores)[0]) < 1e-9
+
+
+def test_region_of_whole_pages_against_brute_force(spark, weights):
+    """The text is that of the best of all contiguous regions."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] + list(PAGES.values())
+    for page in pages:
+        sequence = html_content.scored(html_content.parse(page), weights)
+        assert all(s > 0 if k == "t" and v.strip() else s <= 0 for k, v, s in sequence)
+        _, (a, b) = brute_region([s for *_, s in sequence])
+        words = " ".join("".join(v if k == "t" else " " if v in html_content.BLOCK else "" for k, v, _ in sequence[a:b]).split())
+        assert html_content.main_text(page, weights) == words
 
 
-def test_odd_pages(spark):
-    weights = html_content.train([])
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a b='", "<a b=\"x' ", "<", "</", "<!--", "<div>", "</div>", "<b></p>", "<p><li>", "<script>", "<x a=b c='d' ", "&amp", "<div class='a b-c", "<![CDATA[", "= ' \" <i"])
+def test_broken_pages_take_linear_time(weights, piece):
+    began = time.time()
+    html_content.main_text(piece * (1_000_000 // len(piece)), weights)
+    html_content.main_text(f"<article>{ARTICLE}" + piece * (100_000 // len(piece)), weights)
+    assert time.time() - began < 30
+
+
+def test_odd_pages(spark, weights):
     for page in (None, "", "plain words only", "<", "<p", "<!-- x", "<script>x", "<a href='x>y</a> z", "</div>" * 50, "<div>" * 5000 + "deep"):
         assert isinstance(html_content.main_text(page, weights), str)
-    pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", f"<article>{ARTICLE}</article>", "t"), (None, None, "", "t")], "page_id long, url string, html string, text string")
+    assert html_content.main_text("<p>1 < 2 and <a href='x>three</a> four</p>", weights) == "1 < 2 and three four"
+    pages = spark.createDataFrame([(1, "u", None, "t", 1, 2), (1, "u", f"<article>{ARTICLE}</article>", "t", 1, 2), (None, None, "", "t", 1, 2)], "page_id long, url string, html string, text string, _id long, _html long")
     got = html_content.extract_text(pages, html_content.fit(pages)).collect()
     assert sorted(r.text for r in got) == ["", "", CLEAN]
+    assert html_content.extract_text(pages, weights, keep=("text", "_id")).columns == ["page_id", "_id", "text"]
     assert html_content.extract_text(pages.limit(0), html_content.fit(pages.limit(0))).count() == 0
 
 
-def test_pages_of_the_table(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    got = html_content.extract_text(pages, html_content.fit(pages)).withColumnRenamed("text", "got").join(pages, ["page_id", "url"]).collect()
+def test_pages_of_the_table(spark, weights):
     import html
     import re
 
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = html_content.extract_text(pages, weights).withColumnRenamed("text", "got").join(pages, ["page_id", "url"]).collect()
+    assert len(got) == pages.count()
     for r in got:
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        assert r.got == " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inside))).split())
+        want = " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inside))).split())
+        assert r.got == want
+        # Without the labelling element the scan has only words and tags to go by.
+        assert html_content.main_text(re.sub("</?article>", "", r.html), weights) == want
 
 
 # Toxicity
