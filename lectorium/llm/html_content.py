@@ -1,10 +1,16 @@
 """Main text of HTML pages by the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words and tags. A word scores 1, a tag something below 0: the less
-of the text under such tags was content in labelled pages, the less. Elements whose kind
-was clearly not content there (a menu, a footer, a class ``ad``) are one tag with their
-whole inside. One scan finds the contiguous region of the greatest sum. The region is then
-rounded to the block that holds it, without the elements that are not content.
+A page is a sequence of words and tags. A word scores above 0, a tag below, by weights that
+come from labelled pages: those of the table with exactly one ``article`` or ``main``
+element, whose inside is content. Counted there are, in words that are content and words
+that aren't, the tags that enclose them, the tag right above them, classes, ids and roles,
+and how much of an element's text is links. Elements of a kind that clearly was not content
+are one tag with their whole inside. The tags of the labelling elements were never inside
+content, so they weigh as much as all words of a page. One linear scan finds the contiguous
+region of the greatest sum: its words are the main text.
+
+Few pages show all that a page can hold, so kinds start with the counts that ``PRIOR``
+gives them; what the labelled pages say is added to these.
 """
 
 from __future__ import annotations
@@ -24,17 +30,22 @@ from .common import tidy
 
 #: Pages whose own ``article`` or ``main`` labels them that training reads at most.
 MOST_LABELLED = 300
-#: A kind of element is left out when the log-odds of content under it are below this.
+#: A kind of element is one tag with its inside when the log-odds of content under it are below this.
 LEFT_OUT = -1.5
-#: What an element that is left out scores.
+#: What such an element scores.
 GAP = -4.0
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-
-# HTML's void elements, those with raw text inside, blocks, and implied ends.
+#: Words of evidence that a prior is worth.
+PRIOR = 40
+#: Words by which the share of content under a tag is drawn to a half.
+DRAWN = 100
+#: Links from which on the share of linked words is looked at.
+LINKS = 3
+
+# HTML's elements that are void, that hold raw text, that are never shown as
+# text, that are blocks, that end others without an end tag, and that end tags don't cross.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+UNSHOWN = RAW | frozenset("head template svg math object canvas select audio video datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -42,185 +53,288 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"br", "html", "body", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup"}
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 WALLS = frozenset("ul ol dl table div article section main aside nav body html form td th blockquote header footer".split())
-#: Tag names that can be left out as such; others only by a class, id or role.
-SECTIONS = frozenset("head nav header footer aside form script style noscript template iframe svg math object canvas button select textarea dialog menu title label fieldset".split())
 CONTENT = frozenset(("article", "main"))
-#: Parts of compound class names that say nothing of what they hold.
-VAGUE = frozenset("main site list top bottom thread meta container wrapper content post page text body item box block left right inner outer col row".split())
+# Elements and roles that the standards give other uses than content, and
+# words that classes and ids of such elements are made of.
+OTHER_NAMES = frozenset("nav aside header footer form dialog menu button label fieldset".split())
+OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+OTHER_WORDS = frozenset(
+    "ad ads advert advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related masthead footer copyright "
+    "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social "
+    "comment comments disqus reply replies respond responses feedback reactions pagination pager toolbar".split()
+)
+PREFIXES = tuple(sorted(w for w in OTHER_WORDS if len(w) > 6))
+
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)\s*+(/?)>")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+TAG_STOP = re.compile(r"=\s*+([\"'])|>")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]*+)))?""")
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W_a-zA-Z]+")
 
 
 @dataclass
 class Element:
     name: str
-    features: tuple[str, ...]
+    kinds: tuple[str, ...]
     parent: int
-    out: bool = False  # it or one above is left out
+    start: int  # of its items, without its own tags
+    end: int = -1
 
 
 @dataclass
 class Page:
-    """Elements, and the sequence of (kind, value, element): 't' a text, '<' and '>' tags, '-' an element left out."""
-
-    elements: list[Element] = field(default_factory=lambda: [Element("", (), -1)])
-    items: list[tuple[str, object, int]] = field(default_factory=list)
-
-
-def features(name: str, attributes: str) -> tuple[str, ...]:
-    found = [name]
-    if attributes:
-        for key, a, b, c in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), (a or b or c).lower()
-            if key in ("class", "id"):
-                for word in value.split():
-                    parts = re.split(r"[^a-z0-9]+", word)
-                    found += [f".{word}", *(f".{w}" for w in parts if len(parts) > 1 and w and not w.isdigit() and w not in VAGUE)]
-            elif key == "role":
-                found.append(f"role={value.strip()}")
-            elif key in ("hidden",) or key == "aria-hidden" and value == "true":
-                found.append("hidden")
+    """Elements, parents first, and items (kind, value, element): 't' a text, '<' and '>' tags, of the element they are in."""
+
+    elements: list[Element] = field(default_factory=lambda: [Element("", (), -1, 0)])
+    items: list[tuple[str, str, int]] = field(default_factory=list)
+
+
+def kinds_of(attributes: str) -> tuple[str, ...]:
+    """Kinds by class, id and role: the words of these, and what the words are made of."""
+    found: dict[str, None] = {}
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), a or b or c
+        if key in ("class", "id"):
+            for word in value.split():
+                found["." + word.lower()] = None
+                for part in PARTS.findall(word):
+                    found["." + part.lower()] = None
+        elif key == "role":
+            found["role=" + value.strip().lower()] = None
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            found["hidden"] = None
     return tuple(found)
 
 
-def parse(source: str, left_out=lambda f, inside: False) -> Page:
-    """The sequence of a page; unknown, unclosed and crossing tags do no harm."""
-    page = Page()
-    elements, items = page.elements, page.items
-    stack = [0]
-    raw = ""
-    at = 0
-
-    def text(piece: str) -> None:
-        if piece and not elements[stack[-1]].out:
-            items.append(("t", html.unescape(piece), stack[-1]))
-
-    def close(k: int) -> None:
-        while len(stack) > k:
-            e = stack.pop()
-            if not elements[e].out:
-                items.append((">", elements[e].name, e))
-
-    for m in TOKEN.finditer(source):
-        if raw and not ((m[1] or m[4]) and (m[2] or m[5] or "").lower() == raw):
-            continue
-        text(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        if m[1] or m[4]:
-            raw = ""
-            if name == "br":
-                items.append(("<", name, stack[-1]))
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].name == name:
-                    close(k)
-                    break
-                if elements[stack[k]].name in WALLS and name not in WALLS:
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """Texts ('t', text, ''), start tags ('<', name, attributes) and end tags ('>', name, ''), in time linear in the source.
+
+    Comments, declarations and the inside of raw elements are left out. A quotation mark
+    that never closes quotes nothing; a tag that never ends takes the rest, as in a browser.
+    """
+    at, n = 0, len(source)
+    unclosed: set[str] = set()
+    while at < n:
+        lt = source.find("<", at)
+        if lt < 0:
+            yield "t", source[at:], ""
+            return
+        if lt > at:
+            yield "t", source[at:lt], ""
+        if m := PLAIN_TAG.match(source, lt):
+            at, name, attributes = m.end(), m[2].lower(), m[3]
+            end_tag = bool(m[1])
+        elif m := NAME.match(source, lt):
+            name, end_tag, k = m[1].lower(), source[lt + 1] == "/", m.end()
+            while True:
+                stop = TAG_STOP.search(source, k)
+                if stop is None:
+                    return
+                if stop[1] is None:
                     break
+                k = stop.end()
+                if stop[1] not in unclosed:
+                    closing = source.find(stop[1], k)
+                    if closing < 0:
+                        unclosed.add(stop[1])
+                    else:
+                        k = closing + 1
+            at, attributes = stop.end(), source[m.end() : stop.start()]
+        else:
+            following = source[lt + 1 : lt + 2]
+            if following == "!" or following == "?" or following == "/":
+                opened = "<!--" if source.startswith("<!--", lt) else "<![CDATA[" if source.startswith("<![CDATA[", lt) else ""
+                ending = {"<!--": "-->", "<![CDATA[": "]]>", "": ">"}[opened]
+                k = source.find(ending, lt + max(1, len(opened)))
+                at = n if k < 0 else k + len(ending)
+            else:
+                yield "t", "<", ""
+                at = lt + 1
             continue
-        if name in CLOSES_P or name in IMPLIED:
-            ends = IMPLIED.get(name, ()) + (("p",) if name in CLOSES_P else ())
-            for k in range(len(stack) - 1, 0, -1):
-                own = elements[stack[k]].name
-                if own in ends:
-                    close(k)
-                    break
-                if own in WALLS:
-                    break
-        attributes = m[3] if m[2] else m[6] or ""
-        kinds = features(name, attributes)
-        above = elements[stack[-1]]
-        inside = any(elements[e].name in CONTENT for e in stack)
-        out = above.out or name in RAW or left_out(kinds, inside)
-        if out and not above.out:
-            items.append(("-", name, stack[-1]))
-        elif not out:
-            items.append(("<", name, stack[-1]))
-        if name in VOID or attributes.endswith("/") and name not in BLOCK:
+        if end_tag:
+            yield ">", name, ""
             continue
-        elements.append(Element(name, kinds, stack[-1], out))
-        stack.append(len(elements) - 1)
+        yield "<", name, attributes
         if name in RAW:
-            raw = name
-    text(source[at:] if not raw else "")
+            m = RAW_ENDS[name].search(source, at)
+            at = m.start() if m else n
+
+
+class Stack:
+    """Open elements, and where the last of each name and the last wall are."""
+
+    def __init__(self) -> None:
+        self.open = [0]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []
+
+    def push(self, element: int, name: str) -> None:
+        self.places[name].append(len(self.open))
+        if name in WALLS:
+            self.walls.append(len(self.open))
+        self.open.append(element)
+
+    def pop(self, name: str) -> int:
+        self.places[name].pop()
+        if name in WALLS:
+            self.walls.pop()
+        return self.open.pop()
+
+    def place(self, names: tuple[str, ...], through_walls: bool = False) -> int:
+        """Where the last open element of these names is, if no wall is above it; 0 if there is none."""
+        found = max((self.places[n][-1] for n in names if self.places[n]), default=0)
+        return found if through_walls or not self.walls or found >= self.walls[-1] else 0
+
+
+def parse(source: str) -> Page:
+    """Elements and items of a page; unknown, unclosed and crossing tags do no harm."""
+    page, stack = Page(), Stack()
+    elements, items = page.elements, page.items
+
+    def close(place: int) -> None:
+        while len(stack.open) > place:
+            e = stack.open[-1]
+            elements[stack.pop(elements[e].name)].end = len(items)
+            items.append((">", elements[e].name, elements[e].parent))
+
+    for kind, value, attributes in tokens(source):
+        if kind == "t":
+            items.append(("t", html.unescape(value), stack.open[-1]))
+        elif kind == ">":
+            if place := stack.place((value,), value in WALLS):
+                close(place)
+            elif value == "br":
+                items.append(("<", value, stack.open[-1]))
+        else:
+            if ends := IMPLIED.get(value, ()) + (("p",) if value in CLOSES_P else ()):
+                if place := stack.place(ends):
+                    close(place)
+            items.append(("<", value, stack.open[-1]))
+            if value in VOID or attributes.endswith("/") and value not in BLOCK:
+                continue
+            elements.append(Element(value, (value, *kinds_of(attributes)) if attributes else (value,), stack.open[-1], len(items)))
+            stack.push(len(elements) - 1, value)
+    close(1)
+    elements[0].end = len(items)
     return page
 
 
-# Labelled pages: what is content lies in elements with the attribute role=content-label.
-LABELLED = [
-    """<body><header class="site-header top"><a href=/>The Daily</a> news and views since long ago</header><nav class="menu main-nav"><ul><li><a>Home</a><li><a>World</a><li><a>Sports</a></ul></nav>
-    <div class="cookie-notice notice banner alert">We use cookies to improve this site. Accept all cookies or read the policy.</div>
-    <main class="content"><article class="post entry story"><div role="content-label"><h1>Rain again</h1><p>Long rain fell over all the hills this week, and <a href=x>rivers rose</a> more than they did <b>last year</b>.</p>
-    <ul><li>The first bridge is closed for repairs until spring</li><li>The second bridge is open to people on foot</li></ul><blockquote><p>We have never seen so much water here, said a farmer.</p></blockquote>
-    <table><tr><th>Day</th><td>Rain in millimetres</td></tr></table></div></article></main>
-    <aside class="sidebar related widget"><h3>Most read</h3><ul><li><a>Ten tips for a better garden this year</a><li><a>Where to eat</a></ul></aside>
-    <section class="comments comment-list" id="comments"><div class="comment">Great article, thanks for it!</div><div class="comment reply">I do not agree at all with you.</div></section>
-    <footer class="footer site-footer copyright">Copyright of the publisher, all rights reserved. Contact, imprint, terms of use.</footer></body>""",
-    """<body><div id="header" class="masthead">Blog of nothing</div><div id="nav" class="navigation navbar breadcrumbs breadcrumb"><a>Start</a> / <a>Archive</a> / <a>Notes</a></div><div class="ad ads advert advertisement sponsored promo">Buy two and get one free, only today</div>
-    <div id="main" class="wrapper container"><div class="text body article-body" role="content-label"><h2>On small things</h2><p>Small things matter, as everyone who has lost a key can tell you at length.</p><p>And <em>so</em> on, for many words and many more <span>paragraphs</span> of the same kind.</p></div>
-    <form class="newsletter subscribe search login"><label>Your e-mail address</label><input><button>Subscribe to our letter</button></form><div class="share social sharing">Share on this and that network</div></div>
-    <div id="sidebar">About the author of this blog and their cat</div><div id="disqus_thread" class="responses">Three readers say that this is nice</div><div id="footer">Powered by software</div></body>""",
-    """<body><div role="navigation"><a>One</a> <a>Two</a> <a>Three</a></div><div role="banner">Name of the site</div><section><div role="content-label"><h1>A title</h1><h2>A second title</h2><p>There is a text here, <i>and</i> it goes on for a while<br>over two lines.</p><ol><li>First comes this</li><li>Then comes that</li></ol><p>See <a href=y>another text on this matter</a> for more.</p><pre>some code</pre><figure><figcaption>A picture of it</figcaption></figure><dl><dt>Term</dt><dd>What it means</dd></dl></div></section>
-    <div role="complementary">Other things that may be of interest</div><div role="search">Search this site</div><div role="contentinfo">Small print at the end of the page</div><div class="modal popup overlay gdpr consent">Please agree</div><div class="pagination pager">1 2 3 next</div><div class="tags meta-nav toolbar">tag tag tag</div></body>""",
-]
+def words_under(page: Page, counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per element: its words, those of them in links, and its links."""
+    n = len(page.elements)
+    words, linked, links = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    in_link = [False] * n
+    for e, x in enumerate(page.elements):
+        in_link[e] = x.name == "a" or e > 0 and in_link[x.parent]
+        links[e] = x.name == "a"
+    for (kind, _, e), c in zip(page.items, counts):
+        if kind == "t" and c:
+            words[e] += c
+            if in_link[e]:
+                linked[e] += c
+    for e in range(n - 1, 0, -1):
+        up = page.elements[e].parent
+        words[up] += words[e]
+        linked[up] += linked[e]
+        links[up] += links[e]
+    return words, linked, links
+
+
+def link_kinds(page: Page, counts: list[int]) -> list[str]:
+    """Per element with some links, how much of its text is linked, in quarters; else ''."""
+    words, linked, links = words_under(page, counts)
+    return [f"links={min(3, 4 * b // a)}" if c >= LINKS and a and x.name in BLOCK else "" for x, a, b, c in zip(page.elements, words.tolist(), linked.tolist(), links.tolist())]
+
+
+def word_counts(page: Page) -> list[int]:
+    return [len(v.split()) if k == "t" else 0 for k, v, _ in page.items]
+
+
+def prior(kind: str) -> tuple[int, int]:
+    """Words of content and of others that a kind starts with."""
+    if kind in CONTENT or kind in ("role=main", "role=article"):
+        return PRIOR, 0
+    word = kind[1:] if kind[:1] == "." else ""
+    other = kind in OTHER_NAMES or kind[5:] in OTHER_ROLES and kind.startswith("role=") or word in OTHER_WORDS or word.startswith(PREFIXES) and word != ""
+    return (0, PRIOR) if other or kind in ("hidden", "links=3") else (0, 0)
 
 
-@dataclass
 class TagWeights:
-    """Scores of tags, and log-odds of content under kinds of elements."""
-
-    tags: dict[str, float]
-    odds: dict[str, float]
-
-    def left_out(self, kinds: tuple[str, ...], inside: bool) -> bool:
-        """``inside``: whether within an article, whose own header is part of it."""
-        for kind in kinds:
-            if kind == "hidden":
-                return True
-            if kind in CONTENT:
-                return False
-            if kind[0] not in "." and not kind.startswith("role=") and kind not in SECTIONS or inside and kind == "header":
-                continue
-            if self.odds.get(kind, 0.0) < LEFT_OUT:
-                return True
-        return False
+    """Counts of words by kind of element above them, by tag, and by the tag right above; what tags and words score follows."""
 
+    def __init__(self) -> None:
+        self.kinds: dict[str, list[int]] = {}
+        self.tags: dict[str, list[int]] = {}
+        self.above: dict[str, list[int]] = {}
 
-def train(sources: list[str]) -> TagWeights:
-    """Weights from ``LABELLED`` and from pages with one ``article`` or ``main`` element, which labels them."""
-    inside: dict[str, float] = defaultdict(float)
-    outside: dict[str, float] = defaultdict(float)
+    def odds(self, kind: str) -> float:
+        """Log-odds of content under a kind of element."""
+        inside, outside = (a + b for a, b in zip(self.kinds.get(kind, (0, 0)), prior(kind)))
+        return float(np.log((inside + 2) / (outside + 2)))
+
+    @staticmethod
+    def _share(counts: list[int] | None) -> float:
+        inside, outside = counts or (0, 0)
+        return (inside + DRAWN / 2) / (inside + outside + DRAWN)
+
+    def tag(self, name: str) -> float:
+        """What a tag scores: below 0, the more the less of what it encloses was content."""
+        return -0.05 - 0.45 * (1 - self._share(self.tags.get(name)))
+
+    def word(self, name: str) -> float:
+        """What a word right under a tag scores: above 0, the more the more of such words were content."""
+        return 0.1 + 1.4 * self._share(self.above.get(name))
 
-    def learn(source: str, is_label, times: float) -> None:
+    def gap(self, kinds: tuple[str, ...], within: bool) -> bool:
+        """Whether an element of these kinds is one tag; within an article its header is part of it."""
+        if kinds and kinds[0] in UNSHOWN:
+            return True
+        if any(k in CONTENT for k in kinds[:1]):
+            return any(self.odds(k) < LEFT_OUT for k in kinds[1:] if k)
+        told = [k for k in kinds if k[:1] == "." or "=" in k or k == "hidden" or k in OTHER_NAMES]
+        return any(self.odds(k) < LEFT_OUT for k in told if not (within and k == "header"))
+
+
+def train(sources: list[str]) -> TagWeights:
+    """Weights from pages with exactly one ``article``, else one ``main``, whose inside is content; others say nothing."""
+    weights = TagWeights()
+    kinds, tags, above = (defaultdict(lambda: [0, 0]) for _ in range(3))
+    for source in sources:
         page = parse(source)
-        for kind, value, e in page.items:
-            if kind != "t" or not (n := len(str(value).split())):
+        counts = word_counts(page)
+        label = next((own[0] for own in ([e for e, x in enumerate(page.elements) if x.name == name] for name in ("article", "main")) if len(own) == 1), None)
+        if label is None:
+            continue
+        a, b = page.elements[label].start, page.elements[label].end
+        hidden = [False] * len(page.elements)
+        direct = np.zeros((len(page.elements), 2), np.int64)
+        for e, x in enumerate(page.elements):
+            hidden[e] = x.name in UNSHOWN or e > 0 and hidden[x.parent]
+        for i, ((kind, _, e), c) in enumerate(zip(page.items, counts)):
+            if kind == "t" and c and not hidden[e]:
+                direct[e, 0 if a <= i < b else 1] += c
+        for e, x in enumerate(page.elements):
+            if x.name:
+                above[x.name][0] += int(direct[e, 0])
+                above[x.name][1] += int(direct[e, 1])
+        under = direct.copy()
+        for e in range(len(page.elements) - 1, 0, -1):
+            under[page.elements[e].parent] += under[e]
+        for e, (x, linked) in enumerate(zip(page.elements, link_kinds(page, counts))):
+            own = under[e].tolist()
+            if x.name in ("", "html", "body") or hidden[e] or not sum(own):
                 continue
-            chain = []
-            while e > 0:
-                chain.append(page.elements[e])
-                e = page.elements[e].parent
-            content = any(is_label(x) for x in chain)
-            seen = set()
-            for x in chain:
-                seen.update(x.features if x.name not in ("html", "body") else ())
-            for k in seen:
-                (inside if content else outside)[k] += times * min(n, 40)
-
-    for source in LABELLED:
-        learn(source, lambda x: "role=content-label" in x.features, 3.0)
-    for source in sources:
-        for name in ("article", "main"):
-            if len(re.findall(rf"<{name}[\s>]", source, re.I)) == 1:
-                learn(source, lambda x, name=name: x.name == name, 1.0)
-                break
-    both = inside.keys() | outside.keys()
-    odds = {k: float(np.log((inside[k] + 2) / (outside[k] + 2))) for k in both}
-    tags = {k: -0.05 - 0.85 * (outside[k] + 1) / (inside[k] + outside[k] + 4) for k in both if k[0] not in "." and "=" not in k}
-    return TagWeights(tags, odds)
+            for k in (*x.kinds, linked) if linked else x.kinds:
+                kinds[k][0] += own[0]
+                kinds[k][1] += own[1]
+            tags[x.name][0] += own[0]
+            tags[x.name][1] += own[1]
+    weights.kinds, weights.tags, weights.above = dict(kinds), dict(tags), dict(above)
+    return weights
 
 
-def best_region(scores: np.ndarray) -> tuple[int, int]:
+def best_region(scores: list[float]) -> tuple[int, int]:
     """The maximum-scoring subsequence as [start, end), by one linear scan; the first and shortest of equals."""
     best, at, total, start = 0.0, (0, 0), 0.0, 0
     for i, s in enumerate(scores):
@@ -232,62 +346,91 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return at
 
 
+def scored(page: Page, weights: TagWeights) -> list[tuple[str, str, float]]:
+    """The page as (kind, value, score): texts 't', tags '<' and '>', and elements '-' that are one tag."""
+    elements = page.elements
+    counts = word_counts(page)
+    linked = link_kinds(page, counts)
+    words, _, _ = words_under(page, counts)
+    # The article is that content element with the most words; what holds it is never a gap.
+    known: dict[tuple, bool] = {}
+
+    def gap(e: int, within: bool) -> bool:
+        kinds = (*elements[e].kinds, linked[e]) if linked[e] else elements[e].kinds
+        if (kinds, within) not in known:
+            known[kinds, within] = weights.gap(kinds, within)
+        return known[kinds, within]
+
+    articles = [e for e, x in enumerate(elements) if x.name in CONTENT and not gap(e, True)]
+    main = max(articles, key=lambda e: words[e], default=0)
+    for e in articles:  # parents first: an article that only wraps another is not yet the one
+        if e > main and elements[e].start < elements[main].end and 2 * words[e] > words[main]:
+            main = e
+    holds, e = {0}, main
+    while e > 0:
+        holds.add(e)
+        e = elements[e].parent
+    within = [0] * len(elements)  # the outermost content element that an element is or lies in
+    left, in_article = [False] * len(elements), [False] * len(elements)
+    for e, x in enumerate(elements[1:], 1):
+        answer = x.name == "article" and in_article[x.parent]  # an article in an article, as comments are
+        in_article[e] = in_article[x.parent] or x.name == "article"
+        left[e] = left[x.parent] or e not in holds and x.name not in ("html", "body") and (answer or gap(e, within[x.parent] > 0))
+        within[e] = within[x.parent] or (e if x.name in CONTENT and not left[e] else 0)
+    gain = {name: max(0.0, weights.odds(name)) for name in CONTENT}
+    edges = {}
+    for e, x in enumerate(elements):
+        if within[e] == e and e:
+            edges[x.start - 1] = edges[x.end] = True
+    word = {x.name: weights.word(x.name) for x in elements}
+    tag: dict[str, float] = {}
+    out: list[tuple[str, str, float]] = []
+    gaps = {x.start: x for e, x in enumerate(elements) if e and left[e] and not left[x.parent]}
+    most = 1 + sum(counts) * (1.5 + max(gain.values()))
+    i, n = 0, len(page.items)
+    while i < n:
+        kind, value, e = page.items[i]
+        if kind == "<" and i + 1 in gaps and gaps[i + 1].parent == e:
+            out.append(("-", value, GAP))
+            i = gaps[i + 1].end + 1
+            continue
+        if kind == "t":
+            top = within[e]
+            out.append(("t", value, counts[i] * (word[elements[e].name] + (gain[elements[top].name] if top else 0.0))))
+        else:
+            if value not in tag:
+                tag[value] = weights.tag(value)
+            out.append((kind, value, -most if i in edges else tag[value]))
+        i += 1
+    return out
+
+
 def main_text(source: str | None, weights: TagWeights) -> str:
     """The main text of a page: blocks joined by spaces, all white space one space; '' if there is none."""
     if not source:
         return ""
-    page = parse(source, weights.left_out)
-    items = page.items
-    default = -0.3
-    scores = [len(v.split()) if k == "t" else GAP if k == "-" else weights.tags.get(v, default) for k, v, _ in items]
-    a, b = best_region(scores)
-    if a == b:
-        return ""
-
-    def chain(e: int) -> list[int]:
-        up = [e]
-        while e > 0:
-            e = page.elements[e].parent
-            up.append(e)
-        return up[::-1]
-
-    words = [chain(e) for k, v, e in items[a:b] if k == "t" and v.strip()]
-    common = []
-    for level in zip(*(words[0], words[-1])):
-        if level[0] != level[1]:
-            break
-        common.append(level[0])
-    holder = next((e for e in reversed(common) if page.elements[e].name in CONTENT), None)
-    if holder is None:
-        holder = next((e for e in reversed(common) if page.elements[e].name in ("div", "section", "td", "body", "html", "")), 0)
-    if page.elements[holder].name not in ("body", "html", ""):
-        within: dict[int, bool] = {holder: True}
-
-        def held(e: int) -> bool:
-            if e not in within:
-                within[e] = e > 0 and held(page.elements[e].parent)
-            return within[e]
-
-        chosen = [x for x in items if held(x[2])]
-    else:
-        chosen = items[a:b]
-    return " ".join("".join(v if k == "t" else " " if v in BLOCK or k == "-" else "" for k, v, _ in chosen).split())
+    sequence = scored(parse(source), weights)
+    a, b = best_region([s for _, _, s in sequence])
+    return " ".join("".join(v if k == "t" else " " if v in BLOCK else "" for k, v, _ in sequence[a:b]).split())
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = MOST_LABELLED) -> TagWeights:
     """Weights from at most ``most`` pages that label themselves, those with the smallest hashes of their ids."""
     own = pages.where(F.lower(html_col).rlike("<(article|main)[\\s>]")).select(F.col(id_col).alias("_id"))
     chosen = own.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
-    rows = pages.join(F.broadcast(chosen), pages[id_col] == chosen["_id"]).select("_id", html_col).orderBy("_id").limit(most).collect()
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).join(F.broadcast(chosen), "_id").orderBy("_id").limit(most).collect()
     return train([r[1] for r in rows if r[1]])
 
 
 def extract_text(pages: DataFrame, weights: TagWeights, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Per row its id, columns ``keep`` and ``text``; a null or empty page gives an empty text.
 
-    Rows keep their number, repeated ones too; an empty table gives an empty result.
+    Rows keep their number, repeated ones too; a null id stays null. Pages of any length
+    are read whole, in time linear in it. Columns that aren't named are not read, whatever
+    their names; of a column ``text`` in ``keep`` the new one takes the place. An empty
+    table gives an empty result.
     """
-    rows = pages.select(F.col(id_col), *keep, F.col(html_col).alias("_html"))
+    rows = pages.select(F.col(id_col), *[c for c in keep if c != "text"], F.col(html_col).alias("_html"))
     fields = rows.schema.fields[:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
