@@ -1,10 +1,11 @@
 """Document fingerprints: I-Match over randomised subsets of a lexicon.
 
 The lexicon is the terms within a band of inverse document frequency over all documents.
-Frequencies are counted for each 64-bit term id, and the ids of the lexicon are sent to
-every task, 8 bytes a term; they grow with the distinct terms. A document's distinct
-terms of the lexicon are sorted and hashed once for each of several random subsets of
-the lexicon.
+Frequencies are counted for each 64-bit term id. The ids of the lexicon are sent to every
+task, 8 bytes a term: as each is in ``LEAST_SHARE`` of the documents, there can't be more
+of them than the mean number of a document's distinct terms divided by that share,
+however large the corpus. A document's distinct terms of the lexicon are sorted and hashed
+once for each of several random subsets of the lexicon.
 
 Subsets come in sizes that halve from level to level; a document uses the levels at which
 a subset holds about one of its terms, so that long and short documents can be compared.
@@ -27,11 +28,10 @@ from pyspark.sql import functions as F
 from .common import table_partitions, tidy
 from .near_dedup import mix
 
-#: A lexicon may also be given as booleans for the first bits, so many, of term ids.
-TABLE_BITS = 22
 #: Distinct terms that a task counts before it puts them out.
 COUNTED_TOGETHER = 1_000_000
-#: The band: terms in at least this many documents, and at most in this share of them.
+#: The band: terms in at least this share of the documents and this many of them, and at most in that share.
+LEAST_SHARE = 1e-4
 LEAST_DOCUMENTS = 2
 MOST_SHARE = 0.1
 SUBSETS = 48
@@ -60,45 +60,19 @@ def terms(text: str, ids: TermIds) -> np.ndarray:
 
 
 class Lexicon:
-    """A set of terms by their sorted ids; indexed by ids it says which of them are its own."""
+    """A set of terms by their sorted ids."""
 
     def __init__(self, ids: np.ndarray):
         self.ids = ids
 
-    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Those of the ids that are in the lexicon."""
         if not len(self.ids):
-            return np.zeros(len(ids), bool)
-        return self.ids[np.searchsorted(self.ids, ids).clip(max=len(self.ids) - 1)] == ids
+            return ids[:0]
+        return ids[self.ids[np.searchsorted(self.ids, ids).clip(max=len(self.ids) - 1)] == ids]
 
-    def packed(self) -> np.ndarray:
-        return self.ids
 
-
-class Marks(Lexicon):
-    """Booleans for the first ``TABLE_BITS`` bits of ids."""
-
-    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
-        return self.ids[(ids >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-
-    def packed(self) -> np.ndarray:
-        return np.packbits(self.ids)
-
-
-def packed(inside: Lexicon | np.ndarray) -> np.ndarray:
-    """A lexicon, or booleans, as an array to be sent to tasks."""
-    return (Marks(inside) if isinstance(inside, np.ndarray) else inside).packed()
-
-
-def unpacked(sent: np.ndarray) -> Lexicon:
-    return Lexicon(sent) if sent.dtype == np.uint64 else Marks(np.unpackbits(sent).astype(bool))
-
-
-def bucket(ids: np.ndarray) -> np.ndarray:
-    """What a lexicon is indexed by: all bits of the ids, as each term has a counter of its own."""
-    return ids
-
-
-def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS, most: float = MOST_SHARE) -> Lexicon:
+def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENTS, most: float = MOST_SHARE, least_share: float = LEAST_SHARE) -> Lexicon:
     """The terms within the band; counts are exact and cover all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +107,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST_DOCUMENT
 
     total = docs.count()
     counted = docs.select(text_col).mapInArrow(tidy(work), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    inside = counted.where((F.col("n") >= least) & (F.col("n") <= max(float(least), most * total))).select("term")
+    floor = max(float(least), least_share * total)
+    inside = counted.where((F.col("n") >= floor) & (F.col("n") <= max(floor, most * total))).select("term")
     found = inside.toArrow().column("term").to_numpy()
     return Lexicon(np.sort(found.view(np.uint64)))
 
@@ -152,7 +127,7 @@ class Fingerprint:
 def fingerprint(text: str, inside: Lexicon, ids: TermIds) -> Fingerprint:
     """The fingerprint of a text; one without any term of the lexicon is fingerprinted by all its terms."""
     own = terms(text, ids)
-    kept = own[inside[bucket(own)]] if len(own) else own
+    kept = inside.of(own)
     if not len(kept):
         kept = own
     if not len(kept):
@@ -188,12 +163,12 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprint_documents(docs: DataFrame, inside: Lexicon | np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, inside: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row its id and ``fingerprint``; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(packed(inside))
+    shared = docs.sparkSession.sparkContext.broadcast(inside.ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ids = unpacked(shared.value), TermIds()
+        table, ids = Lexicon(shared.value), TermIds()
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([str(fingerprint(t.as_py() or "", table, ids)) for t in batch.column(1)])], names=["id", "fingerprint"])
 
@@ -202,52 +177,49 @@ def fingerprint_documents(docs: DataFrame, inside: Lexicon | np.ndarray, id_col:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
-    """``docs`` dealt so that each partition holds whole ranges of ids, each in descending order.
+    """``docs`` dealt so that each partition (``_range``) holds one range of ids, in descending order.
 
-    A range (``_range``) is followed by copies (``_guest``) of the rows with the id that
-    comes next, which begin another range; after the last range that is the first id.
-    Ranges are cut at quantiles of all ids; only they and the ranges' greatest ids come to
-    the driver, one number a range.
+    A range is followed by copies (``_guest``) of the rows with the greatest id of the range
+    below, or of all for the lowest one. Ranges are those of a range partitioning of the ids
+    alone; only the greatest id of each comes to the driver, 8 bytes for some
+    ``RANGED_TOGETHER`` rows. All rows of one id are in one range.
     """
-    parts = partitions or max(table_partitions(docs), docs.count() // RANGED_TOGETHER)
-    n = 2 * parts
+    n = partitions or max(table_partitions(docs), docs.count() // RANGED_TOGETHER)
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"))
-    cuts = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    edges = np.unique(np.array(cuts, np.int64))
-
-    @F.pandas_udf("long")
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, x.to_numpy(), side="right"))
-
-    heads = sorted(ids.groupBy(range_of("_id").alias("r")).agg(F.max("_id").alias("head")).collect())  # a row a range
-    before = {head: heads[(k + 1) % len(heads)]["r"] for k, (_, head) in enumerate(heads)}
+    found = ids.repartitionByRange(n, "_id").groupBy(F.spark_partition_id()).agg(F.max("_id").alias("top"))
+    tops = np.sort(found.select("top").toArrow().column("top").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(tops)
 
-    @F.pandas_udf("array<struct<_range: long, _guest: boolean>>")
-    def places(x: pd.Series) -> pd.Series:
-        own = np.searchsorted(edges, x.to_numpy(), side="right")
-        return pd.Series([[{"_range": int(r), "_guest": False}] + ([{"_range": before[i], "_guest": True}] if i in before else []) for i, r in zip(x, own)])
+    @F.pandas_udf("_range: int, _top: boolean")
+    def place(x: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(shared.value, x.to_numpy())
+        return pd.DataFrame({"_range": at.astype(np.int32), "_top": shared.value[at] == x.to_numpy()})
 
+    own = F.struct(F.col("_place._range").alias("_range"), F.lit(False).alias("_guest"))
+    above = F.struct(((F.col("_place._range") + 1) % max(1, len(tops))).alias("_range"), F.lit(True).alias("_guest"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    dealt = rows.select("_id", "_text", F.explode(places("_id")).alias("_place")).select("_id", "_text", "_place.*")
-    return dealt.repartition(parts, "_range").sortWithinPartitions("_range", "_guest", F.desc("_id"), "_text")
+    placed = rows.withColumn("_place", place("_id"))
+    dealt = placed.select("_id", "_text", F.explode(F.when(F.col("_place._top"), F.array(own, above)).otherwise(F.array(own))).alias("_at")).select("_id", "_text", "_at.*")
+    return dealt.repartitionById(max(1, len(tops)), "_range").sortWithinPartitions("_guest", F.desc("_id"), "_text")
 
 
-def compare_edited(docs: DataFrame, inside: Lexicon | np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_edited(docs: DataFrame, inside: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
     The next document is the one with the next smaller id, after the last the first; rows
-    of one id follow each other in the order of their texts. Null ids are the smallest; a
-    null text counts as empty. A table of one row is its own next. Other columns are not
-    read, and an empty table gives an empty result.
+    of one id follow each other in the order of their texts, in one task. Null ids are the
+    smallest; a null text counts as empty; a text of any length is used whole. A table of
+    one row is its own next. Other columns are not read, whatever their names, and an empty
+    table gives an empty result.
     """
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    shared = docs.sparkSession.sparkContext.broadcast(packed(inside))
+    shared = docs.sparkSession.sparkContext.broadcast(inside.ids)
     dealt = with_next(docs, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = unpacked(shared.value), TermIds()
+        table, known = Lexicon(shared.value), TermIds()
         last = None  # range, id, text, fingerprint, whether a guest
         for batch in batches:
             out = []
