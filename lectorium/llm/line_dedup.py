@@ -64,18 +64,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = checkpoint(every.join(few(spread), ["_hi", "_lo"], "left_semi").select("_hi", "_lo", "_id", "_pos"))
     first = checkpoint(places.groupBy("_hi", "_lo").agg(F.min(F.struct("_id", "_pos")).alias("_first")))
     surplus = places.join(few(first), ["_hi", "_lo"]).where(~F.struct("_id", "_pos").eqNullSafe(F.col("_first")))
-    own, key = fresh("_gone", docs), fresh("_key", docs)
+    own, key, cut = fresh("_gone", docs), fresh("_key", docs), fresh("_lines", docs)
     gone = surplus.groupBy(F.col("_id").alias(key)).agg(F.collect_set("_pos").alias(own))
 
-    lines = F.split(text_col, "\n")
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
-    cleaned = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(gone, F.col(id_col) == F.col(key), "left")
+    # A text is split once, to a column: inside the lambda it would be split for each line.
+    joined = docs.join(gone, F.col(id_col) == F.col(key), "left").withColumn(cut, F.split(text_col, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(own))
+    cleaned = F.array_join(F.transform(stay, lambda i: F.get(F.col(cut), i)), "\n")
     return joined.withColumns(
         {
             text_col: F.when(F.col(own).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(cleaned),
-            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"),
+            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(cut)).cast("long"),
             "n_removed": F.when(F.col(own).isNull(), 0).otherwise(F.size(own)).cast("long"),
         }
     ).select(*docs.columns, "n_lines", "n_removed")

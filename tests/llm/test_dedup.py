@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,17 @@ def test_line_dedup_counts_many_sites(spark):
         assert got == brute_lines(rows, least)
 
 
+def test_line_dedup_of_documents_with_many_lines(spark):
+    """A hundred thousand lines in one document; were it quadratic, this would take most of an hour."""
+    many = "\n".join(f"shared {k}" if k % 2 else f"own {k}" for k in range(100_000))
+    rows = [(i, f"x {i}\n" + many if i < 2 else many[: 2_000 * i], f"s{i}") for i in range(4)]
+    docs = docs_of(spark, rows).withColumn("_lines", F.lit(1)).withColumn("_key", F.lit(2))
+    began = time.time()
+    got = {r.doc_id: (r.text, r["_lines"], r["_key"]) for r in line_dedup.line_dedup(docs, min_sites=2).collect()}
+    assert time.time() - began < 120
+    assert got == {i: (t, 1, 2) for i, t in brute_lines(rows, 2).items()}
+
+
 def brute_near(rows, percent=75):
     sets = {}
     for i, t, _ in rows:
