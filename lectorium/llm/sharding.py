@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 
 #: Bytes that a row takes besides its text.
 ROW_OVERHEAD = 8
@@ -27,41 +27,42 @@ def shard_by_bytes(sized: DataFrame, shards: int, id_col: str = "doc_id", size_c
     change if the range partitioning were run again. Null ids come first; rows with equal
     ids are ordered by size, then by their remaining columns' hash, and rows equal in all
     columns can take each other's place. A null size counts as 0. An empty table gives an
-    empty result. Other columns are kept as they are; columns named ``shard``, ``slot`` or
-    ``start_byte`` are replaced. No shard exceeds its equal part by more than one row's size.
+    empty result. Other columns are kept as they are, whatever their names; only columns
+    named ``shard``, ``slot`` or ``start_byte`` are replaced. No shard exceeds its equal part by more than one row's size.
     """
     spark = sized.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.count() // ROWS_TOGETHER)
-    sized = sized.drop("shard", "slot", "start_byte", "_bytes", "_tie", "_part")
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in sized.columns])
-    rows = sized.withColumns({"_bytes": F.coalesce(F.col(size_col).cast("long"), F.lit(0)), "_tie": tie})
-    ranged = checkpoint(rows.repartitionByRange(n, F.col(id_col), F.col("_bytes"), F.col("_tie")).withColumn("_part", F.spark_partition_id()))
+    sized = sized.drop("shard", "slot", "start_byte")
+    size, tie, part, rank, begin, every, first, before = (fresh(x, sized) for x in ("_bytes", "_tie", "_part", "_rank", "_begin", "_every", "_first", "_before"))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in sized.columns])
+    rows = sized.withColumns({size: F.coalesce(F.col(size_col).cast("long"), F.lit(0)), tie: hashed})
+    ranged = checkpoint(rows.repartitionByRange(n, F.col(id_col), F.col(size), F.col(tie)).withColumn(part, F.spark_partition_id()))
 
     # One row a partition from here on, whatever the number of rows.
-    totals = ranged.groupBy("_part").agg(F.sum("_bytes").alias("_b"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
+    totals = ranged.groupBy(part).agg(F.sum(size).alias("_b"))
+    so_far = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        "_part",
-        F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"),
-        F.sum("_b").over(everything).alias("_all"),
+        part,
+        F.coalesce(F.sum("_b").over(so_far), F.lit(0)).alias(begin),
+        F.sum("_b").over(Window.partitionBy()).alias(every),
     )
-    inside = Window.partitionBy("_part").orderBy(F.col(id_col), F.col("_bytes"), F.col("_tie"))
+    inside = Window.partitionBy(part).orderBy(F.col(id_col), F.col(size), F.col(tie))
+    middle = 2 * F.col("start_byte") + F.col(size)
     cut = (
-        ranged.join(F.broadcast(starts), "_part")
-        .withColumn("start_byte", F.col("_b0") + F.coalesce(F.sum("_bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_rank", F.row_number().over(inside).cast("long"))
-        .withColumn("shard", F.least(F.floor((2 * F.col("start_byte") + F.col("_bytes")) * shards / F.greatest(2 * F.col("_all"), F.lit(1))), F.lit(shards - 1)).cast("int"))
+        ranged.join(F.broadcast(starts), part)
+        .withColumn("start_byte", F.col(begin) + F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn(rank, F.row_number().over(inside).cast("long"))
+        .withColumn("shard", F.least(F.floor(middle * shards / F.greatest(2 * F.col(every), F.lit(1))), F.lit(shards - 1)).cast("int"))
     )
     # A shard begins in one partition and goes on in the next ones: where its rows begin in
     # each follows from the counts by partition and shard.
-    counts = cut.groupBy("_part", "shard").agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_first"))
-    earlier = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", "shard", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    counts = cut.groupBy(part, "shard").agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias(first))
+    earlier = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, "shard", first, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before))
     return (
-        cut.join(F.broadcast(offsets), ["_part", "shard"])
-        .withColumn("slot", F.col("_before") + F.col("_rank") - F.col("_first"))
-        .select(*sized.columns, "shard", "slot", "start_byte")
+        cut.join(F.broadcast(offsets), [part, "shard"])
+        .withColumn("slot", F.col(before) + F.col(rank) - F.col(first))
+        .select(*[F.col(f"`{c}`") for c in sized.columns], "shard", "slot", "start_byte")
     )
 
 
