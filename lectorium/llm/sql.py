@@ -61,7 +61,7 @@ WITH asked AS (
   SELECT page_id, url, fetched_on, host, string_split(host, '.') AS l FROM asked WHERE host IS NOT NULL
 ), candidates AS (
   SELECT page_id, url, fetched_on, k - 1 AS depth, array_to_string(l[k:], '.') AS domain
-  FROM (SELECT *, unnest(range(1, greatest(len(l), 2))) AS k FROM labels_of)
+  FROM (SELECT *, unnest(CASE WHEN host[1] = '[' OR regexp_matches(host, '(^|\.)[0-9]+$') THEN [1] ELSE range(1, greatest(len(l), 2)) END) AS k FROM labels_of)
 ), hits AS (
   SELECT c.page_id, c.url, c.fetched_on, c.depth, s.category, c.domain, s.valid_from,
          row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched_on ORDER BY c.depth, s.category) AS rn

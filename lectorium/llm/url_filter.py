@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAR_FUTURE = "9999-12-31"
-#: Labels of a host name that are looked up, from the right; a DNS name has 127 at most.
-MOST_LABELS = 127
 
 
 def url_host(url: Column) -> Column:
@@ -17,11 +15,11 @@ def url_host(url: Column) -> Column:
 
 
 def parent_domains(host: Column) -> Column:
-    """The host and its parents of two labels or more, longest first."""
+    """The host and its parents of two labels or more, longest first; an address (in brackets, or with a number last) has none."""
     labels = F.split(host, r"\.")
-    depth = F.least(F.size(labels), F.lit(MOST_LABELS))
-    starts = F.when(depth >= 2, F.sequence(F.lit(1), depth - 1)).otherwise(F.array(F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.lit(MOST_LABELS)), "."))
+    address = F.startswith(host, F.lit("[")) | host.rlike(r"(^|\.)[0-9]+$")
+    starts = F.when(~address & (F.size(labels) >= 2), F.sequence(F.lit(1), F.size(labels) - 1)).otherwise(F.array(F.lit(1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:

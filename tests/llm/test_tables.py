@@ -45,6 +45,14 @@ def test_shards_of_odd_tables(spark):
     assert len(twice) == 8
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["_bytes", "_tie", "_part", "_rank", "_b0", "_b", "_n", "_all", "_first", "_before", "_begin", "_every", "shard"]
+    df = spark.range(20).select(F.col("id").alias("doc_id"), F.lit(9).cast("long").alias("size"), *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    got = sharding.shard_by_bytes(df, 4, partitions=3).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == [(i, i // 5, i % 5) for i in range(20)]
+    assert all(r[c] == k for r in got for k, c in enumerate(names[:-1]))
+
+
 HOSTS = [("http://A.Example.com/x", "a.example.com"), ("https://u:p@b.org:80?q", "b.org"), ("ftp://c.d./", "c.d"), ("no url", None), ("", None), (None, None), ("http://[::1]:8/", "[::1]"), ("http:///x", None)]
 
 
@@ -53,6 +61,18 @@ def test_hosts(spark):
     assert all(r.got == r.want for r in df.collect())
     parents = spark.createDataFrame([("a.b.c",), ("x",), ("a.b",)], "h string").select(url_filter.parent_domains(F.col("h"))).collect()
     assert [r[0] for r in parents] == [["a.b.c", "b.c"], ["x"], ["a.b"]]
+    long = ".".join(f"l{k}" for k in range(200))
+    odd = spark.createDataFrame([(long,), ("10.1.2.3",), ("[::ffff:1.2.3.4]",), ("1.com",)], "h string").select(url_filter.parent_domains(F.col("h"))).collect()
+    assert len(odd[0][0]) == 199 and odd[0][0][0] == long and odd[0][0][-1] == "l198.l199"
+    assert [r[0] for r in odd[1:]] == [["10.1.2.3"], ["[::ffff:1.2.3.4]"], ["1.com"]]
+
+
+def test_addresses_and_long_names(spark):
+    long = ".".join(f"l{k}" for k in range(200)) + ".z.org"
+    day = date(2024, 3, 1)
+    c = spark.createDataFrame([(1, "http://10.1.2.3/", day), (2, "http://[::2.3]/", day), (3, f"http://{long}/", day), (4, "http://2.3/", day)], "page_id long, url string, fetched_on date")
+    e = spark.createDataFrame([("2.3", "ads", day, "add"), ("z.org", "ads", day, "add")], "domain string, category string, effective_on date, action string")
+    assert {r.page_id: r.matched_domain for r in url_filter.filter_urls(c, e).collect()} == {1: None, 2: None, 3: "z.org", 4: "2.3"}
 
 
 def test_temporal_join_against_replay(spark):
