@@ -7,10 +7,13 @@ ordered from the rarest; sharing ``MATCHES`` of them means that one lies in each
 prefix, which leaves out that many less one of the most frequent. So long postings, as of
 a passage that many documents share, are skipped. All links are confirmed on full sets.
 
-Each set is first held against the smallest set of each of its postings and against those
-of its longest posting that share the most pairs; what that joins into one component
+Each set is first held against the likest of the smallest sets of its postings and against
+those of its longest posting that share the most pairs; what that joins into one component
 needs no further look. Only sets of one posting that are still in different components
-are then all compared, in blocks, where their full sets are at hand.
+are then all compared, in blocks, where their full sets are at hand. Where a posting is
+long even then, as of a template that many pages fill in, its sets are posted anew under
+their rarest shingles, as many as two sets of the asked similarity must share one of. So
+sets that share only the template don't meet.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ COORDINATES = 64
 MATCHES = 32
 #: Sets that a block of the last comparison holds at most, on average.
 BLOCK = 800
+#: Sets of a posting from which on they are posted anew under their rarest shingles.
+LONG = 4 * BLOCK
 
 _RNG = np.random.default_rng(20)
 _STEPS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,11 +137,34 @@ def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
 
 
 def sharing(pairs: DataFrame, shorts: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Pairs (a, b) that share ``matches`` coordinates, by 15 bits of them (_rep, _short), so never too few."""
+    """Of each ``a`` the pair (a, b) that shares the most coordinates, ``matches`` at least, by 15 bits of them (_rep, _short)."""
     left = shorts.select(F.col("_rep").alias("a"), F.col("_short").alias("_sa"))
     right = shorts.select(F.col("_rep").alias("b"), F.col("_short").alias("_sb"))
     same = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(left, "a").join(right, "b").where(same >= matches).select("a", "b")
+    counted = pairs.join(left, "a").join(right, "b").select("a", F.struct(same.alias("n"), "b").alias("_best")).where(F.col("_best.n") >= matches)
+    return counted.groupBy("a").agg(F.max("_best").alias("_best")).select("a", "_best.b")
+
+
+def rare_postings(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Sets (_rep, _component) posted under their rarest shingles, in the form of ``rows``; ``_c`` is -1.
+
+    Two sets that share the percentage share as much of the larger one, so one of the
+    shingles that remain when a set is left all but one less than that of its commonest.
+    Only postings that span components are returned.
+    """
+    reps = rows.select("_rep", "_component").distinct()
+    each = reps.join(sets.withColumnRenamed("_id", "_rep"), "_rep").select("_rep", "_component", F.explode("_shingles").alias("_key"))
+    counts = each.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"))
+    own = each.join(counts, "_key").groupBy("_rep", "_component").agg(F.sort_array(F.collect_list(F.struct("_m", "_key"))).alias("_all"))
+    many = F.size("_all") - F.ceil(F.size("_all") * percent / 100).cast("int") + 1
+    rare = own.select("_rep", "_component", F.explode(F.slice("_all", F.lit(1), many)).alias("_x")).where("_x._m > 1")
+    posted = checkpoint_narrow(rare.select("_x._key", F.lit(-1).alias("_c"), "_rep", "_component", F.lit(0).cast("long").alias("_mask")))
+    return posted.join(spanning(posted), "_key", "left_semi")
+
+
+def spanning(placed: DataFrame) -> DataFrame:
+    """Keys of postings whose sets are of more than one component."""
+    return placed.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where("_lo <> _hi").select("_key")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -214,16 +242,21 @@ def _nearest(x: Block, y: Block, matches: int, most: int = 2) -> tuple[np.ndarra
 
 
 def _candidates(x: Block, y: Block, place: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the two blocks that may be linked: of different components, sharing enough, in the first posting that both prefixes have."""
+    """Rows of the two blocks that may be linked: of different components, sharing enough.
+
+    Only the first two postings that both prefixes have count, by the bits that are at hand:
+    a coordinate that only seems equal may take the place of one. Without a place all count.
+    """
     counts = _counts(x, y, matches)
     i, j = np.nonzero(counts)
     if len(i):
         likeliest = np.argsort(-counts[i, j].astype(np.int16), kind="stable")
         i, j = i[likeliest], j[likeliest]
+    if len(i) and place >= 0:
         both = x.mask[i] & y.mask[j]
         shared = (x.short[i] == y.short[j]) & (both[:, None] >> np.arange(COORDINATES) & 1).astype(bool)
-        first = shared.argmax(1) == place
-        i, j = i[first], j[first]
+        early = shared[:, place] & (shared[:, :place].sum(1) < 2)
+        i, j = i[early], j[early]
     return i, j
 
 
@@ -380,11 +413,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             placed = placed.withColumn("_component", F.col("_rep"))
         else:
             placed = checkpoint_narrow(placed.join(reached, F.col("_rep") == F.col("node"), "left").withColumn("_component", F.coalesce("component", "_rep")).drop("node", "component"))
-        held = placed.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where("_lo <> _hi").select("_key")
-        rows = placed.join(held, "_key", "left_semi")
+        rows = placed.join(spanning(placed), "_key", "left_semi")
         if not last:  # each class in its longest posting only; what this joins shrinks the rest
             longest = F.max(F.struct("_n", "_key", "_c", "_mask", "_component")).alias("_best")
             rows = rows.groupBy("_rep").agg(longest).select("_rep", "_best.*")
+        else:
+            rows = checkpoint_narrow(rows.select("_key", "_c", "_rep", "_component", "_mask"))
+            long = checkpoint_narrow(rows.groupBy("_key").count().where(F.col("count") > LONG).select("_key"))
+            if not long.isEmpty():
+                rare = rare_postings(rows.join(few(long), "_key", "left_semi"), sets, percent)
+                rows = rows.join(few(long), "_key", "left_anti").unionByName(rare)
         dealt = _dealt(checkpoint_narrow(rows.select("_key", "_c", "_rep", "_component", "_mask")))
         if last:
             found = settled(dealt, shorts, sets, percent, matches)

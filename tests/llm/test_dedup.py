@@ -146,6 +146,36 @@ def test_near_dedup_in_small_blocks(spark, monkeypatch):
     assert got == brute_near(rows)
 
 
+def test_near_dedup_of_long_postings(spark, monkeypatch):
+    """A template that many documents fill in, some of them alike, posted anew under rare shingles."""
+    rng = random.Random(13)
+    template = [f"t{k}" for k in range(70)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i // 3}_{k if rng.random() < 0.9 else rng.randrange(10**6)}" for k in range(40)]
+        rows.append((i, " ".join(template + own), "s"))
+    monkeypatch.setattr(near_dedup, "LONG", 5)
+    met = []
+    plain = near_dedup.rare_postings
+    monkeypatch.setattr(near_dedup, "rare_postings", lambda *a: met.append(plain(*a)) or met[-1])
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(docs_of(spark, rows)).collect())
+    assert got == brute_near(rows) and len({c for _, _, c, _ in got}) > 25
+    assert met  # and in these postings only few meet
+    assert not met or met[0].groupBy("_key").count().agg(F.max("count")).first()[0] in (None, 2, 3)
+
+
+def test_pairs_at_the_limit_are_found(spark):
+    """Of pairs at a similarity of 0.75 or little more none of a thousand is missed."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(1000):
+        words = [f"v{rng.randrange(10**7)}" for _ in range(124)]
+        other = words[:-17] + [f"x{rng.randrange(10**7)}" for _ in range(17)]  # 103 of 137 shingles are shared
+        rows += [(2 * i, " ".join(words), "s"), (2 * i + 1, " ".join(other), "s")]
+    got = near_dedup.near_dedup(docs_of(spark, rows))
+    assert {r.component_id for r in got.collect()} == {2 * i for i in range(1000)}
+
+
 def test_near_dedup_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (None, "a b c d e f", "s"), (None, None, "s")]
     got = sorted((tuple(r) for r in near_dedup.near_dedup(docs_of(spark, rows)).collect()), key=str)
