@@ -2,7 +2,9 @@
 
 Training needs confirmed toxic documents and unlabelled ones. The loss of the unlabelled
 part is corrected by the class prior for the toxic documents in it, and is not let fall
-below zero. Features are words and how words begin, hashed.
+below zero. The curve that turns sums into probabilities comes from the same two samples
+and the prior. No document counts as clean anywhere. Features are words and how words
+begin, hashed.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ MOST_KNOWN = 100_000
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
 
-#: Most documents of each kind that training reads; all others only get scores.
+#: Most documents of each kind that training reads, all of them among the rows of the labels; all others only get scores.
 MOST_POSITIVE = 3_000
 MOST_UNLABELLED = 6_000
-MOST_CALIBRATION = 3_000
+#: The class prior is the share of toxic ones among the labels, held within these limits; without labels it is the third.
+LEAST_PRIOR, MOST_PRIOR, USUAL_PRIOR = 0.01, 0.5, 0.1
 
 #: A feature is used if it is in so many toxic documents, and that much likelier there.
 MIN_POSITIVE = 5
@@ -128,41 +131,53 @@ def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.
     return np.nonzero((in_p >= min(MIN_POSITIVE, max(2, n // 20))) & (p >= MIN_RATIO * u) & (z >= MIN_Z))[0]
 
 
-def calibrate(margins: np.ndarray, toxic: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through labelled margins (Newton, lightly held)."""
-    if len(margins) == 0 or toxic.min() == toxic.max():
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 200) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that minimises the class-prior-corrected risk of two samples of margins.
+
+    Under the logistic loss the risk ``prior * E+[l(z)] + Eu[l(-z)] - prior * E+[l(-z)]`` is
+    ``Eu[log(1 + e^z)] - prior * E+[z]``, which is convex: Newton steps, lightly held, find its
+    one minimum. There the mean score of the unlabelled sample is the prior.
+    """
+    if not len(positive) or not len(unlabelled):
         return 1.0, 0.0
-    x = np.stack([margins, np.ones_like(margins)], 1)
-    # Labels are pulled in a little, so that a separable sample gives a finite slope.
-    up, down = toxic.sum(), len(toxic) - toxic.sum()
-    y = np.where(toxic > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    ab = np.array([1.0, 0.0])
+    both = np.concatenate([positive, unlabelled])
+    centre, scale = float(both.mean()), float(both.std()) or 1.0
+    row = lambda m: np.stack([(m - centre) / scale, np.ones_like(m)], 1)
+    x, target, held = row(unlabelled), prior * row(positive).mean(0), np.diag([1e-5, 1e-8])
+
+    def risk(ab: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ ab).mean() - target @ ab + ab @ held @ ab / 2)
+
+    ab = np.array([1.0, float(np.log(prior / (1 - prior)))])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ ab, -40, 40)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (q - y))
-        ab = ab - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        slope = (x * q[:, None]).mean(0) - target + held @ ab
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x / len(x) + held, slope)
+        size = 1.0
+        while size > 1e-6 and risk(ab - size * step) > risk(ab):
+            size /= 2
+        ab = ab - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-    return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)
+    if ab[0] <= 0:
+        return 1.0, 0.0
+    return float(ab[0] / scale), float(ab[1] - ab[0] * centre / scale)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list[tuple[np.ndarray, int]], prior: float) -> ToxicityModel:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> ToxicityModel:
+    """A model from features of toxic and of unlabelled documents; without features that tell, every score is the prior."""
     size = 1 << FEATURE_BITS
     used = informative(positive, unlabelled) if positive and unlabelled else np.array([], np.int64)
     weights, bias = np.zeros(size), -1.0
-    if len(used):
-        place = np.full(size, -1)
-        place[used] = np.arange(len(used))
-        narrow = lambda rows: [k[k >= 0] for k in (place[r] for r in rows)]
-        own, bias = nn_pu(narrow(positive), narrow(unlabelled), prior, len(used))
-        weights[used] = own
-    model = ToxicityModel(weights, bias)
-    toxic = np.array([y for _, y in labelled])
-    model.slope, model.shift = calibrate(np.array([model.margin(x) for x, _ in labelled]), toxic)
     if not len(used):
-        share = (toxic.sum() + 1) / (len(toxic) + 2) if len(toxic) else prior
-        model.slope, model.shift = 1.0, float(np.log(share / (1 - share))) - bias
+        return ToxicityModel(weights, bias, 1.0, float(np.log(prior / (1 - prior))) - bias)
+    place = np.full(size, -1)
+    place[used] = np.arange(len(used))
+    narrow = lambda rows: [k[k >= 0] for k in (place[r] for r in rows)]
+    weights[used], bias = nn_pu(narrow(positive), narrow(unlabelled), prior, len(used))
+    model = ToxicityModel(weights, bias)
+    margins = lambda rows: np.array([model.margin(x) for x in rows])
+    model.slope, model.shift = calibrate(margins(positive), margins(unlabelled), prior)
     return model
 
 
@@ -172,41 +187,41 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7) -> ToxicityModel:
-    """A model from a bounded sample: ``MOST_POSITIVE`` toxic documents, ``MOST_UNLABELLED`` of any
-    kind, and ``MOST_CALIBRATION`` labelled ones of each kind for the curve; held-out ids never.
+    """A model from a bounded sample of the rows of ``labels``: ``MOST_POSITIVE`` that are toxic, and
+    ``MOST_UNLABELLED`` of any kind, whose labels aren't read; held-out ids never.
 
-    The prior is the toxic share of all labels that may be used. Samples are the rows with
-    the smallest hashes of their ids.
+    The prior is the toxic share of all labels that may be used, within ``LEAST_PRIOR`` and
+    ``MOST_PRIOR``. Samples are the rows with the smallest hashes of their ids. An id with
+    contradictory labels is toxic; other labels than 0 and 1 are none. Of documents that
+    repeat an id one is read. Labels without a document say nothing but for the prior.
     """
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where(~held_out("_id") & F.col("_toxic").isin(0, 1))
-    pick = F.xxhash64(F.lit(seed), F.col("_id"))
+    stated = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where(~held_out("_id") & F.col("_toxic").isin(0, 1))
+    usable = stated.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     n, toxic = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
-    prior = min(0.5, max(0.01, toxic / n if n else 0.1))
-    kinds = [
-        usable.where("_toxic = 1").orderBy(pick, "_id").limit(max(MOST_POSITIVE, MOST_CALIBRATION)).withColumn("_kind", F.lit("toxic")),
-        usable.where("_toxic = 0").orderBy(pick, "_id").limit(MOST_CALIBRATION).withColumn("_kind", F.lit("clean")),
-        docs.select(F.col(id_col).alias("_id")).where(~held_out("_id")).orderBy(pick, "_id").limit(MOST_UNLABELLED).select("_id", F.lit(None).cast("int").alias("_toxic"), F.lit("any").alias("_kind")),
-    ]
-    chosen = kinds[0].union(kinds[1]).union(kinds[2]).select("_id", "_kind").distinct()  # bounded by the limits
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    prior = min(MOST_PRIOR, max(LEAST_PRIOR, toxic / n)) if n else USUAL_PRIOR
+    pick = F.xxhash64(F.lit(seed), F.col("_id"))
+    confirmed = usable.where("_toxic = 1").orderBy(pick, "_id").limit(MOST_POSITIVE).select("_id", F.lit("toxic").alias("_kind"))
+    any_kind = usable.orderBy(F.xxhash64(F.lit(seed + 1), F.col("_id")), "_id").limit(MOST_UNLABELLED).select("_id", F.lit("any").alias("_kind"))
+    chosen = confirmed.union(any_kind)  # bounded by the limits
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "_kind").agg(F.min("_text").alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures()
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([document_features(t.as_py(), known).tobytes() for t in batch.column(1)], pa.binary())], names=["_kind", "_features"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([document_features(t.as_py(), known).tobytes() for t in batch.column(2)], pa.binary())], names=["_id", "_kind", "_features"])
 
-    found: dict[str, list[np.ndarray]] = {"toxic": [], "clean": [], "any": []}
-    for row in texts.select("_kind", "_text").mapInArrow(tidy(work), "_kind string, _features binary").collect():
-        found[row["_kind"]].append(np.frombuffer(row["_features"], np.int32))
-    labelled = [(x, 1) for x in found["toxic"][:MOST_CALIBRATION]] + [(x, 0) for x in found["clean"]]
-    return train(found["toxic"][:MOST_POSITIVE], found["any"], labelled, prior)
+    kind = texts.schema["_id"].dataType.simpleString()
+    rows = texts.select("_id", "_kind", "_text").mapInArrow(tidy(work), f"_id {kind}, _kind string, _features binary").collect()
+    found = {k: [np.frombuffer(r["_features"], np.int32) for r in sorted(rows, key=lambda r: r["_id"]) if r["_kind"] == k] for k in ("toxic", "any")}
+    return train(found["toxic"], found["any"], prior)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row's id, columns ``keep`` and ``score``, the probability that its whole text is toxic.
 
-    A null text counts as empty and gets the score of no features. Rows keep their number;
-    an empty table gives an empty result.
+    A null text counts as empty and gets the score of no features; a text of any length is
+    read whole. Rows keep their number, repeated ones and null ids too; columns that aren't
+    named are not read, whatever their names. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((np.nonzero(model.weights)[0].astype(np.int32), model.weights[model.weights != 0], model.bias, model.slope, model.shift))
 

@@ -466,6 +466,30 @@ def test_toxicity_holds_out(spark):
     assert np.array_equal(toxicity.fit(d, turned).weights, model.weights)
 
 
+def test_scores_against_brute_force(spark):
+    """Every score is the curve of the summed weights, worked out feature by feature."""
+    docs, labels = toxic_corpus(400, 3)
+    d = spark.createDataFrame([*docs, (9000, "vilest " * 300_000), (9001, None), (9001, "twice"), (9001, "twice")], "doc_id long, text string")
+    twice = spark.createDataFrame([*labels, *labels[:50], (labels[0][0], 1, 1 - labels[0][2]), (7777777, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, twice)
+    again = toxicity.fit(d.union(d.limit(100)).repartition(5), twice)
+    assert np.array_equal(model.weights, again.weights) and (model.slope, model.shift) == (again.slope, again.shift)
+    for r in toxicity.score(d, model, keep=("text",)).collect():
+        names = {x for w in toxicity.WORD.findall((r.text or "").lower()) for x in ("=" + w, *("^" + w[:n] for n in toxicity.STEMS if len(w) > n))}
+        margin = sum(model.weights[k] for k in {toxicity.xxhash.xxh32_intdigest(x) >> (32 - toxicity.FEATURE_BITS) for x in names}) + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * margin + model.shift)))) < 1e-9
+
+
+def test_curve_needs_no_clean_documents():
+    """The minimum of the corrected risk, against a grid; the mean score of the unlabelled is the prior."""
+    rng = np.random.default_rng(2)
+    positive, unlabelled = rng.normal(2, 1, 400), np.concatenate([rng.normal(2, 1, 120), rng.normal(-1, 1, 880)])
+    a, b = toxicity.calibrate(positive, unlabelled, 0.12)
+    risk = lambda a, b: np.logaddexp(0, a * unlabelled + b).mean() - 0.12 * (a * positive + b).mean()
+    assert risk(a, b) <= min(risk(x, y) for x in np.linspace(0.1, 6, 60) for y in np.linspace(-8, 4, 121)) + 1e-3
+    assert abs((1 / (1 + np.exp(-a * unlabelled - b))).mean() - 0.12) < 1e-3
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
