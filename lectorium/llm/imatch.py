@@ -36,7 +36,7 @@ LEAST_DOCUMENTS = 2
 MOST_SHARE = 0.1
 SUBSETS = 48
 #: Documents that a task compares, on average, where the session's partitions are fewer.
-RANGED_TOGETHER = 5_000
+RANGED_TOGETHER = 2_000
 
 #: ASCII signs part words as white space does.
 SIGNS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
