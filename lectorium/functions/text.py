@@ -10,6 +10,10 @@ LETTERS = r"\p{L}\p{N}_"
 WORD = rf"[{LETTERS}]+(?:[-'’][{LETTERS}]+)*"
 VOLUME = r"\b(?:т|том|кн|книга|ч|часть|vol|volume|part)\.?\s*(\d+|[IVXLC]+)\b"
 STOP_WORDS = "и в во на с со по за как для о об от до из не ни то что это его их при над под без the a an of and or".split()
+NARRATOR = r"(?:читает|читают|чтец|исполняет|озвучка|озвучил[аи]?)\s*[:\-–—]?\s*([^,.|()\[\]/]{3,60})"
+COUNTRY_LANGUAGES = {"CN": "zh"}
+CHAPTERS = r"\bгл\.?\s.*$"
+TAGS = r"\[[^\]]*\]|\([^)]*$"
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
 
 
@@ -31,8 +35,8 @@ def norm_title(title: Column) -> Column:
     """A title for comparison: no case, volume marks, chapter ranges, bracketed tags or signs."""
     t = F.translate(F.lower(F.coalesce(title, F.lit(""))), "ё", "е")
     t = F.regexp_replace(t, f"(?iU){VOLUME}", " ")
-    t = F.regexp_replace(t, r"(?U)\bгл\.?\s.*$", " ")
-    t = F.regexp_replace(t, r"\[[^\]]*\]|\([^)]*$", " ")
+    t = F.regexp_replace(t, f"(?U){CHAPTERS}", " ")
+    t = F.regexp_replace(t, TAGS, " ")
     return F.trim(F.regexp_replace(t, f"[^{LETTERS}]+", " "))
 
 
@@ -154,3 +158,34 @@ def url_label(url: Column) -> Column:
     runs = F.regexp_extract_all(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.lit(r"(\d+)"), F.lit(1))
     best = F.get(F.array_sort(F.transform(runs, lambda r, i: F.struct((-F.length(r)).alias("n"), (-i).alias("i"), r.alias("r")))), F.lit(0))["r"]
     return F.concat_ws("-", F.regexp_replace(F.get(labels, F.lit(0)), "-", ""), best)
+
+
+def typed_match(text: Column, typed: Column) -> Column:
+    """Whether a text holds what was typed, both without case and signs; nothing typed is in every text."""
+    even = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
+    return (F.coalesce(typed, F.lit("")) == "") | F.contains(even(text), even(typed))
+
+
+def is_video(name: Column, seconds: Column, live: Column) -> Column:
+    """Whether a video can be a reading: a proper id, five minutes or more, neither live nor announced."""
+    return F.coalesce(name.rlike("^[A-Za-z0-9_-]{11}$") & (seconds >= 300), F.lit(False)) & ~F.coalesce(live.isin("is_live", "is_upcoming"), F.lit(False))
+
+
+def narrator(title: Column, channel: Column) -> Column:
+    """Who reads, where the title says so, else the channel."""
+    named = F.trim(F.regexp_extract(title, f"(?iu){NARRATOR}", 1), F.lit(" -–—"))
+    return F.when(title.rlike(f"(?iu){NARRATOR}"), named).otherwise(channel)
+
+
+def file_parts(name: Column, author: str, full_name: str) -> Column:
+    """A struct (title, lang, author) of a file's name: words joined by hyphens, a code in capitals at the end, the author's name (a pattern) anywhere."""
+    spaced = F.regexp_replace(name, r"(?U)(?<=\w)-(?=\w)", " ")
+    code = F.regexp_extract(spaced, r"[\s-]([A-Z]{2})$", 1)
+    languages = F.create_map(*[F.lit(x) for pair in COUNTRY_LANGUAGES.items() for x in pair])
+    bare = F.regexp_replace(F.regexp_replace(spaced, r"[\s-][A-Z]{2}$", ""), rf"(?iU)[\s-]*{author}\b", " ")
+    title = F.trim(F.regexp_replace(bare, r"\s+", " "), F.lit(" -"))
+    return F.struct(
+        F.coalesce(F.nullif(title, F.lit("")), name).alias("title"),
+        F.coalesce(F.element_at(languages, code), F.lower(code)).alias("lang"),
+        F.when(spaced.rlike(f"(?iU){author}"), full_name).otherwise("").alias("author"),
+    )

@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values.
 REFERENCE = re.compile(
@@ -53,3 +54,12 @@ def text_ends(df: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame({by: [pdf[by].iloc[0]], "text_end": [text_end(list(zip(rows["title"], rows["level"], rows["sentences"])))]})
 
     return df.groupBy(by).applyInPandas(work, f"`{by}` {kind}, text_end int")
+
+
+def audio_ends(words: DataFrame, ends: DataFrame, durations: DataFrame, by: str) -> DataFrame:
+    """Per book the end of the last word read before the back matter, else its ``duration``.
+
+    ``words`` (by, chapter, t1), ``ends`` as of ``text_ends``, ``durations`` (by, duration).
+    """
+    main = words.join(ends, by).where(F.col("chapter") < F.col("text_end")).groupBy(by).agg(F.max("t1").alias("_t1"))
+    return durations.join(main, by, "left").select(by, F.coalesce("_t1", "duration").alias("audio_end"))

@@ -1,20 +1,17 @@
-"""Books from marked-up sources: HTML pages, FB2 and EPUB files, as blocks with their inline ranges.
+"""Trees of marked-up sources, web pages as books, and what kind a file is.
 
 Python kernels, one document at a time; a damaged document gives what can be read of it.
 """
 
 from __future__ import annotations
 
-import html
 import io
-import posixpath
 import re
 import zipfile
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import unquote
 
-from ..functions.sentences import block_ranges, row_ranges
+from .books import Block, Book, Note
 
 # Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,24 +51,13 @@ class Node:
         return "".join(out)
 
 
-@dataclass
-class Block:
-    kind: str
-    text: str
-    level: int = 0
-    marks: list[tuple[str, int, int]] = field(default_factory=list)
-    notes: list[tuple[int, str]] = field(default_factory=list)
-    cells: list[list[tuple[int, int]]] = field(default_factory=list)
-
-    def sentences(self) -> list[tuple[int, int]]:
-        return row_ranges(self.cells, self.text) if self.cells else block_ranges(self.text, self.kind)
-
-
 class _Tree(HTMLParser):
     """A tree that forgives; elements deeper than ``DEEPEST`` are put beside each other."""
 
     def __init__(self, xml: bool = False):
         super().__init__(convert_charrefs=True)
+        if xml:  # no element of XML holds raw text
+            self.CDATA_CONTENT_ELEMENTS = self.RCDATA_CONTENT_ELEMENTS = ()
         self.root = Node("")
         self.stack = [self.root]
         self.xml = xml
@@ -81,7 +67,10 @@ class _Tree(HTMLParser):
             top = self.stack[-1].name
             if tag in BLOCKS and top == "p" or tag == top and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 self.stack.pop()
-        node = Node(tag.rpartition(":")[2] if self.xml else tag, {k.rpartition(":")[2]: v or "" for k, v in attrs})
+        own = {k: v or "" for k, v in reversed(attrs)}
+        for k in [k for k in own if k.endswith(":href")]:
+            own.setdefault("href", own[k])  # whatever prefix links have
+        node = Node(tag.rpartition(":")[2] if self.xml else tag, own)
         self.stack[-1].children.append(node)
         if (self.xml or tag not in VOID) and len(self.stack) < DEEPEST:
             self.stack.append(node)
@@ -218,9 +207,12 @@ def note_targets(root: Node) -> dict[str, Node]:
     return {k: v for k, v in found.items() if k not in back or not any(v is w for j, w in found.items() if j != k and j in back)}
 
 
-def html_book(source: str) -> tuple[list[Block], dict[str, str]]:
-    """Blocks of a page's main part, and its notes by id."""
-    root = tree(source)
+def html_book(source: str) -> Book:
+    """A page's main part, and its notes by id."""
+    return page_book(tree(source))
+
+
+def page_book(root: Node) -> Book:
     notes = note_targets(root)
     ids = frozenset(notes)
     skip = {id(n) for n in notes.values()}
@@ -261,97 +253,7 @@ def html_book(source: str) -> tuple[list[Block], dict[str, str]]:
         run(loose)
 
     walk(main_container(root), "p")
-    return blocks, {k: inline(v).text for k, v in notes.items()}
-
-
-# FB2
-
-
-def repair_xml(source: str) -> str:
-    """Named entities as characters, stray ampersands escaped, characters that XML forbids dropped."""
-    named = re.sub(r"&([a-zA-Z][a-zA-Z0-9]*);", lambda m: m[0] if m[1] in ("amp", "lt", "gt", "quot", "apos") else html.unescape(m[0]), source)
-    escaped = re.sub(r"&(?!#\d+;|#x[0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)", "&amp;", named)
-    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", escaped)
-
-
-FB2_KINDS = {"p": "p", "subtitle": "subtitle", "v": "verse", "text-author": "author", "date": "date"}
-
-
-def fb2_book(source: str) -> tuple[list[Block], dict[str, str]]:
-    """Blocks of the main body, and notes from the bodies of notes."""
-    root = tree(repair_xml(source), xml=True)
-    bodies = [n for n in root.walk() if n.name == "body"]
-    notes: dict[str, str] = {}
-    for body in bodies[1:]:
-        for section in body.walk():
-            if section.name == "section" and section.attrs.get("id"):
-                parts = [inline(n).text for n in section.walk() if n.name in ("p", "v")]
-                notes[section.attrs["id"]] = " ".join(parts[1:] if len(parts) > 1 and re.fullmatch(r"\W*\d*\W*", parts[0]) else parts)
-    ids = frozenset(notes)
-    blocks: list[Block] = []
-
-    def walk(node: Node, kind: str, depth: int) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                continue
-            if child.name == "title":
-                lines = [inline(n, ids).text for n in child.walk() if n.name == "p"] or [inline(child, ids).text]
-                if text := join_lines(lines):
-                    blocks.append(Block("title", text, level=max(1, depth)))
-            elif child.name in FB2_KINDS:
-                block = inline(child, ids)
-                block.kind = kind if child.name == "p" else FB2_KINDS[child.name]
-                if block.text:
-                    blocks.append(block)
-            elif child.name == "table":
-                blocks.append(table_block(child))
-            elif child.name in ("section", "poem", "stanza", "cite", "epigraph", "annotation", "body"):
-                walk(child, child.name if child.name in ("cite", "epigraph") else kind, depth + (child.name == "section"))
-
-    if bodies:
-        walk(bodies[0], "p", 0)
-    return blocks, notes
-
-
-def join_lines(lines: list[str]) -> str:
-    """Title lines as one, with full stops between them where none ends in punctuation."""
-    out = ""
-    for line in (x.strip() for x in lines):
-        if line:
-            out += line if not out else f" {line}" if out[-1] in ".!?…:;," else f". {line}"
-    return out
-
-
-# EPUB
-
-
-def _member(archive: zipfile.ZipFile, name: str) -> bytes:
-    try:
-        info = archive.getinfo(name)
-    except KeyError:
-        return b""
-    if info.file_size > LARGEST_MEMBER:
-        raise ValueError(f"{name} is too large")
-    return archive.read(info)
-
-
-def epub_book(raw: bytes) -> tuple[list[Block], dict[str, str]]:
-    """Blocks and notes of all documents of the spine, in order. A protected book is refused."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-        if "META-INF/encryption.xml" in archive.namelist() and b"EncryptedData" in _member(archive, "META-INF/encryption.xml") and b"font" not in _member(archive, "META-INF/encryption.xml").lower():
-            raise ValueError("the book is protected")
-        container = tree(_member(archive, "META-INF/container.xml").decode("utf-8", "replace"), xml=True)
-        package = next((n.attrs.get("full-path", "") for n in container.walk() if n.name == "rootfile"), "")
-        opf = tree(_member(archive, package).decode("utf-8", "replace"), xml=True)
-        items = {n.attrs.get("id"): n.attrs.get("href", "") for n in opf.walk() if n.name == "item"}
-        blocks: list[Block] = []
-        notes: dict[str, str] = {}
-        for ref in (n for n in opf.walk() if n.name == "itemref"):
-            path = posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(items.get(ref.attrs.get("idref"), ""))))
-            own, found = html_book(_member(archive, path).decode("utf-8", "replace"))
-            blocks += own
-            notes |= found
-    return blocks, notes
+    return Book(blocks=blocks, notes={k: Note(inline(v).text) for k, v in notes.items()})
 
 
 def single_member(raw: bytes, times: int = 2) -> bytes:

@@ -5,6 +5,8 @@ All windows are partitioned; no operator orders a whole table in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,24 +109,52 @@ def fix_times(df: DataFrame, by: str, order: str, value: str, step: float = 0.01
     return df.groupBy(by).applyInPandas(work, f"{fields}, fixed double")
 
 
-def greedy_windows(df: DataFrame, by: str, order: str, value: str, length: float = 120.0) -> DataFrame:
-    """Windows that begin at the first row not in the last one and hold rows up to ``length`` after it."""
+def greedy_windows(df: DataFrame, by: str, order: str, start: str, end: str, duration: Column, length: float = 120.0, slack: float = 5.0) -> DataFrame:
+    """Windows of about ``length`` between anchors: a window ends at the first anchor that long after its first one, which begins the next.
 
-    def work(pdf):
-        import pandas as pd
+    Rows: ``window_no``, words from ``word_lo`` to ``word_hi`` (both in it), times from ``t_lo``
+    to ``t_hi``. The last window holds its last anchor and goes on ``slack`` past its end, to the
+    duration at most. One anchor alone is no window.
+    """
 
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        out, first, n, end = [], None, 0, None
-        for v in pdf[value]:
-            if first is not None and v - first > length:
-                out.append((first, end, n))
-                first, n = None, 0
-            if first is None:
-                first = v
-            n, end = n + 1, v
-        if first is not None:
-            out.append((first, end, n))
-        return pd.DataFrame([(pdf[by].iloc[0], i, *x) for i, x in enumerate(out)], columns=[by, "window_no", "w_start", "w_end", "n_rows"])
+        words, begins = pdf[order].to_numpy(), pdf[start].to_numpy()
+        final, rows, i = len(pdf) - 1, [], 0
+        while i < final:
+            later = np.nonzero(begins[i + 1 : final] - begins[i] >= length)[0]
+            j = i + 1 + int(later[0]) if len(later) else final
+            closing = j == final
+            hi = words[j] if closing else words[j] - 1
+            until = min(pdf["_duration"].iloc[0], pdf[end].iloc[j] + slack) if closing else begins[j]
+            rows.append((pdf[by].iloc[0], len(rows), words[i], hi, begins[i], until))
+            i = j
+        return pd.DataFrame(rows, columns=[by, "window_no", "word_lo", "word_hi", "t_lo", "t_hi"])
 
     kind = df.schema[by].dataType.simpleString()
-    return df.select(by, order, F.col(value).cast("double").alias(value)).groupBy(by).applyInPandas(work, f"`{by}` {kind}, window_no int, w_start double, w_end double, n_rows long")
+    narrow = df.select(by, F.col(order).cast("long").alias(order), F.col(start).cast("double").alias(start), F.col(end).cast("double").alias(end), duration.cast("double").alias("_duration"))
+    return narrow.groupBy(by).applyInPandas(work, f"`{by}` {kind}, window_no int, word_lo long, word_hi long, t_lo double, t_hi double")
+
+
+def aligned_times(words: DataFrame, by: list[str], order: str, duration: Column, longest: float = 1.5, shortest: float = 0.05, worst: float = -8.0) -> DataFrame:
+    """Times (t0, t1) of words that an aligner gave some of: ``found0``, ``found1``, ``score``, else ``given0``, ``given1``.
+
+    What scores below ``worst`` is not taken. A found word lasts ``shortest`` at least. Begins are
+    then made to rise (``fix_times``) and ends held between the begin, the next one and ``longest``.
+    """
+    good = F.coalesce(F.col("score") >= worst, F.lit(False)) & F.col("found0").isNotNull()
+    end = F.when(F.col("found1") <= F.col("found0"), F.col("found0") + shortest).otherwise(F.col("found1"))
+    taken = words.select(*by, order, duration.alias("_d"), F.when(good, F.col("found0")).otherwise(F.col("given0")).alias("_t0"), F.when(good, end).otherwise(F.col("given1")).alias("_t1"))
+    risen = fix_times(taken.withColumn("_key", F.struct(*by)), "_key", order, "_t0").drop("_key")
+    w = Window.partitionBy(*by).orderBy(order)
+    t1 = F.least(F.greatest(F.col("_t1"), F.col("fixed") + shortest), F.coalesce(F.lead("fixed").over(w), F.col("_d")), F.col("fixed") + longest)
+    return risen.select(*by, order, F.bround("fixed", 3).alias("t0"), F.bround(t1, 3).alias("t1"))
+
+
+def nearest_above(df: DataFrame, by: list[str], order: str, level: str, levels: int, value: str, name: str = "parent") -> DataFrame:
+    """``df`` with the ``value`` of the last row before of a lower level, for levels from 0 to ``levels`` - 1; null if there is none."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(START, -1)
+    # Of each level the last row; the latest of those below the own level.
+    last = [F.max(F.when(F.col(level) == k, F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).over(w) for k in range(levels - 1)]
+    found = df.withColumn("_last", F.array(*last)) if last else df.withColumn("_last", F.array())
+    return found.withColumn(name, F.array_max(F.slice("_last", F.lit(1), F.least(F.col(level), F.lit(levels - 1)).cast("int")))["v"]).drop("_last")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lectorium.functions import num
 from lectorium.functions import text as tx
-from lectorium.functions.encoding import decode_bytes, encoding_of
+from lectorium.functions.encoding import NO_EVIDENCE, PER_THOUSAND, decode_bytes, encoding_of, russian_score
+from lectorium.functions.languages import language_code, title_language
 from lectorium.functions.sentences import block_ranges, row_ranges, sentence_ranges
 
 
@@ -64,6 +65,32 @@ def test_encodings():
     assert encoding_of(b"caf\xe9")[0] == "latin-1"
     assert decode_bytes(b"") == ""
     assert decode_bytes(russian.encode() + b"\xff").startswith(russian)
+    assert encoding_of("Ärger über Öl, größer. ".encode("cp1252"))[0] == "latin-1"
+
+
+def slow_score(text):
+    """The rule letter by letter."""
+    small = lambda c: c in PER_THOUSAND
+    capital = lambda c: not small(c) and c.lower() in PER_THOUSAND
+    latin = lambda c: c.isascii() and c.isalpha()
+    padded, score = "  " + text + " ", 0
+    for two, one, c, after in zip(padded, padded[1:], text, padded[3:]):
+        if c.isascii():
+            continue
+        if not small(c) and not capital(c):
+            score -= 0 if c in NO_EVIDENCE else 30
+        elif latin(one) or latin(after) or capital(c) and small(one) or small(c) and capital(one) and capital(two):
+            score -= 30
+        elif any(small(x) or capital(x) for x in (one, after)):
+            score += PER_THOUSAND[c.lower()]
+    return score
+
+
+def test_russian_score():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice("абвЁёЯЖщъ  xYz1.«—§€▓é中😀") for _ in range(rng.randrange(0, 40)))
+        assert russian_score(text) == slow_score(text)
 
 
 def value(spark, column):
@@ -89,6 +116,14 @@ def test_titles(spark):
     assert value(spark, tx.join_title(F.array(lit("Часть первая"), lit(""), lit("Дорога!"), lit("Дом")))) == "Часть первая. Дорога! Дом"
 
 
+def test_names_of_files_and_readers(spark):
+    assert tuple(value(spark, tx.file_parts(F.lit("Large-red-widget-Petrov-ID"), "Petrov", "I. Petrov"))) == ("Large red widget", "id", "I. Petrov")
+    assert tuple(value(spark, tx.file_parts(F.lit("Petrov"), "Petrov", "P"))) == ("Petrov", "", "P")
+    assert value(spark, tx.narrator(F.lit("Книга (Читает Иван Клюквин)"), F.lit("x"))) == "Иван Клюквин" and value(spark, tx.narrator(F.lit("Книга"), F.lit("x"))) == "x"
+    assert [value(spark, language_code(F.lit(x))) for x in ("Russian", "deu", "en, fr", "", "Klingon")] == ["ru", "de", "en", "", ""]
+    assert tuple(value(spark, title_language(F.lit("道德經 (Chinese)")))) == ("道德經", "zh")
+
+
 def test_natural_order(spark):
     names = ["a10.mp3", "a2.mp3", "A1.mp3", "b1.mp3", "a02.mp3"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(tx.natural_key(F.col("n")), "n").collect()
