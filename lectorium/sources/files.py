@@ -22,7 +22,7 @@ def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, root: str, name: str = "book.toml") -> DataFrame:
-    """Every manifest below a folder: slug, ``fields`` (text values) and ``error`` of an unreadable one, by slug."""
+    """Every manifest below a folder: slug, ``fields`` (text values) and ``error`` of an unreadable one."""
 
     def parse(raw: bytes) -> dict:
         try:
@@ -35,7 +35,7 @@ def manifests(spark: SparkSession, root: str, name: str = "book.toml") -> DataFr
         return pd.DataFrame([parse(c) for c in content], columns=["fields", "error"])
 
     rows = _files(spark, root, name).select(F.regexp_extract("path", SLUG, 1).alias("slug"), read("content").alias("m"))
-    return rows.select("slug", "m.fields", "m.error").orderBy("slug")
+    return rows.select("slug", "m.fields", "m.error")
 
 
 def flat_manifest(text: Column) -> Column:
@@ -67,7 +67,7 @@ def device_states(spark: SparkSession, root: str) -> DataFrame:
     state = F.try_parse_json(F.decode("content", "UTF-8"))
     return rows.select(
         F.regexp_extract("path", r"([^/]+)/state/[^/]*$", 1).alias("slug"), F.regexp_extract("path", r"([0-9a-f]{32})\.json$", 1).alias("device"), state.alias("state"), state.isNotNull().alias("readable")
-    ).orderBy("slug", "device")
+    )
 
 
 def variant_number(state: Column, path: str) -> Column:
@@ -115,16 +115,6 @@ def captions(df: DataFrame, by: list[str]) -> DataFrame:
     return said.select(*by, (F.row_number().over(w) - 1).alias("pos"), "word", "t0", end.alias("t1"))
 
 
-def feed_hits(df: DataFrame, source: str, feed: str = "feed") -> DataFrame:
-    """Hits of OPDS or Atom feeds, entry by entry: title, author, link and kind of the first download link."""
-    entries = df.select(F.posexplode(F.regexp_extract_all(feed, F.lit(r"(?s)<entry\b.*?</entry>"), F.lit(0))).alias("pos", "e"))
-    tag = lambda name: plain_text(F.regexp_extract("e", rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1))
-    link = F.regexp_extract("e", r'(?s)<link\b[^>]*rel="http://opds-spec.org/acquisition[^"]*"[^>]*>', 0)
-    kind = F.regexp_extract(link, r'type="application/([a-z0-9]+)', 1)
-    author = plain_text(F.regexp_extract("e", r"(?s)<author>.*?<name>(.*?)</name>", 1))
-    return entries.select(F.lit(source).alias("source"), "pos", tag("title").alias("title"), author.alias("author"), F.regexp_extract(link, r'href="([^"]*)"', 1).alias("url"), kind.alias("kind"))
-
-
 def plain_text(markup: Column) -> Column:
     """Markup as text: tags dropped, the five XML entities decoded, white space even."""
     t = F.regexp_replace(markup, r"(?s)<[^>]*>", " ")
@@ -133,10 +123,10 @@ def plain_text(markup: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def book_json(df: DataFrame, columns: list[str]) -> DataFrame:
+def book_json(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents with their keys in this order; empty strings and arrays are left out."""
     kept = [F.when(F.size(c) > 0, F.col(c)).alias(c) if df.schema[c].dataType.typeName() == "array" else F.nullif(F.col(c), F.lit("")).alias(c) if df.schema[c].dataType.typeName() == "string" else F.col(c) for c in columns]
-    return df.select(F.to_json(F.struct(*kept)).alias("value"))
+    return df.select(*keep, F.to_json(F.struct(*kept)).alias("value"))
 
 
 def toml_string(text: Column) -> Column:
@@ -155,6 +145,32 @@ def land(df: DataFrame, path: str, partition: str | None = None) -> None:
     writer.parquet(path)
 
 
+#: The parts of a book in the order in which they are landed; a reader goes by the last one.
+LANDING = ("editions", "timing", "pictures", "book", "stamp")
+
+
+def land_book(parts: dict[str, DataFrame], root: str, slug: str, edition: str) -> None:
+    """Land a book's parts, each as ``root/part/slug=…/edition=…``, the stamp that names the edition last.
+
+    Until the stamp is there, readers (``landed``) see the edition before; an interrupted run
+    leaves nothing that they see, and running it again is harmless. Parts of other names are refused.
+    """
+    unknown = parts.keys() - set(LANDING[:-1])
+    if unknown:
+        raise ValueError(f"no parts of a book: {sorted(unknown)}")
+    for name in (n for n in LANDING if n in parts):
+        parts[name].write.mode("overwrite").parquet(f"{root}/{name}/slug={slug}/edition={edition}")
+    spark = next(iter(parts.values())).sparkSession
+    stamp = spark.range(1).select(F.lit(edition).alias("current"), F.current_timestamp().alias("landed_at"))
+    stamp.coalesce(1).write.mode("overwrite").parquet(f"{root}/stamp/slug={slug}")
+
+
+def landed(spark: SparkSession, root: str, part: str) -> DataFrame:
+    """Rows of one part of all books, of the editions that the stamps name."""
+    stamps = spark.read.parquet(f"{root}/stamp").select("slug", F.col("current").alias("edition"))
+    return spark.read.option("basePath", f"{root}/{part}").parquet(f"{root}/{part}").join(stamps, ["slug", "edition"])
+
+
 def safe_name(name: str) -> str:
     """The last part of an untrusted path, without what a file name can't hold."""
     return re.sub(r"[^\w.\- ]", "_", name.replace("\\", "/").rpartition("/")[2]).strip(". ") or "file"

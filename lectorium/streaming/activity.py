@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -90,3 +91,29 @@ def keep_last_good(states: DataFrame, by: str = "device") -> DataFrame:
             yield pd.DataFrame([(key[0], *held)], columns=[by, "state", "seq"])
 
     return states.groupBy(by).applyInPandasWithState(keep, f"`{by}` {kind}, state string, seq long", "state string, seq long", "update", GroupStateTimeout.NoTimeout)
+
+
+def replanned(changes: DataFrame, copies: Callable[[], DataFrame], put: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """A round of syncing planned anew after each batch of changes: ``put`` gets what is to be copied by then.
+
+    ``copies`` reads the table of copies as it is (see ``operators.library.to_sync``). Changes
+    that come together make one plan; a batch that fails is planned again from the checkpoint.
+    """
+    from ..operators.library import to_sync
+
+    def plan(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            put(to_sync(copies()))
+
+    return changes.writeStream.foreachBatch(plan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def delivered(sessions: DataFrame, put: Callable[[list], None], checkpoint: str, order: str = "seq") -> StreamingQuery:
+    """Sessions handed on in their order. Where ``put`` fails the query stops with its error, and the next one begins with the same sessions, so none is lost and none overtakes another."""
+
+    def hand_on(batch: DataFrame, number: int) -> None:
+        rows = batch.orderBy(order).collect()  # one reader's unsaved sessions
+        if rows:
+            put(rows)
+
+    return sessions.writeStream.foreachBatch(hand_on).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

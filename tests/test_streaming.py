@@ -71,3 +71,33 @@ def test_translated_writes(spark):
     editions = spark.createDataFrame([("old", "now", [0, 10])], "edition string, cur string, map array<int>").select("edition", "map")
     got = activity.translate_late(writes.withColumn("now", F.lit("now")), editions)
     assert {r.id: r.value for r in got.collect()} == {1: 10.0, 2: 5.0}
+
+
+def test_replanning(spark, feed, tmp_path):
+    """After each change the plan is that of the copies as they are then."""
+    stream = feed([[("x",)], [("y",)]], "book string")
+    states = iter([[("a", "absent", False), ("b", "outdated", True), ("c", "here", False)], [("a", "here", False), ("b", "outdated", False), ("c", "here", False)]])
+    more = ", skipped boolean, done boolean, signature string, failed_signature string"
+    copies = lambda: spark.createDataFrame([(*x, None, False, "s", None) for x in next(states)] + [("d", "absent", False, True, False, "s", None), ("e", "absent", False, False, False, "s", "s"), ("f", "absent", False, False, True, "s", None)], "book string, state string, busy boolean" + more)
+    plans = []
+    query = activity.replanned(stream, copies, lambda df: plans.append(sorted(r.book for r in df.collect())), str(tmp_path / "c"))
+    query.awaitTermination(120)
+    assert query.exception() is None and plans == [["a"], ["b"]]
+
+
+def test_sessions_are_handed_on_in_order(spark, feed, tmp_path):
+    stream = feed([[(2, "b"), (1, "a")], [(4, "d"), (3, "c")]], "seq int, what string")
+    saved, tries = [], []
+
+    def put(rows):
+        tries.append(len(rows))
+        if len(tries) == 2:
+            raise ConnectionError("away")
+        saved.extend(r.what for r in rows)
+
+    first = activity.delivered(stream, put, str(tmp_path / "c"))
+    with pytest.raises(Exception, match="away"):
+        first.awaitTermination(120)
+    assert saved == ["a", "b"]
+    activity.delivered(stream, put, str(tmp_path / "c")).awaitTermination(120)
+    assert saved == ["a", "b", "c", "d"]
