@@ -113,14 +113,18 @@ def q_relevant(t: Tables) -> DataFrame:
     return _scored(t).where(phrase | (F.col("matched") >= 2)).select("id", "title")
 
 
-@query(_HITS + "SELECT id FROM normal WHERE contains(norm || ' ' || lower(author), 'red w')")
-def q_live_filter(t: Tables) -> DataFrame:
-    return _hits(t).where(F.contains(F.concat_ws(" ", tx.norm_title(F.col("title")), F.lower("author")), F.lit("red w"))).select("id")
+NEEDLES = ("red w", "", "Brand#13", "  LARGE  ", "ё")
 
 
-_UNIQUE = _HITS + """
-, o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS pos, author AS query_of FROM hits)
-"""
+@query(_HITS + f"""
+, f AS (SELECT id, trim(regexp_replace(replace(lower(title || ' ' || author || ' ' || translator), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS text FROM hits),
+q AS (SELECT unnest([{", ".join(f"'{x}'" for x in NEEDLES)}]) AS typed)
+SELECT typed, id FROM f JOIN q ON typed = '' OR contains(text, trim(regexp_replace(replace(lower(typed), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))
+""")
+def q_live_filter(t: Tables) -> DataFrame:
+    """What stays in a list while something is typed; nothing typed leaves all."""
+    rows = _hits(t).select("id", F.explode(F.array(*map(F.lit, NEEDLES))).alias("typed"), F.concat_ws(" ", "title", "author", "translator").alias("_text"))
+    return rows.where(tx.typed_match(F.col("_text"), F.col("typed"))).select("typed", "id")
 
 
 @query(_HITS + """
@@ -217,18 +221,30 @@ def q_best_single_file(t: Tables) -> DataFrame:
     return best.select("l_orderkey", F.col("b.format").alias("format"), F.when(F.col("b.n") == 1, F.col("b.pos")).alias("single"))
 
 
-@query(_HITS + """
-, g AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(string_split(norm, ' '), lambda w: length(w) > 2), lambda w: left(w, 5)))) AS stem FROM normal),
-m AS (SELECT author, list_sort(list(size_kb))[count(*) // 2 + 1] AS expected FROM normal WHERE size_kb IS NOT NULL GROUP BY 1)
-SELECT g.id, len(list_intersect(stem, ['large', 'widge'])) >= least(2, len(stem)) AS relevant, m.expected, g.size_kb < 0.35 * m.expected AS fragment FROM g JOIN m ON g.author = m.author
-""")
+_JUDGED = _HITS + """
+, g AS (SELECT *, nullif(size_kb, 0) AS len, list_distinct(list_transform(list_filter(string_split(norm, ' '), lambda w: length(w) > 2), lambda w: left(w, 5))) AS stem FROM normal),
+r AS (SELECT *, len(list_intersect(stem, ['large', 'red', 'small'])) >= 1 AS related FROM g),
+m AS (SELECT author, list_sort(list(len))[count(*) // 2 + 1] AS median FROM r WHERE related AND len IS NOT NULL GROUP BY 1),
+j AS (SELECT r.id, r.author, NOT related AS other, coalesce(CASE WHEN source = 3 THEN 120 END, m.median) AS expected, coalesce(related AND len < 0.35 * coalesce(CASE WHEN source = 3 THEN 120 END, m.median), false) AS fragment FROM r LEFT JOIN m ON r.author = m.author)
+"""
+
+
+def _judged(t: Tables) -> DataFrame:
+    """Recordings held against a book: one in five books has a length of its own."""
+    related = F.size(F.array_intersect(tx.stems(F.col("title")), F.array(*map(F.lit, ("large", "red", "small"))))) >= 1
+    return cat.judged(_hits(t), ["author"], related, "size_kb", F.when(F.col("source") == 3, 120))
+
+
+@query(_JUDGED + "SELECT id, other, expected, fragment FROM j")
 def q_judge_fragments(t: Tables) -> DataFrame:
-    h = _hits(t)
-    ordered = F.array_sort(F.collect_list("size_kb"))
-    middle = h.where("size_kb is not null").groupBy("author").agg(ordered.alias("o")).select("author", F.get("o", F.floor(F.size("o") / 2).cast("int")).alias("expected"))
-    stem = tx.stems(F.col("title"))
-    shared = F.size(F.array_intersect(stem, F.array(F.lit("large"), F.lit("widge"))))
-    return h.join(middle, "author").select("id", (shared >= F.least(F.lit(2), F.size(stem))).alias("relevant"), "expected", (F.col("size_kb") < 0.35 * F.col("expected")).alias("fragment"))
+    return _judged(t).select("id", "other", "expected", "fragment")
+
+
+@query(_JUDGED + "SELECT id, author, row_number() OVER (PARTITION BY author, other ORDER BY fragment, id) AS place FROM j")
+def q_fragment_mark(t: Tables) -> DataFrame:
+    """Recordings of a book in order, fragments last; other books' apart."""
+    w = Window.partitionBy("author", "other").orderBy("fragment", "id")
+    return _judged(t).select("id", "author", F.row_number().over(w).alias("place"))
 
 
 @query(_HITS + "SELECT id, list_distinct(list_transform(list_filter(string_split(norm, ' '), lambda w: length(w) > 2), lambda w: left(w, 5))) IS NOT NULL AS has, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(norm, ' '), lambda w: length(w) > 2), lambda w: left(w, 5)))), ',') AS stems FROM normal")
@@ -248,9 +264,18 @@ def q_openable(t: Tables) -> DataFrame:
     return _hits(t).withColumn("dropped", dropped).where("kind <> 'djvu'").select("id", "kind", "dropped")
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND coalesce(p_partkey % 11 <> 0, true)")
+@query("""
+WITH v AS (SELECT p_partkey, left(md5(CAST(p_partkey AS VARCHAR)), 11 - CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END) || CASE WHEN p_partkey % 13 = 0 THEN '!' ELSE '' END AS id, p_size * 12 AS seconds, p_partkey % 11 AS l FROM part)
+SELECT p_partkey, id FROM v WHERE regexp_full_match(id, '[A-Za-z0-9_-]{11}') AND seconds >= 300 AND l NOT IN (0, 1)
+""")
 def q_min_length(t: Tables) -> DataFrame:
-    return t.part.where("p_size >= 10 and coalesce(p_partkey % 11 <> 0, true)").select("p_partkey", "p_size")
+    """Videos that can be a reading: a proper id, five minutes or more, not live now or later."""
+    k = F.col("p_partkey")
+    name = F.left(F.md5(k.cast("string")), F.when(k % 9 == 0, 10).otherwise(11))
+    video = F.concat(name, F.when(k % 13 == 0, "!").otherwise(""))
+    live = F.when(k % 11 == 0, "is_live").when(k % 11 == 1, "is_upcoming").when(k % 11 == 2, "was_live")
+    rows = t.part.select("p_partkey", video.alias("id"), (F.col("p_size") * 12).alias("seconds"), live.alias("live"))
+    return rows.where(tx.is_video(F.col("id"), F.col("seconds"), F.col("live"))).select("p_partkey", "id")
 
 
 @query("SELECT doc_id, coalesce(toxic = 0, true) AS narrated FROM documents LEFT JOIN labels USING (doc_id)")
@@ -341,12 +366,15 @@ def q_copy_state(t: Tables) -> DataFrame:
     return _copy_states(t).select("slug", "state")
 
 
-@query(_STATES + "SELECT slug, reader FROM s WHERE state IN ('absent', 'outdated') AND reader % 10 <> 3 AND NOT (state = 'outdated' AND slug % 4 = 0)")
+@query(_STATES + """
+SELECT slug, reader FROM s WHERE reader % 10 <> 3 AND slug % 11 <> 5 AND slug % 13 <> 1 AND (state = 'absent' OR state = 'outdated' AND slug % 4 <> 0)
+""")
 def q_to_sync(t: Tables) -> DataFrame:
-    skipped = t.customer.where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("reader"))
-    busy = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("slug"))
-    wanted = _copy_states(t).where("state in ('absent', 'outdated')").select("slug", "reader", "state").join(skipped, "reader", "left_anti")
-    return wanted.where("state = 'absent'").unionByName(wanted.where("state = 'outdated'").join(busy, "slug", "left_anti")).select("slug", "reader")
+    """Some readers' books are skipped, some books done, some failed as they are, some in use."""
+    slug = F.col("slug")
+    signature = F.concat_ws("|", "edition", slug.cast("string"))
+    marks = {"skipped": F.col("reader") % 10 == 3, "done": slug % 11 == 5, "busy": slug % 4 == 0, "signature": signature, "failed_signature": F.when(slug % 13 == 1, signature).when(slug % 13 == 2, "another")}
+    return lib.to_sync(_copy_states(t).select("slug", "reader", "edition", "state").withColumns(marks)).select("slug", "reader")
 
 
 @query(_BOOKS + """
@@ -378,18 +406,41 @@ def q_duplicate_title(t: Tables) -> DataFrame:
     return keyed.join(groups, ["k", "p_brand"]).select("p_partkey", "first_key")
 
 
-@query("SELECT doc_id, source, coalesce(toxic, -1) AS toxic, n_chars > 1000 AS ready, CASE WHEN n_chars > 4000 THEN 'm4a' WHEN n_chars > 2000 THEN 'mp3' WHEN n_chars > 1000 THEN 'webm' END AS audio, coalesce(n, 0) AS writes FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN (SELECT user_id AS doc_id, count(*) AS n FROM events GROUP BY 1) e USING (doc_id)")
+# A book is an order: its lines are its files, its customer's events the reading, its date when it was added.
+@query("""
+WITH f AS (SELECT l_orderkey AS slug, bool_or(l_returnflag = 'R') AS m4a, bool_or(l_returnflag = 'A') AS mp3, bool_or(l_returnflag = 'N') AS webm, bool_or(l_linenumber = 4) AS timing, bool_or(l_linenumber = 2) AS text, bool_or(l_linenumber = 5) AS hits,
+             min(CASE WHEN l_linenumber = 3 THEN 'cover.' || l_linestatus END) AS cover, sum(l_quantity) * 60 AS duration FROM lineitem GROUP BY 1),
+e AS (SELECT user_id, max(event_id) AS opened, max(CASE WHEN event_type = 'view' THEN value END) AS pos, max(CASE WHEN event_type = 'click' THEN value END) / 5 AS sent_pct, sum(coalesce(value, 0)) AS seconds FROM events GROUP BY 1),
+b AS (
+  SELECT o_orderkey AS slug, o_custkey, coalesce(text, false) AS ready, CASE WHEN m4a THEN 'audio.m4a' WHEN mp3 THEN 'audio.mp3' WHEN webm THEN 'yt.webm' END AS audio, coalesce(timing, false) AS timed, o_orderstatus = 'P' AS building, epoch_ms(o_orderdate) AS added,
+         coalesce(hits, false) AS has_hits, 'images/' || cover AS cover, CASE WHEN timing THEN duration ELSE 0 END AS duration, CASE WHEN o_orderkey % 5 = 0 THEN 'pages' ELSE '' END AS mode FROM orders LEFT JOIN f ON f.slug = o_orderkey
+)
+SELECT slug, ready, audio, audio IS NOT NULL AND timed AS has_audio, building, added, has_hits, cover, coalesce(opened, 0) AS opened, coalesce(pos, 0) AS pos, CAST(duration AS DOUBLE) AS duration, round(coalesce(sent_pct, 0), 6) AS sent_pct, mode, round(coalesce(seconds, 0), 4) AS seconds,
+       CASE WHEN duration = 0 OR mode = 'pages' THEN coalesce(sent_pct, 0) >= 99 ELSE coalesce(pos, 0) >= duration - 60 END AS at_end FROM b LEFT JOIN e ON e.user_id = o_custkey
+""")
 def q_library_listing(t: Tables) -> DataFrame:
-    writes = t.events.groupBy(F.col("user_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n_chars")
-    audio = F.coalesce(F.when(n > 4000, "m4a"), F.when(n > 2000, "mp3"), F.when(n > 1000, "webm"))
-    books = t.documents.select("doc_id", "source", "n_chars").join(t.labels.select("doc_id", "toxic"), "doc_id", "left").join(writes, "doc_id", "left")
-    return books.select("doc_id", "source", F.coalesce("toxic", F.lit(-1)).alias("toxic"), (n > 1000).alias("ready"), audio.alias("audio"), F.coalesce("n", F.lit(0)).alias("writes"))
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    cover = F.min(F.when(line == 3, F.concat(F.lit("cover."), F.col("l_linestatus"))))
+    files = t.lineitem.groupBy(F.col("l_orderkey").alias("slug")).agg(
+        has(flag == "R").alias("m4a"), has(flag == "A").alias("mp3"), has(flag == "N").alias("webm"), has(line == 4).alias("timing"), has(line == 2).alias("text"), has(line == 5).alias("hits"), cover.alias("cover"), (F.sum("l_quantity") * 60).alias("length")
+    )
+    of = lambda kind, c: F.max(F.when(F.col("event_type") == kind, c))
+    reading = t.events.groupBy(F.col("user_id").alias("o_custkey")).agg(F.max("event_id").alias("opened"), of("view", F.col("value")).alias("pos"), (of("click", F.col("value")) / 5).alias("pct"), F.sum(F.coalesce("value", F.lit(0.0))).alias("sec"))
+    books = t.orders.select(F.col("o_orderkey").alias("slug"), "o_custkey", "o_orderstatus", "o_orderdate").join(files, "slug", "left").join(reading, "o_custkey", "left")
+    return lib.listing(books.withColumns({"building": F.col("o_orderstatus") == "P", "added": F.unix_millis(F.col("o_orderdate").cast("timestamp")), "mode": F.when(F.col("slug") % 5 == 0, "pages").otherwise("")}))
 
 
-@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
+@query("""
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderdate AS DATE) ELSE DATE '1990-01-01' END DESC, lower(p), o_orderkey) AS place
+FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority[3:]) ELSE lower(o_orderpriority[3:]) END AS p FROM orders)
+""")
 def q_shelf_activity(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    """What was opened last comes first, then titles as a Russian reader orders them, whatever their case."""
+    opened = F.when(F.col("o_orderstatus") == "O", F.col("o_orderdate").cast("date")).otherwise(F.lit("1990-01-01").cast("date"))
+    word = F.substring("o_orderpriority", 3, 100)
+    title = F.when(F.col("o_orderkey") % 2 == 0, F.upper(word)).otherwise(F.lower(word))
+    w = Window.partitionBy("o_custkey").orderBy(F.desc(opened), F.collate(title, "ru_CI"), "o_orderkey")
     return t.orders.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place"))
 
 
@@ -407,13 +458,13 @@ def q_current_book(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH new AS (SELECT p_partkey + 1000000 AS p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || ' new' END AS p_name, p_size FROM part WHERE p_partkey < 100)
+WITH new AS (SELECT p_partkey + 1000000 AS p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || ' new' END AS p_name, p_size FROM part)
 SELECT p_partkey, p_name, p_size FROM part UNION ALL SELECT * FROM new WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part)
 """)
 def q_dml_insert_unique(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", "p_name", "p_size")
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" new")))
-    new = rows.where("p_partkey < 100").select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), name.alias("p_name"), "p_size")
+    new = rows.select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), name.alias("p_name"), "p_size")
     return lib.insert_unless_title(rows, new, "p_name")
 
 
@@ -437,11 +488,6 @@ def q_rename(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.when(one, "A new name").otherwise(F.col("p_name")).alias("p_name"), F.when(one, "").otherwise(F.col("p_brand")).alias("saved_query"))
 
 
-@query("SELECT p_partkey, p_name, p_size // 2 AS kept_place FROM part")
-def q_drop_columns(t: Tables) -> DataFrame:
-    return t.part.withColumn("kept_place", F.floor(F.col("p_size") / 2)).drop("p_brand", "p_type", "p_retailprice", "p_size")
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN md5(p_name || p_partkey) ELSE p_brand END AS id FROM part")
 def q_backfill(t: Tables) -> DataFrame:
     stored = F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand"))
@@ -564,19 +610,31 @@ def q_clean_title(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", tx.clean_title(dirty).alias("title"))
 
 
-@query(_HITS + "SELECT id, coalesce(nullif(regexp_extract(title, '(vol|Part)', 1), ''), author) AS narrator FROM hits")
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN p_type WHEN 2 THEN replace(p_brand, '#', ' ') ELSE p_name END AS narrator FROM part
+""")
 def q_reader_name(t: Tables) -> DataFrame:
-    return _hits(t).select("id", F.coalesce(F.nullif(F.regexp_extract("title", "(vol|Part)", 1), F.lit("")), F.col("author")).alias("narrator"))
+    """Who reads a video: as its title says («читает …»), else its channel."""
+    title = F.when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit(", ЧИТАЕТ: "), "p_type", F.lit(" (2020)"))).when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" | озвучила – "), F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" - ")))
+    title = title.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit(" чтец x"))).otherwise(F.col("p_name"))
+    channel = F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", tx.narrator(title, channel).alias("narrator"))
 
 
 @query("""
-WITH m AS (SELECT c_custkey AS id, lower(c_mktsegment) AS folder FROM customer), k AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F')
-SELECT CASE WHEN k.id IS NOT NULL THEN 'already' WHEN m.id % 17 = 0 THEN 'failed' ELSE 'moved' END AS outcome, folder, count(*) AS n FROM m LEFT JOIN k ON m.id = k.id GROUP BY ALL
+WITH m AS (SELECT CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'c' || c_custkey END AS id, 'book' || c_custkey AS slug, c_acctbal >= 0 AS movable FROM customer),
+t AS (SELECT 'c' || s_suppkey * 5 AS id, 'book' || s_suppkey * 2 AS slug FROM supplier UNION ALL SELECT '', 'book' || s_suppkey * 2 || '-2' FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT m.id, m.slug, CASE WHEN k.id IS NOT NULL THEN 'already' WHEN movable THEN 'moved' ELSE 'failed' END AS outcome,
+       CASE WHEN k.id IS NOT NULL THEN k.slug WHEN m.slug NOT IN (SELECT slug FROM t) THEN m.slug WHEN m.slug || '-2' NOT IN (SELECT slug FROM t) THEN m.slug || '-2' ELSE m.slug || '-3' END AS target
+FROM m LEFT JOIN t k ON k.id = m.id AND k.id <> ''
 """)
 def q_move_books(t: Tables) -> DataFrame:
-    known = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), F.lit(True).alias("_k")).distinct()
-    m = t.customer.select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("folder")).join(known, "id", "left")
-    return m.groupBy(F.when(F.col("_k"), "already").when(F.col("id") % 17 == 0, "failed").otherwise("moved").alias("outcome"), "folder").agg(F.count(F.lit(1)).alias("n"))
+    name = lambda n: F.concat(F.lit("book"), n.cast("string"))
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    mine = t.customer.select(F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("c"), k.cast("string"))).alias("id"), name(k).alias("slug"), (F.col("c_acctbal") >= 0).alias("movable"))
+    there = t.supplier.select(F.concat(F.lit("c"), (s * 5).cast("string")).alias("id"), name(s * 2).alias("slug"))
+    there = there.union(t.supplier.where("s_suppkey % 2 = 0").select(F.lit(""), F.concat(name(s * 2), F.lit("-2"))))
+    return lib.move_books(mine, there)
 
 
 @query("SELECT o_custkey, max(CASE WHEN o_orderstatus = 'O' AND o_orderdate > lib_at THEN o_orderkey END) AS local_wins FROM (SELECT *, max(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) OVER (PARTITION BY o_custkey) AS lib_at FROM orders) GROUP BY 1")
@@ -591,10 +649,15 @@ def q_stop_reason(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.when(F.col("c_nationkey") == 0, "folder").when(F.col("c_acctbal") < 0, "changed").when(F.col("c_acctbal") < 1000, "space").otherwise("").alias("reason"))
 
 
-@query("SELECT page_id FROM pages WHERE NOT contains(regexp_replace(url, '^[a-z]+://', ''), '/en/1') AND NOT contains(url, 'ref=')")
+@query(_HITS + """
+, w AS (SELECT *, CASE WHEN id % 5 = 0 THEN title || '/' || id ELSE title END AS page FROM hits)
+SELECT id, row_number() OVER (PARTITION BY author ORDER BY size_kb NULLS FIRST, id) AS place FROM w WHERE NOT contains(page, '/') AND id % 7 <> 3
+""")
 def q_whole_works(t: Tables) -> DataFrame:
-    path = F.regexp_replace("url", "^[a-z]+://", "")
-    return t.pages.where(~F.contains(path, F.lit("/en/1")) & ~F.contains("url", F.lit("ref="))).select("page_id")
+    """Pages of a search that are whole works, in the order of the search."""
+    page = F.when(F.col("id") % 5 == 0, F.concat("title", F.lit("/"), F.col("id").cast("string"))).otherwise(F.col("title"))
+    works = cat.whole_works(_hits(t).withColumn("page", page), "page", F.col("id") % 7 == 3)
+    return works.select("id", F.row_number().over(Window.partitionBy("author").orderBy("size_kb", "id")).alias("place"))
 
 
 @query(_SCORED + "SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM s) WHERE rn <= 10 AND (contains(norm, 'widget') OR matched >= 2)")
@@ -605,21 +668,21 @@ def q_first_ten(t: Tables) -> DataFrame:
 
 @query(_SCORED + "SELECT id, source FROM (SELECT *, max(matched) OVER (PARTITION BY source) AS most FROM s) WHERE CASE WHEN most >= 2 THEN matched >= 2 ELSE matched >= 1 END")
 def q_relevant_or_any(t: Tables) -> DataFrame:
-    most = F.max("matched").over(Window.partitionBy("source"))
-    return _scored(t).withColumn("most", most).where(F.when(F.col("most") >= 2, F.col("matched") >= 2).otherwise(F.col("matched") >= 1)).select("id", "source")
+    scored = _scored(t)
+    most = scored.groupBy(F.col("source").alias("_s")).agg(F.max("matched").alias("most"))
+    told = scored.join(F.broadcast(most), F.col("source") == F.col("_s"))  # five sources
+    return told.where(F.when(F.col("most") >= 2, F.col("matched") >= 2).otherwise(F.col("matched") >= 1)).select("id", "source")
 
 
-@query("SELECT page_id, regexp_extract(url, '/([a-z]{2})/[0-9]+', 1) AS lang, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[a-z]{2}/[0-9]+$', '') AS stem FROM pages")
+@query("""
+WITH f AS (SELECT p_partkey, replace(p_name, ' ', '-') || CASE p_partkey % 4 WHEN 0 THEN '-Ivan Petrov-ID' WHEN 1 THEN ' - petrov' WHEN 2 THEN '-CN' ELSE '' END AS file FROM part)
+SELECT p_partkey, p_name AS title, CASE p_partkey % 4 WHEN 0 THEN 'id' WHEN 2 THEN 'zh' ELSE '' END AS lang, CASE WHEN p_partkey % 4 < 2 THEN 'Ivan Petrov' ELSE '' END AS author FROM f JOIN part USING (p_partkey)
+""")
 def q_suffix(t: Tables) -> DataFrame:
-    bare = F.regexp_replace("url", "[?#].*$", "")
-    return t.pages.select("page_id", F.regexp_extract("url", "/([a-z]{2})/[0-9]+", 1).alias("lang"), F.regexp_replace(bare, "/[a-z]{2}/[0-9]+$", "").alias("stem"))
-
-
-@query(_HITS + "SELECT id, source, size_kb < 0.35 * 250 AS fragment, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN size_kb < 0.35 * 250 THEN 1 ELSE 0 END, id) AS place FROM hits")
-def q_fragment_mark(t: Tables) -> DataFrame:
-    short = F.col("size_kb") < 0.35 * 250
-    w = Window.partitionBy("source").orderBy(F.when(short, 1).otherwise(0), "id")
-    return _hits(t).select("id", "source", short.alias("fragment"), F.row_number().over(w).alias("place"))
+    """Title, language and author from a file's name."""
+    k = F.col("p_partkey")
+    file = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(k % 4 == 0, "-Ivan Petrov-ID").when(k % 4 == 1, " - petrov").when(k % 4 == 2, "-CN").otherwise(""))
+    return t.part.select("p_partkey", tx.file_parts(file, r"(?:Ivan\s+)?Petrov", "Ivan Petrov").alias("x")).select("p_partkey", "x.*")
 
 
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0.1)) AS light, len(list_filter(embedding, lambda x: x < -0.1)) AS dark, len(list_filter(embedding, lambda x: abs(x) <= 0.1)) * 2 < len(embedding) AS ink FROM embeddings")
@@ -655,10 +718,3 @@ def q_split_links(t: Tables) -> DataFrame:
 def q_file_title(t: Tables) -> DataFrame:
     name = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]*)$", 1)
     return t.pages.select("page_id", F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[a-z0-9]{2,4}$", ""), "[_-]+", " ")).alias("title"))
-
-
-@query("SELECT o_custkey, CASE WHEN count(*) < 5 THEN 'no copy' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') * 2 < count(*) THEN 'too little found' WHEN max(o_totalprice) > 300000 THEN 'too long' ELSE '' END AS reason FROM orders GROUP BY 1")
-def q_retime_reason(t: Tables) -> DataFrame:
-    n = F.count(F.lit(1))
-    reason = F.when(n < 5, "no copy").when(F.count_if(F.col("o_orderstatus") == "F") * 2 < n, "too little found").when(F.max("o_totalprice") > 300000, "too long").otherwise("")
-    return t.orders.groupBy("o_custkey").agg(reason.alias("reason"))

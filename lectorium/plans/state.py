@@ -156,28 +156,47 @@ def q_last_finish(t: Tables) -> DataFrame:
 
 
 @query(_WRITES + """
-, l AS (SELECT user_id, key, device, max_by({'v': value}, (at_ms, -event_id)).v AS value, max(at_ms) AS at_ms FROM w WHERE device < 2 GROUP BY ALL),
-a AS (SELECT * FROM l WHERE device = 0), b AS (SELECT * FROM l WHERE device = 1)
+, l AS (SELECT user_id, key, event_id % 2 AS copy, max_by({'v': value}, (at_ms, -event_id)).v AS value, max(at_ms) AS at_ms FROM w GROUP BY ALL),
+a AS (SELECT * FROM l WHERE copy = 0), b AS (SELECT * FROM l WHERE copy = 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.key, b.key) AS key,
        CASE WHEN a.at_ms IS NULL OR b.at_ms > a.at_ms THEN b.value ELSE a.value END AS value, greatest(a.at_ms, b.at_ms) AS at_ms
 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.key = b.key
 """)
 def q_state_join_own(t: Tables) -> DataFrame:
-    last = st.last_writer_wins(_writes(t).where("device < 2"), ["user_id", "key", "device"], "at_ms", ["event_id"], ["value"])
-    return st.join_own(last.where("device = 0"), last.where("device = 1"), ["user_id", "key"], "at_ms", "value")
+    """All writes as two copies of one device's state, even and odd ones."""
+    last = st.last_writer_wins(_writes(t).withColumn("copy", F.col("event_id") % 2), ["user_id", "key", "copy"], "at_ms", ["event_id"], ["value"])
+    return st.join_own(last.where("copy = 0"), last.where("copy = 1"), ["user_id", "key"], "at_ms", "value")
 
 
-_SESSIONS = """
-WITH g AS (
-  SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+@query(_WRITES + """
+, d AS (SELECT user_id, CAST(day AS VARCHAR) AS day, event_id % 2 AS copy, round(sum(coalesce(value, 0)), 4) AS sec, count(*) AS words FROM w GROUP BY ALL),
+a AS (SELECT * FROM d WHERE copy = 0), b AS (SELECT * FROM d WHERE copy = 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS day, greatest(coalesce(a.sec, 0), coalesce(b.sec, 0)) AS sec, greatest(coalesce(a.words, 0), coalesce(b.words, 0)) AS words
+FROM a FULL JOIN b ON a.user_id = b.user_id AND a.day = b.day
+""")
+def q_state_join_days(t: Tables) -> DataFrame:
+    days = _writes(t).groupBy("user_id", F.col("day").cast("string").alias("day"), (F.col("event_id") % 2).alias("copy")).agg(F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("sec"), F.count(F.lit(1)).alias("words"))
+    return st.join_own_days(days.where("copy = 0"), days.where("copy = 1"), ["user_id", "day"], ["sec", "words"])
+
+
+# Events are some seven hours apart; a clock 36 times as slow leaves minutes between them.
+SLOW = 36
+_SESSIONS = f"""
+WITH s AS (SELECT user_id, event_id, make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) // {SLOW}) AS ts FROM events), g AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 10 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g),
 sessions AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM n GROUP BY user_id, s)
 """
 
 
+def _ticks(t: Tables) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000
+    return t.events.select("user_id", F.timestamp_micros(1_704_067_200_000_000 + F.floor(micros / SLOW)).cast("timestamp_ntz").alias("ts"))
+
+
 @query(_SESSIONS + "SELECT * FROM sessions")
 def q_sessions(t: Tables) -> DataFrame:
-    return seq.sessions(t.events, "user_id", "ts", 6 * 3600)
+    return seq.sessions(_ticks(t), "user_id", "ts", 600)
 
 
 @query(_SESSIONS + """
@@ -186,7 +205,7 @@ SELECT user_id, CAST(CAST(session_start AS DATE) AS VARCHAR) AS day, count(*) AS
 FROM sessions GROUP BY ALL
 """)
 def q_session_days(t: Tables) -> DataFrame:
-    s = seq.sessions(t.events, "user_id", "ts", 6 * 3600)
+    s = seq.sessions(_ticks(t), "user_id", "ts", 600)
     millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     length = millis("session_end") - millis("session_start")
     micros = F.unix_micros(F.col("session_end").cast("timestamp")) - F.unix_micros(F.col("session_start").cast("timestamp"))
@@ -263,6 +282,12 @@ def q_stats_totals(t: Tables) -> DataFrame:
     return _stats(t).groupBy("user_id").agg(F.sum("sec").alias("sec"), F.sum("words").alias("words"), F.sum(F.when(F.col("day") == TODAY, F.col("sec")).otherwise(0.0)).alias("sec_today"))
 
 
+def half_even(x: str) -> str:
+    """SQL for a double with three decimals, halves to the even digit, by its shortest decimal form."""
+    v = f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)) * 1000"
+    return f"CAST(floor({v}) + CASE WHEN {v} - floor({v}) > 0.5 OR {v} - floor({v}) = 0.5 AND floor({v}) % 2 = 1 THEN 1 ELSE 0 END AS DOUBLE) / 1000"
+
+
 _WORDS_TIMED = """
 WITH words AS (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS word, length(event_type) AS len,
@@ -305,12 +330,9 @@ n AS (
   SELECT user_id, word, CASE WHEN t IS NOT NULL THEN t WHEN at0 IS NULL THEN greatest(0, bt - (bc - c) * rate) WHEN bt IS NULL THEN least(2678400, at0 + (c - ac) * rate)
               ELSE at0 + (c - ac) * (bt - at0) / (bc - ac) END AS t0 FROM r
 ), e AS (SELECT *, least(coalesce(lead(t0) OVER (PARTITION BY user_id ORDER BY word), 2678400), t0 + 1.5) AS e FROM s)
-SELECT user_id, word, round(t0 + 0.000371, 2) AS t0, round(CASE WHEN e <= t0 THEN t0 + 0.05 ELSE e END + 0.000371, 2) AS t1 FROM e
-""")
+SELECT user_id, word, """ + half_even("t0") + " AS t0, " + half_even("CASE WHEN e <= t0 THEN t0 + 0.05 ELSE e END") + " AS t1 FROM e")
 def q_interpolate(t: Tables) -> DataFrame:
-    timed = seq.interpolate(_timed_words(t), ["user_id"], "word", "t", F.col("len") + 1, F.lit(2678400.0), digits=None)
-    # Hundredths, off the halves that the engines round in two ways.
-    return timed.select("user_id", "word", F.round(F.col("t0") + 0.000371, 2).alias("t0"), F.round(F.col("t1") + 0.000371, 2).alias("t1"))
+    return seq.interpolate(_timed_words(t), ["user_id"], "word", "t", F.col("len") + 1, F.lit(2678400.0)).select("user_id", "word", "t0", "t1")
 
 
 @query(_WORDS_TIMED + """
@@ -340,29 +362,76 @@ def q_time_clamp(t: Tables) -> DataFrame:
     return _timed_words(t).select("user_id", "word", F.col("real_t").alias("t0"), F.round(F.greatest(F.col("real_t") + 0.05, end), 3).alias("t1"))
 
 
-@query(_WORDS_TIMED + """
-SELECT user_id, count(*) AS n_words, count(t) AS n_anchors, round_even(count(t) / greatest(count(*), 1), 4) AS coverage, max(real_t) AS duration FROM words GROUP BY 1
+# Every third word is found in the captions, some of them too late.
+_ANCHORS = _WORDS_TIMED + """
+, a AS (SELECT user_id, word, round(real_t + ((word * 37) % 101) * 1000, 3) AS t FROM words WHERE word % 3 = 0),
+m AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM a),
+kept AS (SELECT * FROM m WHERE most IS NULL OR t >= most)
+"""
+
+
+def _anchors(t: Tables) -> DataFrame:
+    found = _timed_words(t).where("word % 3 = 0").select("user_id", "word", F.round(F.col("real_t") + (F.col("word") * 37) % 101 * 1000, 3).alias("t"))
+    return seq.running_max_only(found, ["user_id"], ["word"], "t")
+
+
+@query(_ANCHORS + """
+, h AS (SELECT user_id, string_agg(block || ':' || n, ',' ORDER BY block) AS hits FROM (SELECT user_id, word // 10 AS block, count(*) AS n FROM a GROUP BY ALL) GROUP BY 1),
+c AS (SELECT user_id, count(*) AS n_words, max(real_t + 0.5) AS duration FROM words GROUP BY 1), k AS (SELECT user_id, count(*) AS n_anchors FROM kept GROUP BY 1), s AS (SELECT user_id, count(*) AS spoken FROM a GROUP BY 1)
+SELECT c.user_id, n_words, n_anchors, spoken, round_even(n_anchors / greatest(n_words, 1), 4) AS coverage, round_even(n_anchors / greatest(spoken, 1), 4) AS match, hits, duration
+FROM c JOIN k ON c.user_id = k.user_id JOIN s ON c.user_id = s.user_id JOIN h ON c.user_id = h.user_id
 """)
 def q_interpolate_pieces(t: Tables) -> DataFrame:
-    return _timed_words(t).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_words"), F.count("t").alias("n_anchors"), F.bround(F.count("t") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("coverage"), F.max("real_t").alias("duration")
-    )
+    """What is known of a text held against captions: anchors in order, shares, hits by block, duration."""
+    found = _timed_words(t).where("word % 3 = 0")
+    blocks = found.groupBy("user_id", F.floor(F.col("word") / 10).alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    hits = blocks.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n"))), lambda x: F.concat_ws(":", x["block"].cast("string"), x["n"].cast("string"))), ",").alias("hits"))
+    words = _timed_words(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_words"), F.max(F.col("real_t") + 0.5).alias("duration"), F.count_if(F.col("word") % 3 == 0).alias("spoken"))
+    kept = _anchors(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_anchors"))
+    ratio = lambda c: F.bround(F.col("n_anchors") / F.greatest(c, F.lit(1)), 4)
+    return words.join(kept, "user_id").join(hits, "user_id").select("user_id", "n_words", "n_anchors", "spoken", ratio(F.col("n_words")).alias("coverage"), ratio(F.col("spoken")).alias("match"), "hits", "duration")
+
+
+_FIXED = _WORDS_TIMED.replace("WITH words", "WITH RECURSIVE words") + """
+, j AS (SELECT user_id, word, real_t + (word * 37) % 101 * 1000 AS t0, real_t FROM words),
+fixed AS (
+  SELECT user_id, word, t0, t0 AS fixed FROM j WHERE word = 0
+  UNION ALL SELECT j.user_id, j.word, j.t0, CASE WHEN j.t0 < f.fixed THEN f.fixed + 0.01 ELSE j.t0 END FROM fixed f JOIN j ON j.user_id = f.user_id AND j.word = f.word + 1
+)
+"""
 
 
-@query()
+@query(_FIXED + "SELECT * FROM fixed")
 def q_time_fix(t: Tables) -> DataFrame:
     words = _timed_words(t).select("user_id", "word", (F.col("real_t") + (F.col("word") * 37) % 101 * 1000).alias("t0"))
     return seq.fix_times(words, "user_id", "word", "t0")
 
 
-@query()
+@query(_FIXED.replace("word * 37) % 101 * 1000 AS t0", "word * 37) % 101 * (CASE WHEN word % 5 = 0 THEN 0 ELSE 1000 END) AS t0") + """
+SELECT f.user_id, f.word, """ + half_even("f.fixed") + " AS t0, " + half_even("least(greatest(CASE WHEN f.word % 5 = 0 THEN j.real_t + 1 ELSE CASE WHEN f.word % 2 = 0 THEN f.t0 + 0.05 ELSE f.t0 + 0.4 END END, f.fixed + 0.05), coalesce(lead(f.fixed) OVER (PARTITION BY f.user_id ORDER BY f.word), 9000000.0), f.fixed + 1.5)") + """ AS t1
+FROM fixed f JOIN j ON f.user_id = j.user_id AND f.word = j.word
+""")
+def q_aligned_times(t: Tables) -> DataFrame:
+    """An aligner's times where it found a word (four of five), else those interpolated; in order and of sane length."""
+    found = F.col("real_t") + (F.col("word") * 37) % 101 * 1000
+    words = _timed_words(t).select(
+        "user_id", "word", found.alias("found0"), F.when(F.col("word") % 2 == 0, found).otherwise(found + 0.4).alias("found1"), F.when(F.col("word") % 5 == 0, -9.0).otherwise(-1.0).alias("score"),
+        F.col("real_t").alias("given0"), (F.col("real_t") + 1).alias("given1"),
+    )
+    return seq.aligned_times(words, ["user_id"], "word", F.lit(9_000_000.0))
+
+
+# An hour of reading takes six seconds here, so that windows hold more than one word.
+@query(_WORDS_TIMED.replace("WITH words", "WITH RECURSIVE words") + """
+, a AS (SELECT user_id, word, real_t / 600 AS t, real_t / 600 + 0.5 AS e, max(word) OVER (PARTITION BY user_id) AS final FROM words),
+nx AS (SELECT a.user_id, a.word, coalesce(min(b.word) FILTER (WHERE b.t - a.t >= 120 AND b.word < a.final), max(b.word)) AS nxt FROM a JOIN a b ON b.user_id = a.user_id AND b.word > a.word GROUP BY ALL),
+chain AS (SELECT user_id, CAST(0 AS BIGINT) AS word, 0 AS window_no FROM nx WHERE word = 0 UNION ALL SELECT c.user_id, nx.nxt, c.window_no + 1 FROM chain c JOIN nx ON nx.user_id = c.user_id AND nx.word = c.word WHERE nx.nxt IN (SELECT word FROM nx n WHERE n.user_id = c.user_id))
+SELECT c.user_id, c.window_no, c.word AS word_lo, CASE WHEN nx.nxt = z.final THEN nx.nxt ELSE nx.nxt - 1 END AS word_hi, x.t AS t_lo, CASE WHEN nx.nxt = z.final THEN least(4464.0, z.e + 5) ELSE z.t END AS t_hi
+FROM chain c JOIN nx ON nx.user_id = c.user_id AND nx.word = c.word JOIN a x ON x.user_id = c.user_id AND x.word = c.word JOIN a z ON z.user_id = c.user_id AND z.word = nx.nxt
+""")
 def q_windows_120(t: Tables) -> DataFrame:
-    return seq.greedy_windows(_timed_words(t), "user_id", "word", "real_t", 86_400.0)
-
-
-@query(_WORDS_TIMED + "SELECT user_id, coalesce(max(real_t + 0.5) FILTER (WHERE word < 10), 2678400) AS audio_end FROM words GROUP BY 1")
-def q_audio_end(t: Tables) -> DataFrame:
-    return _timed_words(t).groupBy("user_id").agg(F.coalesce(F.max(F.when(F.col("word") < 10, F.col("real_t") + 0.5)), F.lit(2678400.0)).alias("audio_end"))
+    words = _timed_words(t).select("user_id", "word", (F.col("real_t") / 600).alias("t0"), (F.col("real_t") / 600 + 0.5).alias("t1"))
+    return seq.greedy_windows(words, "user_id", "word", "t0", "t1", F.lit(4464.0))
 
 
 @query(_WRITES + """
@@ -448,38 +517,85 @@ def q_translate_place(t: Tables) -> DataFrame:
     return _writes(t).select("event_id", st.translate_place(F.col("value"), edition, F.lit("now"), maps).alias("sentence"), F.array_join(composed.cast("array<string>"), ",").alias("composed"))
 
 
-@query(_WRITES + """
-, m AS (SELECT device, list(CAST(floor(value) AS INTEGER) % 50 ORDER BY event_id) AS m FROM (SELECT * FROM w WHERE event_id < 300) GROUP BY 1)
-SELECT a.device AS old_edition, b.device AS new_edition, array_to_string(list_transform(a.m, lambda x: b.m[least(greatest(x, 0), len(b.m) - 1) + 1]), ',') AS places
-FROM m a JOIN m b ON b.device = a.device + 1
-""")
+# Each reader's book has a map for each device's edition: place k leads to the value of its k-th write.
+_MAPS = _WRITES + """
+, m AS (SELECT user_id, device, row_number() OVER (PARTITION BY user_id, device ORDER BY event_id) - 1 AS place, CAST(floor(value) AS BIGINT) % 50 AS value FROM w),
+n AS (SELECT user_id, place, value FROM m WHERE device = 2), z AS (SELECT user_id, max(place) AS last FROM n GROUP BY 1),
+led AS (SELECT m.user_id, 'e' || m.device AS edition, m.place, n.value FROM m JOIN z ON z.user_id = m.user_id JOIN n ON n.user_id = m.user_id AND n.place = least(greatest(m.value, 0), z.last))
+"""
+
+
+def _maps(t: Tables) -> tuple[DataFrame, DataFrame]:
+    w = Window.partitionBy("user_id", "device").orderBy("event_id")
+    rows = _writes(t).select("user_id", F.concat(F.lit("e"), F.col("device").cast("string")).alias("edition"), (F.row_number().over(w) - 1).cast("long").alias("place"), (F.floor("value") % 50).alias("value"))
+    return rows.where("edition <> 'e2'"), rows.where("edition = 'e2'").drop("edition")
+
+
+@query(_MAPS + "SELECT * FROM led WHERE edition <> 'e2'")
 def q_compose_maps(t: Tables) -> DataFrame:
-    kept = _writes(t).where("event_id < 300").select("device", F.struct("event_id", (F.floor("value") % 50).cast("int").alias("v")).alias("x"))
-    m = kept.groupBy("device").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("m"))
-    a, b = m.select(F.col("device").alias("old_edition"), F.col("m").alias("_a")), m.select(F.col("device").alias("new_edition"), F.col("m").alias("_b"))
-    pairs = a.join(b, F.col("new_edition") == F.col("old_edition") + 1)
-    return pairs.select("old_edition", "new_edition", F.array_join(st.compose_map(F.col("_a"), F.col("_b")).cast("array<string>"), ",").alias("places"))
+    older, newer = _maps(t)
+    return st.compose_rows(older, newer, ["user_id"])
+
+
+@query(_MAPS + "SELECT * FROM led WHERE edition NOT IN ('e1', 'e2') UNION ALL SELECT user_id, 'e1', place, value FROM n")
+def q_compose_all(t: Tables) -> DataFrame:
+    """All editions' maps after another extraction, which ``e1`` was the edition before."""
+    older, newer = _maps(t)
+    return st.lead_on(older, newer, ["user_id"], F.lit("e1"))
+
+
+# A book's words are its reader's events, twelve to a block, five to a sentence; five hours are a second.
+_PLACES = _MERGED + """
+, k AS (SELECT user_id, max(at_ms) FILTER (WHERE key = 'click') AS sent_at FROM w GROUP BY 1),
+words AS (SELECT user_id, word, (epoch_us(ts) // 1000 / 1000.0 - 1704067200) / 5000 AS t0, word // 12 AS block, word % 12 AS cs FROM (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS word FROM events)),
+sentences AS (SELECT user_id, word, row_number() OVER (PARTITION BY user_id ORDER BY word) - 1 AS number FROM words WHERE cs % 5 = 0),
+z AS (SELECT user_id, count(*) AS n FROM sentences GROUP BY 1), f AS (SELECT user_id, min(word) AS word FROM words GROUP BY 1),
+newer AS (SELECT s.user_id, s.pos, s.pos_at FROM s JOIN k ON k.user_id = s.user_id WHERE s.pos IS NOT NULL AND coalesce(s.pos_at, 0) > coalesce(k.sent_at, 0)),
+heard AS (SELECT n.user_id, n.pos_at, coalesce(max(v.word), 0) AS word FROM newer n LEFT JOIN words v ON v.user_id = n.user_id AND v.t0 <= n.pos GROUP BY ALL),
+kept AS (SELECT h.user_id, max(t.number) AS sent, h.pos_at AS sent_at, any_value(z.n) AS n FROM heard h JOIN sentences t ON t.user_id = h.user_id AND t.word <= h.word JOIN z ON z.user_id = h.user_id GROUP BY h.user_id, h.pos_at)
+"""
 
 
-@query(_MERGED + """
-, p AS (SELECT user_id, max(at_ms) FILTER (WHERE key = 'click') AS sent_at, max(at_ms) FILTER (WHERE key = 'view') AS pos_at FROM w GROUP BY 1)
-SELECT s.user_id, CASE WHEN coalesce(p.pos_at, 0) > coalesce(p.sent_at, 0) THEN CAST(least(floor(coalesce(s.pos, 0) / 5), 99) AS BIGINT) END AS kept_sentence,
-       CASE WHEN s.pos IS NULL THEN 'no audio' WHEN s.pos < 20 THEN 'too short' WHEN coalesce(p.pos_at, 0) <= coalesce(p.sent_at, 0) THEN 'page is newer' ELSE '' END AS reason
-FROM s JOIN p ON s.user_id = p.user_id
-""")
+def _kept_places(t: Tables) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    number = (F.row_number().over(w) - 1).cast("long")
+    words = t.events.select("user_id", number.alias("word"), ((F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0 - 1704067200) / 5000).alias("t0")).withColumns({"block": F.floor(F.col("word") / 12), "cs": F.col("word") % 12})
+    starts = Window.partitionBy("user_id").orderBy("word")
+    sentences = words.where("cs % 5 = 0").select("user_id", "block", F.col("cs").alias("a"), (F.row_number().over(starts) - 1).cast("long").alias("number"))
+    sent = _writes(t).groupBy("user_id").agg(F.max(F.when(F.col("key") == "click", F.col("at_ms"))).alias("sent_at"))
+    states = _merged(t).select("user_id", "pos", "pos_at").join(sent, "user_id")
+    return st.keep_place(states, words.select("user_id", "t0", "block", "cs"), sentences, ["user_id"])
+
+
+@query(_PLACES + "SELECT user_id, sent, sent_at, CAST(round_even(sent / greatest(n, 1) * 100, 0) AS BIGINT) AS sent_pct FROM kept")
 def q_keep_place(t: Tables) -> DataFrame:
-    times = _writes(t).groupBy("user_id").agg(F.max(F.when(F.col("key") == "click", F.col("at_ms"))).alias("sent_at"))
-    newer = F.coalesce("pos_at", F.lit(0)) > F.coalesce("sent_at", F.lit(0))
-    place = F.least(F.floor(F.coalesce("pos", F.lit(0.0)) / 5), F.lit(99))
-    reason = F.when(F.col("pos").isNull(), "no audio").when(F.col("pos") < 20, "too short").when(~newer, "page is newer").otherwise("")
-    return _merged(t).join(times, "user_id").select("user_id", F.when(newer, place).alias("kept_sentence"), reason.alias("reason"))
+    return _kept_places(t)
+
+
+@query(_PLACES + "SELECT c.c_custkey, c.c_name, kept.sent AS kept_place FROM customer c LEFT JOIN kept ON kept.user_id = c.c_custkey")
+def q_drop_columns(t: Tables) -> DataFrame:
+    """Books without the columns of their audio, with the place that was being heard."""
+    books = t.customer.drop("c_acctbal", "c_mktsegment", "c_nationkey")
+    places = _kept_places(t).select(F.col("user_id").alias("c_custkey"), F.col("sent").alias("kept_place"))
+    return books.select("c_custkey", "c_name").join(places, "c_custkey", "left")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'no audio' WHEN o_orderkey % 4 = 0 THEN 'unchanged' WHEN o_orderstatus = 'P' THEN 'refused: no captions' WHEN o_orderkey % 5 = 0 THEN 'refused: no audio file'
+  WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'refused: no aligner' WHEN o_orderkey % 3 = 0 THEN 'rebuilt and aligned' ELSE 'rebuilt' END AS timing FROM orders
+""")
+def q_retime_reason(t: Tables) -> DataFrame:
+    not_each = lambda n: F.col("o_orderkey") % n != 0
+    decision = st.retiming(not_each(6), not_each(4), F.col("o_orderstatus") != "P", not_each(5), ~not_each(3), F.col("o_custkey") % 2 != 0)
+    return t.orders.select("o_orderkey", decision.alias("timing"))
 
 
 @query("""
-WITH e AS (SELECT user_id AS doc, event_id AS vid, value AS old_value FROM events WHERE event_id % 2 = 0), n AS (SELECT user_id AS doc, event_id AS vid FROM events WHERE event_id % 6 = 0)
-SELECT doc, count(*) AS lost FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.vid = e.vid) GROUP BY 1
+WITH n AS (SELECT event_id FROM events WHERE event_id % 6 = 0)
+SELECT user_id AS doc, count(*) AS lost FROM events WHERE event_id NOT IN (SELECT event_id FROM n) GROUP BY 1
 """)
 def q_lost_items(t: Tables) -> DataFrame:
-    old = t.events.where("event_id % 2 = 0").select(F.col("user_id").alias("doc"), "event_id")
+    """What a new version of a collection has no more; it keeps every sixth item."""
+    old = t.events.select(F.col("user_id").alias("doc"), "event_id")
     new = t.events.where("event_id % 6 = 0").select("event_id")
     return old.join(new, "event_id", "left_anti").groupBy("doc").agg(F.count(F.lit(1)).alias("lost"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences as sent
 from ..functions.encoding import decode
+from ..functions.languages import language_code
 from ..functions.num import upper_index
 from ..functions.text import STOP_WORDS, join_title, marker, normal_words
 from ..operators import alignment as al
 from ..operators import catalogue as cat
 from ..operators import library as lib
 from ..operators import sequences as seq
+from ..operators.back_matter import audio_ends, text_ends
 from ..operators.text_model import txt_blocks
 from ..registry import Tables, query
 
@@ -35,9 +38,9 @@ def _blocks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
 
 
-@query(f"SELECT doc_id, pos - 1 AS word, w FROM (SELECT doc_id, unnest({normal('text')}) AS w, generate_subscripts({normal('text')}, 1) AS pos FROM documents WHERE lang = 'es')")
+@query(f"SELECT doc_id, pos - 1 AS word, w FROM (SELECT doc_id, unnest({normal('text')}) AS w, generate_subscripts({normal('text')}, 1) AS pos FROM documents)")
 def q_words(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'es'").select("doc_id", F.posexplode(normal_words(F.col("text"))).alias("word", "w"))
+    return t.documents.select("doc_id", F.posexplode(normal_words(F.col("text"))).alias("word", "w"))
 
 
 @query(f"SELECT doc_id, len(string_split(text, chr(10))) AS blocks, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS words, len({normal('text')}) AS said FROM documents")
@@ -102,7 +105,7 @@ def q_block_chapter(t: Tables) -> DataFrame:
 
 
 _GRAMS = f"""
-WITH tw AS (SELECT doc_id, {normal('text')} AS w FROM documents WHERE lang = 'en' AND length(text) < 4000), bw AS (SELECT item_id, {normal('text')} AS w FROM benchmark),
+WITH tw AS (SELECT doc_id, {normal('text')} AS w FROM documents), bw AS (SELECT item_id, {normal('text')} AS w FROM benchmark),
 tg AS (SELECT doc_id, k - 1 AS pos, array_to_string(w[k:k + 3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1))) AS k FROM tw)),
 bg AS (SELECT item_id, k - 1 AS pos, array_to_string(w[k:k + 3], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 1))) AS k FROM bw)),
 rare AS (SELECT doc_id, gram, min(pos) AS pos FROM tg GROUP BY ALL HAVING count(*) = 1),
@@ -110,8 +113,8 @@ hits AS (SELECT doc_id, item_id, rare.pos AS text_pos, bg.pos AS spoken_pos FROM
 """
 
 
-def _english(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en' and length(text) < 4000").select("doc_id", normal_words(F.col("text")).alias("w"))
+def _written(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", normal_words(F.col("text")).alias("w"))
 
 
 def _spoken(t: Tables) -> DataFrame:
@@ -119,8 +122,10 @@ def _spoken(t: Tables) -> DataFrame:
 
 
 def _hits(t: Tables) -> DataFrame:
-    rare = al.rare_ngrams(al.ngrams(_english(t), ["doc_id"], "w"), ["doc_id"])
-    return al.seed_hits(rare, al.ngrams(_spoken(t), ["item_id"], "w"), ["doc_id"], ["item_id"])
+    """Rare grams of the texts where they are spoken; grams that no one speaks are dropped before they are counted."""
+    spoken = al.ngrams(_spoken(t), ["item_id"], "w")
+    grams = al.ngrams(_written(t), ["doc_id"], "w").join(al.few(spoken.select("gram").distinct()), "gram", "left_semi")
+    return al.seed_hits(al.rare_ngrams(grams, ["doc_id"]), spoken, ["doc_id"], ["item_id"])
 
 
 @query(_GRAMS + "SELECT item_id, pos, gram FROM bg")
@@ -130,7 +135,7 @@ def q_ngrams(t: Tables) -> DataFrame:
 
 @query(_GRAMS + "SELECT doc_id, count(*) AS rare, min(pos) AS first_pos FROM rare GROUP BY 1")
 def q_rare_ngrams(t: Tables) -> DataFrame:
-    return al.rare_ngrams(al.ngrams(_english(t), ["doc_id"], "w"), ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rare"), F.min("pos").alias("first_pos"))
+    return al.rare_ngrams(al.ngrams(_written(t), ["doc_id"], "w"), ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rare"), F.min("pos").alias("first_pos"))
 
 
 @query(_GRAMS + "SELECT * FROM hits")
@@ -144,7 +149,7 @@ FROM hits h JOIN bw ON h.item_id = bw.item_id JOIN tw ON h.doc_id = tw.doc_id GR
 """)
 def q_match_share(t: Tables) -> DataFrame:
     counts = _hits(t).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
-    sized = counts.join(_spoken(t).select("item_id", F.size("w").cast("long").alias("spoken")), "item_id").join(_english(t).select("doc_id", F.size("w").alias("_n")), "doc_id")
+    sized = counts.join(_spoken(t).select("item_id", F.size("w").cast("long").alias("spoken")), "item_id").join(_written(t).select("doc_id", F.size("w").alias("_n")), "doc_id")
     return sized.select("doc_id", "item_id", "matched", "spoken", al.share(F.col("matched"), F.col("spoken")).alias("match"), al.share(F.col("matched"), F.col("_n")).alias("coverage"))
 
 
@@ -154,7 +159,7 @@ SELECT b.doc_id, count(*) AS silent, CAST(sum(b.n) AS BIGINT) AS words FROM b LE
 """)
 def q_silent_blocks(t: Tables) -> DataFrame:
     hits = _hits(t)
-    grams = al.ngrams(_english(t).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], "w")
+    grams = al.ngrams(_written(t).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], "w")
     blocks = grams.groupBy("doc_id", F.floor(F.col("pos") / 40).alias("block")).agg(F.count(F.lit(1)).alias("n")).where("n >= 6")
     heard = hits.select("doc_id", F.floor(F.col("text_pos") / 40).alias("block")).distinct()
     return blocks.join(heard, ["doc_id", "block"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("silent"), F.sum("n").alias("words"))
@@ -168,13 +173,9 @@ def q_gaps(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Texts of any language and length and spoken items that share a rare n-gram, as arrays of words."""
-    words = normal_words(F.col("text"))
-    spoken = al.ngrams(_spoken(t), ["item_id"], "w")
-    # Only grams that are spoken can be hits; the others are not counted.
-    grams = al.ngrams(t.documents.select("doc_id", words.alias("w")), ["doc_id"], "w").join(al.few(spoken.select("gram").distinct()), "gram", "left_semi")
-    met = al.seed_hits(al.rare_ngrams(grams, ["doc_id"]), spoken, ["doc_id"], ["item_id"]).select("doc_id", "item_id").distinct()
-    texts = met.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "item_id", words.alias("text_words"))
+    """Texts and spoken items that share a rare n-gram, as arrays of words."""
+    met = _hits(t).select("doc_id", "item_id").distinct()
+    texts = met.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "item_id", normal_words(F.col("text")).alias("text_words"))
     return texts.join(_spoken(t).withColumnRenamed("w", "spoken_words"), "item_id")
 
 
@@ -226,27 +227,31 @@ def q_fragment_tail(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.regexp_extract(tail, "(Licensed under [A-Za-z0-9 .-]+|Released under [A-Za-z0-9 .-]+)", 1).alias("tail"))
 
 
-@query(_LINES + f"""
-, n AS (SELECT doc_id, block, len({normal('line')}) AS n FROM blocks),
-s AS (SELECT doc_id, sum(n) AS old, sum(n) FILTER (WHERE block % 7 <> 3) AS new FROM n GROUP BY 1)
-SELECT doc_id, CAST(old AS BIGINT) AS old_words, CAST(coalesce(new, 0) AS BIGINT) AS new_words, coalesce(new, 0) < 0.97 * old AS refused FROM s
+# A new extraction without every 60th block; every 25th block shows a picture.
+@query(_LINES + """
+, n AS (SELECT doc_id, block, len(list_filter(string_split_regex(line, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS n FROM blocks),
+s AS (SELECT doc_id, sum(n) AS old, coalesce(sum(n) FILTER (WHERE block % 60 <> 7), 0) AS new, count(*) FILTER (WHERE block % 25 = 7 AND block % 60 = 7) AS pictures FROM n GROUP BY 1)
+SELECT doc_id, CAST(old AS BIGINT) AS old_words, CAST(new AS BIGINT) AS new_words, pictures AS pictures_lost, new < 0.97 * old OR pictures > 0 AS refused FROM s
 """)
 def q_lost_words(t: Tables) -> DataFrame:
-    n = _blocks(t).select("doc_id", "block", F.size(normal_words(F.col("line"))).alias("n"))
-    sums = n.groupBy("doc_id").agg(F.sum("n").alias("old_words"), F.coalesce(F.sum(F.when(F.col("block") % 7 != 3, F.col("n"))), F.lit(0)).alias("new_words"))
-    return sums.withColumn("refused", F.col("new_words") < 0.97 * F.col("old_words"))
+    blocks = _blocks(t).select("doc_id", "block", F.size(F.filter(F.split("line", r"\s+"), lambda w: w != "")).alias("words"), F.when(F.col("block") % 25 == 7, F.concat(F.lit("images/"), F.col("block").cast("string"))).alias("picture"))
+    return lib.text_loss(blocks, blocks.where("block % 60 <> 7"), ["doc_id"])
 
 
-@query(_LINES + """
-, e AS (SELECT d.source, b.doc_id, regexp_replace(lower(trim(b.line)), '[0-9]+', '#', 'g') AS key FROM blocks b JOIN documents d ON b.doc_id = d.doc_id),
-n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM e GROUP BY 1)
-SELECT e.source, key, count(DISTINCT doc_id) AS on_pages FROM e JOIN n ON e.source = n.source GROUP BY e.source, key, pages HAVING count(DISTINCT doc_id) >= greatest(3, pages / 10)
+# A book is a customer, its pages are the orders, a page's lines its items.
+@query("""
+WITH l AS (SELECT o_custkey AS book, o_orderkey AS page, l_linenumber AS pos, l_returnflag || ' ' || l_linenumber AS line, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos, l_partkey, line) AS first, row_number() OVER (PARTITION BY page ORDER BY pos DESC, l_partkey DESC, line DESC) AS last FROM l),
+k AS (SELECT DISTINCT book, page, regexp_replace(lower(line), '[0-9]+', '#', 'g') AS key FROM e WHERE first = 1 OR last = 1), n AS (SELECT book, count(DISTINCT page) AS pages FROM l GROUP BY 1)
+SELECT k.book, key, count(*) AS on_pages FROM k JOIN n ON k.book = n.book GROUP BY k.book, key, pages HAVING count(*) >= greatest(3, pages / 2)
 """)
 def q_running_heads(t: Tables) -> DataFrame:
-    lines = t.documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    edges = lines.select("source", "doc_id", F.regexp_replace(F.lower(F.trim("line")), "[0-9]+", "#").alias("key")).distinct()
-    pages = t.documents.where("text is not null").groupBy("source").agg(F.countDistinct("doc_id").alias("pages"))
-    return edges.groupBy("source", "key").agg(F.count(F.lit(1)).alias("on_pages")).join(pages, "source").where(F.col("on_pages") >= F.greatest(F.lit(3), F.col("pages") / 10)).drop("pages")
+    """Lines at the edges of at least three and at least half of a book's pages, whatever their numbers."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("page"), F.struct(F.col("l_linenumber").alias("pos"), "l_partkey", F.concat_ws(" ", "l_returnflag", F.col("l_linenumber").cast("string")).alias("line")).alias("x"))
+    pages = t.orders.select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("page")).join(lines.groupBy("page").agg(F.min("x").alias("a"), F.max("x").alias("b")), "page")
+    keys = pages.select("book", "page", F.explode(F.array("a.line", "b.line")).alias("line")).select("book", "page", F.regexp_replace(F.lower("line"), "[0-9]+", "#").alias("key")).distinct()
+    many = pages.groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
+    return keys.groupBy("book", "key").agg(F.count(F.lit(1)).alias("on_pages")).join(many, "book").where(F.col("on_pages") >= F.greatest(F.lit(3), F.col("pages") / 2)).drop("pages")
 
 
 @query(_LINES + """
@@ -302,29 +307,59 @@ def q_letter_runs(t: Tables) -> DataFrame:
     return runs.select("conv_id", "chapter", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "island")).alias("run"))
 
 
-@query(_CHAPTERS + """
-, m AS (SELECT *, min(CASE WHEN role = 'assistant' OR size < 150 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS tail FROM c),
-b AS (SELECT conv_id, count(*) AS n, coalesce(min(chapter) FILTER (WHERE tail = 1), count(*)) AS first, sum(size) AS total, coalesce(sum(size) FILTER (WHERE tail = 1), 0) AS after FROM m GROUP BY 1)
-SELECT conv_id, CASE WHEN after > 0.35 * total THEN n ELSE first END AS text_end FROM b
-""")
+# Titles by the size of the turn: some name reference matter, some are letters, some end the text.
+TITLES = ("Notes", "A.", "B", "Index of names", "Эпилог", "C.", "D", "E.", "Part one")
+_BOUNDS = f"""
+WITH c AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chapter, [{", ".join(f"'{x}'" for x in TITLES)}][length(text) % 9 + 1] AS title, 1 + length(text) // 9 % 2 AS level, length(text) // 7 AS sentences FROM conversations
+), f AS (
+  SELECT *, regexp_matches(title, '(?i)notes|index') AS named, title = 'Эпилог' AS main, regexp_matches(title, '^[A-E]\\.?$') AS letter FROM c
+), g AS (
+  SELECT *, sum(CASE WHEN letter THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY chapter) AS island,
+         named OR level = 2 AND coalesce(last_value(CASE WHEN level = 1 THEN named END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY chapter), false) AS under FROM f
+), r AS (
+  SELECT *, count(*) FILTER (WHERE letter) OVER (PARTITION BY conv_id, island) AS run, sum(sentences) OVER (PARTITION BY conv_id) AS total FROM g
+), b AS (
+  SELECT *, min(CASE WHEN NOT main AND (under OR letter AND run >= 3 OR sentences < 0.001 * total) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY chapter DESC) AS back FROM r
+), e AS (
+  SELECT conv_id, CASE WHEN coalesce(sum(sentences) FILTER (WHERE back = 1), 0) > 0.35 * sum(sentences) THEN count(*) ELSE count(*) FILTER (WHERE back = 0) END AS text_end FROM b GROUP BY 1
+)
+"""
+
+
+def _bounds(t: Tables) -> DataFrame:
+    size = F.length("text")
+    title = F.get(F.array(*map(F.lit, TITLES)), (size % 9).cast("int"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    chapters = t.conversations.select("conv_id", (F.row_number().over(w) - 1).alias("chapter"), title.alias("title"), (1 + F.floor(size / 9) % 2).cast("int").alias("level"), F.floor(size / 7).cast("int").alias("sentences"))
+    return text_ends(chapters, "conv_id")
+
+
+@query(_BOUNDS + "SELECT * FROM e")
 def q_back_matter(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    reference = (F.col("role") == "assistant") | (F.col("size") < 150)
-    tail = F.min(F.when(reference, 1).otherwise(0)).over(w) == 1
-    c = _chapters(t).withColumn("tail", tail)
-    ends = c.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("tail"), F.col("chapter"))).alias("first"), F.sum("size").alias("total"), F.coalesce(F.sum(F.when(F.col("tail"), F.col("size"))), F.lit(0)).alias("after")
-    )
-    return ends.select("conv_id", F.when(F.col("after") > 0.35 * F.col("total"), F.col("n")).otherwise(F.coalesce("first", "n")).alias("text_end"))
+    return _bounds(t)
 
 
-@query(_CHAPTERS + """
+@query(_BOUNDS + """
+, w AS (SELECT conv_id, row_number() OVER v - 1 AS chapter, sum(length(text)) OVER v / 16 AS t1 FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT e.conv_id, coalesce(max(t1) FILTER (WHERE w.chapter < e.text_end AND w.chapter % 4 <> 3), max(t1) + 1) AS audio_end FROM e JOIN w ON e.conv_id = w.conv_id GROUP BY 1
+""")
+def q_audio_end(t: Tables) -> DataFrame:
+    """Where a recording, which reads three chapters of four, ends with the main text."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    read = t.conversations.select("conv_id", (F.row_number().over(w) - 1).alias("chapter"), (F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / 16).alias("t1"))
+    durations = read.groupBy("conv_id").agg((F.max("t1") + 1).alias("duration"))
+    return audio_ends(read.where("chapter % 4 <> 3"), _bounds(t), durations, "conv_id")
+
+
+@query("""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chapter, length(text) % 7 AS level FROM conversations)
 SELECT a.conv_id, a.chapter, (SELECT max(b.chapter) FROM c b WHERE b.conv_id = a.conv_id AND b.chapter < a.chapter AND b.level < a.level) AS parent FROM c a
 """)
 def q_outline_parent(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    above = lambda k: F.max(F.when(F.col("level") < k, F.col("chapter"))).over(w)
-    return _chapters(t).select("conv_id", "chapter", F.when(F.col("level") == 1, above(1)).when(F.col("level") == 2, above(2)).alias("parent"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    chapters = t.conversations.select("conv_id", (F.row_number().over(w) - 1).alias("chapter"), (F.length("text") % 7).alias("level"))
+    return seq.nearest_above(chapters, ["conv_id"], "chapter", "level", 7, "chapter").drop("level")
 
 
 @query("""
@@ -358,9 +393,24 @@ def q_txt_items(t: Tables) -> DataFrame:
     return txt_blocks(t.documents, "doc_id", "text")
 
 
-@query("SELECT doc_id, text FROM documents")
+# Texts in Latin letters as bytes of six encodings; three get Russian letters first, frequent ones for frequent ones.
+LATIN, RUSSIAN = "etaoinshrdlcumwfgypbvkjxqz", "оеаинтсрвлкмдпуяыьгзбчйхжш"
+WRITTEN = ("utf-8", "utf-16-le", "utf-16", "cp1251", "koi8_r", "cp866")
+_PLAIN = "regexp_replace(lower(coalesce(text, '')), '[^a-z .,\n]', '', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 6 < 3 THEN {_PLAIN} ELSE translate({_PLAIN}, '{LATIN}', '{RUSSIAN}') END AS text FROM documents")
 def q_decode(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", decode(F.encode("text", "UTF-8")).alias("text"))
+    """Texts found again from bytes whose encoding is not given: UTF-8, UTF-16 with and without a mark, three code pages."""
+
+    @F.pandas_udf("binary")
+    def written(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([x.encode(WRITTEN[k]) for x, k in zip(texts, kinds)])
+
+    kind = F.pmod("doc_id", F.lit(6)).cast("int")
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z .,\n]", "")
+    text = F.when(kind < 3, plain).otherwise(F.translate(plain, LATIN, RUSSIAN))
+    return t.documents.select("doc_id", decode(written(text, kind)).alias("text"))
 
 
 @query(_LINES + "SELECT doc_id, block, line FROM blocks WHERE length(line) BETWEEN 40 AND 160")
@@ -368,6 +418,15 @@ def q_mid_sentences(t: Tables) -> DataFrame:
     return _blocks(t).where(F.length("line").between(40, 160))
 
 
+@query(_LINES + """
+, f AS (SELECT doc_id, block, md5('7:' || doc_id || ':' || block) AS draw, CASE WHEN length(line) BETWEEN 40 AND 160 THEN 0 ELSE 1 END AS far FROM blocks WHERE trim(line) <> '')
+SELECT doc_id, first(block ORDER BY far, draw) AS block FROM f GROUP BY 1
+""")
+def q_random_pick(t: Tables) -> DataFrame:
+    """A line of each text by a seeded draw, of fitting length if there is one, any else."""
+    return cat.drawn(_blocks(t).where(F.trim("line") != ""), ["doc_id"], ["doc_id", "block"], F.length("line").between(40, 160), 7).select("doc_id", "block")
+
+
 @query(_LINES + """
 , f AS (SELECT doc_id, length(line) % 9 AS note, min(block) AS p FROM blocks GROUP BY ALL)
 SELECT doc_id, note, dense_rank() OVER (PARTITION BY doc_id ORDER BY p) AS number FROM f
@@ -403,11 +462,11 @@ def q_fit_marks(t: Tables) -> DataFrame:
 
 
 @query(_CHAPTERS + """
-, j AS (SELECT conv_id, list(text[:20] ORDER BY turn) AS l FROM c GROUP BY 1)
+, j AS (SELECT conv_id, list(text ORDER BY turn) AS l FROM c GROUP BY 1)
 SELECT conv_id, list_reduce(list_prepend('', list_filter(l, lambda x: trim(x) <> '')), lambda a, x: CASE WHEN a = '' THEN trim(x) WHEN regexp_matches(a, '[.!?…:;,]$') THEN a || ' ' || trim(x) ELSE a || '. ' || trim(x) END) AS title FROM j
 """)
 def q_join_title(t: Tables) -> DataFrame:
-    lines = _chapters(t).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("x")))), lambda s: s["x"]).alias("l"))
+    lines = _chapters(t).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x")))), lambda s: s["x"]).alias("l"))
     return lines.select("conv_id", join_title(F.col("l")).alias("title"))
 
 
@@ -416,17 +475,20 @@ def q_marker(t: Tables) -> DataFrame:
     return _chapters(t).select("conv_id", "turn", marker(F.concat(F.lit(" {"), F.col("size").cast("string"), F.lit("] "))).alias("mark"))
 
 
+_STATED = "[lang, 'English', ' RUS, eng', 'deu', 'Klingon', 'xx', 'french', 'zho,eng'][doc_id % 8 + 1]"
+
+
 @query(f"""
-WITH d AS (SELECT doc_id, lang, lower(text[:200]) AS h FROM documents)
-SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'ger' WHEN 'fr' THEN 'fre' ELSE lang END AS code, regexp_matches(h, '[а-яё]') AS cyrillic,
-       len(list_filter({normal('h')}, lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in STOP_WORDS)}], w))) AS meaningful FROM d
+WITH d AS (SELECT doc_id, lower(text) AS h, lower(trim(string_split({_STATED}, ',')[1])) AS said FROM documents)
+SELECT doc_id, CASE said WHEN 'english' THEN 'en' WHEN 'rus' THEN 'ru' WHEN 'deu' THEN 'de' WHEN 'french' THEN 'fr' WHEN 'zho' THEN 'zh' ELSE CASE WHEN length(said) = 2 THEN said ELSE '' END END AS code,
+       regexp_matches(h, '[а-яё]') AS cyrillic, len(list_filter({normal('h')}, lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in STOP_WORDS)}], w))) AS meaningful FROM d
 """)
 def q_language(t: Tables) -> DataFrame:
-    codes = F.create_map(*[F.lit(x) for kv in {"en": "eng", "de": "ger", "fr": "fre"}.items() for x in kv])
-    head = F.lower(F.substring("text", 1, 200))
+    stated = F.get(F.array(F.col("lang"), *map(F.lit, ("English", " RUS, eng", "deu", "Klingon", "xx", "french", "zho,eng"))), (F.col("doc_id") % 8).cast("int"))
+    whole = F.lower("text")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(normal_words(head), lambda w: ~F.array_contains(stop, w))
-    return t.documents.select("doc_id", F.coalesce(F.element_at(codes, F.col("lang")), F.col("lang")).alias("code"), head.rlike("[а-яё]").alias("cyrillic"), F.size(kept).cast("long").alias("meaningful"))
+    kept = F.filter(normal_words(whole), lambda w: ~F.array_contains(stop, w))
+    return t.documents.select("doc_id", language_code(stated).alias("code"), whole.rlike("[а-яё]").alias("cyrillic"), F.size(kept).cast("long").alias("meaningful"))
 
 
 @query(_LINES + """

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, markup, state, texts  # noqa: F401
+from .plans import answers, catalogue, markup, state, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

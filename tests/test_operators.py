@@ -89,8 +89,61 @@ def test_interpolate(spark):
 def test_time_fixes(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate([1.0, 0.5, 0.6, 3.0, 2.0])], "k int, i int, t double")
     assert [round(r.fixed, 2) for r in seq.fix_times(df, "k", "i", "t").orderBy("i").collect()] == [1.0, 1.01, 1.02, 3.0, 3.01]
-    windows = seq.greedy_windows(spark.createDataFrame([(1, i, float(x)) for i, x in enumerate([0, 50, 120, 121, 300])], "k int, i int, t double"), "k", "i", "t").orderBy("window_no").collect()
-    assert [(r.w_start, r.w_end, r.n_rows) for r in windows] == [(0.0, 120.0, 3), (121.0, 121.0, 1), (300.0, 300.0, 1)]
+    anchors = spark.createDataFrame([(1, 3 * i, float(x), x + 0.5) for i, x in enumerate([0, 50, 120, 121, 300, 310])] + [(2, 0, 1.0, 1.5)], "k int, i int, t double, e double")
+    windows = seq.greedy_windows(anchors, "k", "i", "t", "e", F.lit(313.0)).orderBy("window_no").collect()
+    assert [tuple(r)[1:] for r in windows] == [(0, 0, 5, 0.0, 120.0), (1, 6, 11, 120.0, 300.0), (2, 12, 15, 300.0, 313.0)]
+
+
+def test_aligned_times(spark):
+    rows = [(1, 0, 1.0, 1.4, -1.0, 9.0, 9.5), (1, 1, 0.5, 0.5, -2.0, 9.0, 9.5), (1, 2, 7.0, 8.0, -9.0, 2.0, 2.2), (1, 3, None, None, None, 3.0, 9.0)]
+    df = spark.createDataFrame(rows, "k int, i int, found0 double, found1 double, score double, given0 double, given1 double")
+    assert [(r.t0, r.t1) for r in seq.aligned_times(df, ["k"], "i", F.lit(4.0)).orderBy("i").collect()] == [(1.0, 1.01), (1.01, 1.06), (2.0, 2.2), (3.0, 4.0)]
+
+
+def test_nearest_above(spark):
+    rng = random.Random(12)
+    levels = [rng.randrange(5) for _ in range(60)]
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(levels)], "b int, i int, n int")
+    got = {r.i: r.parent for r in seq.nearest_above(df, ["b"], "i", "n", 5, "i").collect()}
+    assert got == {i: max((j for j in range(i) if levels[j] < n), default=None) for i, n in enumerate(levels)}
+
+
+def test_medians_and_draws(spark):
+    df = spark.createDataFrame([("a", x) for x in (5, 1, 3, None, 3)] + [("b", 2), ("b", 9)], "k string, v int")
+    assert {r.k: r["median"] for r in cat.upper_median(df, ["k"], "v").collect()} == {"a": 3, "b": 9}
+    lines = spark.range(40).select((F.col("id") % 4).alias("k"), "id")
+    one = {r.k: r.id for r in cat.drawn(lines, ["k"], ["id"], F.col("id") >= 32, 1).collect()}
+    assert all(v >= 32 for v in one.values()) and one == {r.k: r.id for r in cat.drawn(lines.repartition(3), ["k"], ["id"], F.col("id") >= 32, 1).collect()}
+    assert {r.k: r.id for r in cat.drawn(lines, ["k"], ["id"], F.lit(False), 2).collect()} != {r.k: r.id for r in cat.drawn(lines, ["k"], ["id"], F.lit(False), 3).collect()}
+    hits = spark.createDataFrame([("q", 1, True, 100), ("q", 2, True, 10), ("q", 3, False, 1), ("q", 4, True, 0), ("q", 5, True, 90)], "q string, id int, rel boolean, s int")
+    assert {r.id: (r.other, r.expected, r.fragment) for r in cat.judged(hits, ["q"], F.col("rel"), "s").collect()} == {1: (False, 90, False), 2: (False, 90, True), 3: (True, 90, False), 4: (False, 90, False), 5: (False, 90, False)}
+
+
+def test_moving_books(spark):
+    mine = spark.createDataFrame([("1", "a", True), ("", "b", True), ("3", "b-2", True), ("4", "c", False), ("5", "c-9", True)], "id string, slug string, movable boolean")
+    there = spark.createDataFrame([("1", "old"), ("", "b"), ("9", "c")], "id string, slug string")
+    got = {r.slug: (r.outcome, r.target) for r in lib.move_books(mine, there).collect()}
+    assert got == {"a": ("already", "old"), "b": ("moved", "b-2"), "b-2": ("moved", "b-2-2"), "c": ("failed", "c-2"), "c-9": ("moved", "c-9")}
+
+
+def test_maps_in_rows(spark):
+    older = spark.createDataFrame([("b", "e0", 0, 2), ("b", "e0", 1, 9), ("b", "e1", 0, 0), ("c", "e0", 0, 0)], "book string, edition string, place int, value int")
+    newer = spark.createDataFrame([("b", k, v) for k, v in enumerate([5, 6, 7])], "book string, place int, value int")
+    got = sorted(tuple(r) for r in st.lead_on(older, newer, ["book"], F.lit("e1")).select("book", "edition", "place", "value").collect())
+    assert got == [("b", "e0", 0, 7), ("b", "e0", 1, 7), ("b", "e1", 0, 5), ("b", "e1", 1, 6), ("b", "e1", 2, 7)]
+
+
+def test_own_days(spark):
+    day = lambda rows: spark.createDataFrame(rows, "d string, sec double, words int")
+    got = sorted(tuple(r) for r in st.join_own_days(day([("1", 5.0, 1), ("2", None, 3)]), day([("1", 4.0, 9), ("3", 1.0, None)]), ["d"], ["sec", "words"]).collect())
+    assert got == [("1", 5.0, 9), ("2", 0.0, 3), ("3", 1.0, 0)]
+
+
+def test_text_loss(spark):
+    blocks = lambda rows: spark.createDataFrame(rows, "b string, words int, picture string")
+    old = blocks([("x", 100, "p"), ("x", 0, None), ("y", 100, "p"), ("z", 100, None)])
+    new = blocks([("x", 97, None), ("x", 0, "p"), ("y", 100, "q")])
+    assert sorted(tuple(r) for r in lib.text_loss(old, new, ["b"]).collect()) == [("x", 100, 97, 0, False), ("y", 100, 100, 1, True), ("z", 100, 0, 0, True)]
 
 
 def prose(rng, n, vocabulary=400):
@@ -102,7 +155,7 @@ def test_chain_is_the_longest_run():
     for _ in range(50):
         pairs = [(rng.randrange(12), j) for j in range(10)]
         best = max((sum(1 for _ in c) for m in range(1 << 10) for c in [[pairs[k] for k in range(10) if m >> k & 1]] if all(x[0] < y[0] for x, y in zip(c, c[1:]))), default=0)
-        got = al.increasing(pairs, 0)
+        got = [pairs[k] for k in al.longest_rise([i for i, _ in pairs])]
         assert len(got) == best and all(x[0] < y[0] for x, y in zip(got, got[1:]))
 
 
@@ -132,6 +185,24 @@ def test_word_match_and_sentence_map():
     assert al.sentence_map(lines, []) == [0] * 5
 
 
+def test_long_stretches_are_matched_between_fixed_points():
+    """Without common ends, and too long for difflib as a whole."""
+    rng = random.Random(21)
+    common = [f"u{k}" for k in range(0, 1500, 3)]
+    side = lambda tag: [x for k, w in enumerate(common) for x in (w, *(f"{tag}{k}" for _ in range(rng.randrange(4))))]
+    old, new = ["o"] + side("a") + ["p"], ["n"] + side("b") + ["m"]
+    place = al.word_match(old, new)
+    assert [new[m] for m in place if m >= 0] == common
+    assert al.word_match(["a"] * 600, ["b"] * 600) == [-1] * 600 and al.word_match([], ["a"]) == []
+
+
+def test_sentence_map_of_lost_words():
+    old = [["a", "b", "c"], ["x1"], ["x2"], ["x3"], ["d", "e"]]
+    assert al.sentence_map(old, [["a", "b", "c"], ["y"], ["d", "e"]]) == [0, 1, 2, 2, 2]
+    assert al.sentence_map([["q"], ["r"]], [["a"], ["b"], ["c"], ["d"]]) == [0, 2]
+    assert al.sentence_map([[], []], [["a"], ["b"]]) == [1, 1] and al.sentence_map([["a"]], [[], []]) == [1]
+
+
 def test_two_key_dedupe(spark):
     rows = [("q", 1, "A", "X"), ("q", 2, "B", "X"), ("q", 3, "B", "Y"), ("q", 4, "C", None), ("q", 5, "D", None)]
     df = spark.createDataFrame(rows, "q string, pos int, link string, file string")
