@@ -38,6 +38,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def own_checkpoints(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Checkpoints made inside go to a folder of their own, which is deleted at the end: what needs them must be written by then."""
+    context = spark.sparkContext
+    shared = shared_folder(spark)
+    context.setCheckpointDir(folder)
+    try:
+        yield
+    finally:
+        context.setCheckpointDir(shared)
+        remove(spark, folder)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)

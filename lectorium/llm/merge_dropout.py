@@ -332,7 +332,8 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = 1,
 
     The same seed gives the same ids wherever and whenever a row is encoded, as they depend
     on seed, id and text only; rows that repeat are encoded alike. A null id is an id of its
-    own. An empty table gives an empty result.
+    own. Texts of any length are encoded whole. Columns that aren't named are not read,
+    whatever their names. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 

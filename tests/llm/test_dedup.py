@@ -46,6 +46,12 @@ def test_exact_dedup_with_colliding_hashes(spark):
     assert got == brute_exact(EXACT)
 
 
+def test_exact_dedup_of_very_long_texts(spark):
+    rows = [(1, "long text " * 300_000, "s"), (2, "longtext" * 300_000, "s"), (3, "long text " * 300_000 + "!", "s")]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs_of(spark, rows).withColumn("group_size", F.lit("clash"))).collect()}
+    assert got == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True)}
+
+
 def brute_lines(rows, min_sites):
     sites, first = {}, {}
     lines = [(i, k, line, line.strip(" \t\r"), s) for i, t, s in rows if t is not None for k, line in enumerate(t.split("\n"))]

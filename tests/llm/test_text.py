@@ -21,6 +21,13 @@ def docs_of(spark, texts):
 # Merge-dropout
 
 
+def plain_mix(x):
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD % 2**64
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
+    return x ^ x >> 33
+
+
+
 def test_without_dropout_it_is_the_library(spark):
     import sentencepiece
 
@@ -87,6 +94,56 @@ def test_kept_cuts_are_those_of_the_heap():
             assert got.tolist() == [i for c, k in zip(chunks, keys) for i in bpe.one(c, k)]
 
 
+def brute_merges(model, chunk, key, rate):
+    """Merge-dropout by the book: look at all pairs, take the best that is not skipped, again and again."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    pieces = {library.id_to_piece(i): i for i in range(library.get_piece_size()) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))}
+    byte = {int(library.id_to_piece(i)[1:-1], 16): i for i in range(library.get_piece_size()) if library.is_byte(i)}
+    signs = [(k, "▁" if c == " " else c, c == "▁") for k, c in enumerate(chunk)]  # place, letters, whether a sign of the text
+    limit = min(2**64 - 1, int(rate * 2**64))
+    while True:
+        best = None
+        for n, ((k, a, x), (_, b, y)) in enumerate(zip(signs, signs[1:])):
+            i = None if x or y else pieces.get(a + b)
+            if i is not None and not plain_mix((key + (k << 32) + i) % 2**64) < limit:
+                best = min(best or (0.0 + 1e9, 0, 0, 0), (-library.get_score(i), i, k, n), key=lambda c: (c[0], c[1], c[2]))
+        if best is None:
+            break
+        n = best[3]
+        signs[n : n + 2] = [(signs[n][0], signs[n][1] + signs[n + 1][1], False)]
+    out = []
+    for _, letters, sign in signs:
+        out += [pieces[letters]] if letters in pieces and not sign else [byte[b] for b in letters.encode()]
+    return out
+
+
+def test_dropout_against_brute_force():
+    model = vocabulary("piece_bpe_32k.model")
+    rng = random.Random(17)
+    words = ["international", "the", "and", "Ünïcödé", "▁x▁", "a" * 45, "don't,stop!", "中文字"] + ["".join(rng.choice("abcdeinrst,.Éж") for _ in range(rng.randrange(1, 14))) for _ in range(40)]
+    for rate, seed in ((0.0, 1), (0.1, 1), (0.5, 3), (1.0, 2)):
+        bpe = merge_dropout.MergeDropout(model, rate, seed)
+        for doc in (7, -3, None):
+            text = " ".join(rng.choices(words, k=25)) + "\n  end\t"
+            chunks = bpe.chunk.findall(" " + text)
+            start = merge_dropout.xxhash.xxh64_intdigest(str(doc), seed=seed) >> 1
+            want = [i for k, c in enumerate(chunks) for i in brute_merges(model, c, (merge_dropout.xxhash.xxh64_intdigest(c, seed=seed) + plain_mix(k + start)) % 2**64, rate)]
+            assert bpe.encode_batch([(doc, text)])[0].tolist() == want
+
+
+def test_odd_tables_are_encoded(spark):
+    model = vocabulary("piece_bpe_32k.model")
+    rows = [(None, "the same words", 1, 2), (None, "the same words", 1, 2), (4, None, 1, 2), (5, "x" * 300_000, 1, 2), (6, " " * 20_000, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int, _text int")
+    encoded = merge_dropout.encode(docs, model)
+    got = encoded.collect()
+    assert encoded.columns == ["doc_id", "ids"] and len({tuple(r.ids) for r in got if r.doc_id is None}) == 1 and len(got) == 5
+    assert {r.doc_id: r.text for r in merge_dropout.decode(encoded, model).collect()} == {None: "the same words", 4: "", 5: "x" * 300_000, 6: " " * 20_000}
+    assert merge_dropout.encode(docs.limit(0), model).count() == 0 == merge_dropout.decode(encoded.limit(0), model).count()
+
+
 # Packing
 
 
@@ -233,12 +290,6 @@ def test_edited_texts(spark):
 EVERY = imatch.Lexicon(np.array([], np.uint64))  # no term is in it, so all count
 
 
-def plain_mix(x):
-    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD % 2**64
-    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
-    return x ^ x >> 33
-
-
 def brute_fingerprint(text, lexicon):
     """Per level and subset the hash of the sorted terms in it, in whole numbers; ``lexicon`` holds the words."""
     import string
