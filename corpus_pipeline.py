@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.llm import line_dedup, near_dedup, packing, toxicity
-from lectorium.llm.common import checkpoint, few, shared_folder, table
+from lectorium.llm.common import checkpoint, few, own_checkpoints, remove, shared_folder, table
 from lectorium.llm.queries import vocabulary
 
 TOXIC = 0.7
@@ -51,9 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Of what a stage needs only its result is kept, and that until the next one
+    is written; the last result stays, as it is what is returned."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with own_checkpoints(spark, f"{folder}/checkpoints-{name}"):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
