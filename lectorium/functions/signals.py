@@ -1,7 +1,10 @@
-"""Sampled signals: the lag at which one repeats another."""
+"""Sampled signals: windows of recordings, and the lag at which one repeats another."""
 
 from __future__ import annotations
 
+import io
+import wave
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -32,3 +35,33 @@ def lag(new: Column, old: Column, most: int, least_likeness: float = 0.5) -> Col
         return pd.Series([best_lag(x, y, most, least_likeness) for x, y in zip(a, b)], dtype="Int32")
 
     return find(new, old)
+
+
+def wave_window(raw: bytes, start: float, seconds: float, rate: int = 16_000) -> np.ndarray:
+    """A window of a PCM recording of 16 bits, channels averaged, at ``rate`` samples a second, from -1 to 1; shorter where the recording ends."""
+    with wave.open(io.BytesIO(raw)) as sound:
+        if sound.getsampwidth() != 2:
+            raise ValueError("only recordings of 16 bits")
+        own, channels = sound.getframerate(), sound.getnchannels()
+        sound.setpos(min(round(start * own), sound.getnframes()))
+        frames = np.frombuffer(sound.readframes(round(seconds * own)), "<i2").reshape(-1, channels).mean(1) / 32768
+    if own == rate or not len(frames):
+        return frames.astype(np.float32)
+    at = np.arange(round(len(frames) * rate / own)) * own / rate
+    return np.interp(at, np.arange(len(frames)), frames).astype(np.float32)
+
+
+def samples(raw: Column, start: Column, seconds: Column, rate: int = 16_000) -> Column:
+    """``wave_window`` of binary columns; null where a recording can't be read."""
+
+    @F.pandas_udf("array<float>")
+    def of(recordings: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+        def one(recording: bytes | None, a: float, n: float) -> np.ndarray | None:
+            try:
+                return None if recording is None else wave_window(bytes(recording), a, n, rate)
+            except (wave.Error, EOFError, ValueError):
+                return None
+
+        return pd.Series([one(*x) for x in zip(recordings, starts, lengths)])
+
+    return of(raw, start, seconds)

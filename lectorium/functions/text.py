@@ -27,8 +27,9 @@ def normalize_word(word: Column) -> Column:
 
 
 def normal_words(text: Column) -> Column:
-    """The normalised words of a text, empty ones left out."""
-    return F.filter(F.transform(words(text), normalize_word), lambda w: w != "")
+    """The normalised words of a text: as ``normalize_word`` gives them for ``words``, but by one regular expression over the whole text."""
+    even = F.translate(F.lower(F.translate(text, "İ", "i")), "ё", "е")
+    return F.transform(words(even), lambda w: F.translate(w, "-'’", ""))
 
 
 def norm_title(title: Column) -> Column:

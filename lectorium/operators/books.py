@@ -110,6 +110,8 @@ class RichText:
 
     def ranges(self) -> list[tuple[str, int, int]]:
         """Marks as (kind, start, end)."""
+        if not any(self.marks):
+            return []
         found: list[tuple[str, int, int]] = []
         open_at: dict[str, int] = {}
         for i, own in enumerate([*self.marks, frozenset()]):

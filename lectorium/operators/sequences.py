@@ -50,6 +50,16 @@ def crossings(df: DataFrame, by: list[str], order: list[str], value: str, thresh
     return before.where((F.col("prev") < threshold) & (F.col(value) >= threshold) & (F.col(value) - F.col("prev") < most_step))
 
 
+def each_step(df: DataFrame, before: str, count: str, step: int, name: str) -> DataFrame:
+    """A row for each multiple of ``step`` among the numbers that a row stands for: ``count`` of them from ``before`` on.
+
+    What a join of the numbers with the ranges would give, without one.
+    """
+    first, last = F.ceil(F.col(before) / step), F.floor((F.col(before) + F.col(count) - 1) / step)
+    held = df.where((F.col(count) > 0) & (first <= last))
+    return held.withColumn(name, F.explode(F.transform(F.sequence(first.cast("long"), last.cast("long")), lambda k: k * step)))
+
+
 def running_max_only(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value is no less than all before: what a filter that compares with the last row kept leaves."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(START, -1)

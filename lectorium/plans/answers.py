@@ -5,15 +5,22 @@ A search's answer is that for one brand; its rows are the brand's parts in the o
 
 from __future__ import annotations
 
+import io
+import wave
+import zipfile
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import num, styles
+from ..functions import num, signals, styles
 from ..functions import queries as fq
-from ..operators.markup import sniff
+from ..functions.sentences import sentences
+from ..operators.markup import single_member, sniff
 from ..registry import Tables, query
 from ..sources import feeds, files
+from ..streaming.activity import translate_late
 
 
 
@@ -234,14 +241,15 @@ def q_utf16_offsets(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, p_partkey % 3 <> 0 AS slug, p_partkey % 4 NOT IN (0, 1) AS plain_file, p_partkey % 2 = 0 AS own_site, '"' || p_name || '\\"' || chr(92) || chr(92) || 'n\\n' || p_size || '"' AS toml FROM part
+SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_size || '.txt' AS safe_name, p_partkey % 3 <> 0 AS slug, p_partkey % 4 NOT IN (0, 1) AS plain_file, p_partkey % 2 = 0 AS own_site, '"' || p_name || '\\"' || chr(92) || chr(92) || 'n\\n' || p_size || '"' AS toml FROM part
 """)
 def q_name_checks(t: Tables) -> DataFrame:
     slug = F.concat(when((key() % 3 == 0, "../")), F.lit("a-"), digits())
     file = F.concat(when((key() % 4 == 0, "."), (key() % 4 == 1, "x/")), digits(), F.lit(".txt"))
     url = F.concat(F.lit("https://u:p@"), when((key() % 2 == 0, "sub.Own.org"), otherwise="evilown.org"), F.lit(":8/x"))
     written = files.toml_string(F.concat("p_name", F.lit('"\\n\n'), F.col("p_size").cast("string")))
-    return t.part.select("p_partkey", fq.is_slug(slug).alias("slug"), fq.is_plain_file(file).alias("plain_file"), fq.same_site(url, F.lit("own.org")).alias("own_site"), written.alias("toml"))
+    path = F.concat(F.lit("../x\\"), F.lit(". "), F.replace("p_name", F.lit(" "), F.lit("?")), F.lit(":"), F.col("p_size").cast("string"), F.lit(".txt."))
+    return t.part.select("p_partkey", files.safe_name(path).alias("safe_name"), fq.is_slug(slug).alias("slug"), fq.is_plain_file(file).alias("plain_file"), fq.same_site(url, F.lit("own.org")).alias("own_site"), written.alias("toml"))
 
 
 @query("SELECT doc_id, ['html', 'fb2', 'pdf', 'txt', 'epub'][doc_id % 5 + 1] AS kind FROM documents")
@@ -322,3 +330,131 @@ def q_book_json(t: Tables) -> DataFrame:
     c = F.col("c_custkey")
     rows = t.customer.select(c, F.col("c_name").alias("title"), when((c % 2 == 0, "a")).alias("author"), when((c % 3 == 0, F.array("c_nationkey")), otherwise=F.array().cast("array<long>")).alias("tags"), c.alias("n"))
     return files.book_json(rows, ["title", "author", "tags", "n"], keep=("c_custkey",))
+
+
+@query("SELECT user_id, row_number() OVER w - 1 AS pos, event_type AS word, (epoch_us(ts) // 1000 - 1704067200000) / 1000.0 AS t0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type, event_id)")
+def q_caption_events(t: Tables) -> DataFrame:
+    """Timed words written as captions, a segment an hour, and read again."""
+    at = (F.unix_millis(F.col("ts").cast("timestamp")) - 1_704_067_200_000) / 1000.0
+    words = t.events.select("user_id", F.floor(at / 3600).alias("hour"), at.alias("t0"), F.col("event_type").alias("word"))
+    return files.captions(files.caption_events(words, ["user_id"], "hour"), ["user_id"]).select("user_id", "pos", "word", "t0")
+
+
+@query("""
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(round_even(CAST(x AS DOUBLE) * 8000, 0), -32768), 32767) AS BIGINT)) AS v FROM embeddings)
+SELECT vec_id, len(v) - 2 AS n, list_sum(list_transform(v[3:], lambda x: x)) AS total FROM s
+""")
+def q_samples(t: Tables) -> DataFrame:
+    """Recordings of two equal channels, from the third sample on."""
+
+    @F.pandas_udf("binary")
+    def recorded(vectors: pd.Series) -> pd.Series:
+        def one(v: np.ndarray) -> bytes:
+            out = io.BytesIO()
+            with wave.open(out, "wb") as sound:
+                sound.setparams((2, 2, 16_000, 0, "NONE", ""))
+                sound.writeframes(np.repeat(np.rint(np.asarray(v, np.float64) * 8000).clip(-32768, 32767), 2).astype("<i2").tobytes())
+            return out.getvalue()
+
+        return vectors.map(one)
+
+    values = signals.samples(recorded("embedding"), F.lit(2 / 16_000), F.lit(60.0))
+    whole = F.aggregate(values, F.lit(0).cast("long"), lambda total, x: total + F.rint(x * 32768).cast("long"))
+    return t.embeddings.select("vec_id", F.size(values).cast("long").alias("n"), whole.alias("total"))
+
+
+@query("SELECT p_partkey, p_name AS title, p_brand AS author, CAST(p_size AS VARCHAR) AS edition FROM part")
+def q_flat_manifest(t: Tables) -> DataFrame:
+    """Flat manifests, in which a key may come twice and lines may be something else."""
+    line = lambda key, value: F.concat(F.lit(f'{key} = "'), value, F.lit('"\n'))
+    text = F.concat(line("title", F.lit("old")), line("author", F.col("p_brand")), F.lit("bad line\n[table]\nn = 1\n"), line("title", F.col("p_name")), line("edition", F.col("p_size").cast("string")))
+    found = files.flat_manifest(text)
+    return t.part.select("p_partkey", *[F.element_at(found, k).alias(k) for k in ("title", "author", "edition")])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS source, CASE WHEN p_partkey % 4 <> 0 THEN p_size / 4 END AS duration FROM part")
+def q_headers(t: Tables) -> DataFrame:
+    """What the heads of long JSON files say."""
+    head = F.concat(F.lit("{"), when((key() % 3 != 0, F.concat(F.lit('"source": "'), "p_brand", F.lit('", ')))), when((key() % 4 != 0, F.concat(F.lit('"duration" : '), (F.col("p_size") / 4).cast("string"), F.lit(", ")))))
+    whole = F.concat(head, F.lit('"words": ['), F.repeat("p_name", F.lit(200)), F.lit('], "source": "late", "duration": 1}'))
+    return t.part.select("p_partkey", files.header(whole.cast("binary")).alias("h")).select("p_partkey", "h.*")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id % 3 AS device, max(value) AS pos, max(event_id) AS seen FROM events GROUP BY ALL)
+SELECT user_id, device, 'pos' AS key, CAST(floor(pos) AS BIGINT) AS value, CASE WHEN device = 1 THEN 0 ELSE CAST(seen AS DOUBLE) END AS at_ms FROM e WHERE device <> 2 UNION ALL SELECT user_id, device, 'mode', NULL, 0 FROM e WHERE device <> 2
+""")
+def q_state_rows(t: Tables) -> DataFrame:
+    """Keys of devices' states; a time that is no number is none, a key of no value is there, and an unreadable state has none."""
+    rows = t.events.groupBy("user_id", (F.col("event_id") % 3).alias("device")).agg(F.floor(F.max("value")).cast("string").alias("pos"), F.max("event_id").cast("string").alias("at"))
+    at = F.when(F.col("device") == 1, F.concat(F.lit('"'), "at", F.lit('"'))).otherwise(F.col("at"))
+    text = F.when(F.col("device") == 2, "{broken").otherwise(F.concat(F.lit('{"pos": '), "pos", F.lit(', "posAt": '), at, F.lit(', "mode": null, "modeAt": true, "other": 1}')))
+    states = rows.select(F.col("user_id").cast("string").alias("slug"), F.col("device").cast("string").alias("device"), F.try_parse_json(text).alias("state")).withColumn("readable", F.col("state").isNotNull())
+    return files.state_rows(states).select(F.col("slug").cast("long").alias("user_id"), F.col("device").cast("long").alias("device"), "key", F.nullif("value", F.lit("null")).cast("long").alias("value"), "at_ms")
+
+
+@query("SELECT doc_id, text FROM documents")
+def q_single_member(t: Tables) -> DataFrame:
+    """Texts found in archives of one file, in archives."""
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series, depths: pd.Series) -> pd.Series:
+        def one(text: str | None, depth: int) -> bytes | None:
+            raw = None if text is None else text.encode()
+            for _ in range(depth if raw is not None else 0):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("folder/member", raw)
+                raw = out.getvalue()
+            return raw
+
+        return pd.Series([one(*x) for x in zip(texts, depths)])
+
+    @F.pandas_udf("string")
+    def unpacked(files_: pd.Series) -> pd.Series:
+        return files_.map(lambda raw: None if raw is None else single_member(bytes(raw)).decode())
+
+    return t.documents.select("doc_id", unpacked(packed("text", (F.col("doc_id") % 3).cast("int"))).alias("text"))
+
+
+@query(r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '[ 	
+
+]+', ' ', 'g')) AS text FROM pages
+""")
+def q_plain_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", files.plain_text(F.col("html")).alias("text"))
+
+
+@query("SELECT vec_id, vec_id % 5 AS lag, NULL AS of_silence FROM embeddings")
+def q_lag(t: Tables) -> DataFrame:
+    """By how much a signal that begins some samples late comes late."""
+    silence = F.array_repeat(F.lit(0.0), (F.col("vec_id") % 5).cast("int"))
+    own = F.transform("embedding", lambda x: x.cast("double"))
+    late = F.concat(silence, own)
+    padded = F.concat(own, silence)
+    quiet = F.array_repeat(F.lit(0.0), 8)
+    return t.embeddings.select("vec_id", signals.lag(late, padded, 5, 0.3).cast("long").alias("lag"), signals.lag(quiet, own, 5).alias("of_silence"))
+
+
+# Sentences of known ends, some with abbreviations, initials, quotes and numbers inside.
+PIECES = ("Mr. Brown came home at 7.30 today.", "She said «No!» and left…", "See e.g. page 7 of it?", "Он жил там и т. д. всюду!", "Книгу Н. Петрова мы видели.", "Year 1999.")
+
+
+@query(f"SELECT user_id, row_number() OVER w - 1 AS number, [{', '.join(repr(x) for x in PIECES)}][event_id % 6 + 1] AS sentence FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def q_known_sentences(t: Tables) -> DataFrame:
+    piece = F.get(F.array(*map(F.lit, PIECES)), (F.col("event_id") % 6).cast("int"))
+    texts = t.events.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", piece.alias("x")))), lambda x: x["x"]), " ").alias("text"))
+    ranges = texts.select("user_id", "text", F.posexplode(sentences(F.col("text"))).alias("number", "r"))
+    return ranges.select("user_id", "number", F.expr("substring(text, r.s + 1, r.e - r.s)").alias("sentence"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(least(greatest(CAST(trunc(value) AS INTEGER), 0), 9) * 3 AS DOUBLE) WHEN 1 THEN value WHEN 2 THEN value END AS value FROM events WHERE event_id % 4 < 3
+""")
+def q_translate_late(t: Tables) -> DataFrame:
+    """Writes of an older edition carried over, those of the current one and of none left, those of a lost one dropped."""
+    edition = F.get(F.array(F.lit("old"), F.lit("now"), F.lit(None), F.lit("gone")), (F.col("event_id") % 4).cast("int"))
+    writes = t.events.select("event_id", "value", edition.alias("edition"), F.lit("now").alias("now"))
+    editions = t.events.sparkSession.sql("select 'old' as edition, transform(sequence(0, 9), i -> i * 3) as map")
+    return translate_late(writes, editions).select("event_id", "value")

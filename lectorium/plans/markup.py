@@ -69,9 +69,9 @@ def _written(t: Tables, part: list, between: str = "", extra: dict[str, list] |
     return ordered.select("conv_id", *[F.array_join(F.col(f"x.{name}"), between).alias(name) for name in parts])
 
 
-def _shown(blocks: DataFrame) -> DataFrame:
+def _shown(blocks: DataFrame, *more: str) -> DataFrame:
     notes = F.array_join(F.transform("notes", lambda n: F.concat_ws(":", n["pos"].cast("string"), n["note"])), ",")
-    return blocks.select("conv_id", "block", "kind", "chapter", "text", notes.alias("notes"))
+    return blocks.select("conv_id", "block", "kind", "chapter", "text", notes.alias("notes"), *more)
 
 
 def _fb2(t: Tables) -> DataFrame:
@@ -152,29 +152,55 @@ def q_reader_page_notes(t: Tables) -> DataFrame:
     return tm.html_notes(_reader_page(t), "conv_id", "html").select("conv_id", "note", "text")
 
 
-@query(_NOTES)
-def q_html_notes(t: Tables) -> DataFrame:
-    """Footnotes of web pages of no layout: short links to elements further down."""
+def _web_page(t: Tables) -> DataFrame:
+    """Pages of no layout, with chrome around the text and short links to notes further down."""
     text = ["<h2>", F.col("title"), "</h2><p>", _escaped("text"), '<sup><a href="#n', F.col("j"), '">', F.col("j"), "</a></sup></p>"]
     note = ['<p id="n', F.col("j"), '">A note on ', F.col("title"), " (", F.col("j"), ").</p>"]
     texts = _written(t, text, extra={"notes": note})
-    pages = texts.select("conv_id", F.concat(F.lit("<html><body><div>"), "body", "notes", F.lit("</div></body></html>")).alias("html"))
-    return tm.html_notes(pages, "conv_id", "html").select("conv_id", "note", "text")
+    top = F.lit('<html><head><title>x</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><header><p>Name of the site</p></header><div><div>')
+    return texts.select("conv_id", F.concat(top, "body", "notes", F.lit("</div></div><footer><p>All rights reserved</p></footer></body></html>")).alias("html"))
+
+
+@query(_BLOCKS)
+def q_web_blocks(t: Tables) -> DataFrame:
+    """The main part of pages, headings and paragraphs, without what is around it."""
+    return _shown(tm.html_blocks(_web_page(t), "conv_id", "html"))
+
+
+@query(_NOTES)
+def q_html_notes(t: Tables) -> DataFrame:
+    return tm.html_notes(_web_page(t), "conv_id", "html").select("conv_id", "note", "text")
+
+
+# A table of the turns: a row is read as one sentence, a heading as well.
+@query("""
+WITH t AS (SELECT conv_id, turn, role || chr(9) || length(text) AS row FROM conversations),
+b AS (SELECT conv_id, string_agg(row, chr(10) ORDER BY turn) AS text, count(*) AS n FROM t GROUP BY 1)
+SELECT conv_id, 0 AS block, 'title' AS kind, 'All. Turns of it.' AS text, 1 AS n_sentences, 17 AS last_end, 0 AS n_cells, true AS spoken FROM b UNION ALL SELECT conv_id, 1, 'table', text, n, length(text), n * 2, false FROM b
+""")
+def q_fb2_tables(t: Tables) -> DataFrame:
+    row = ["<tr><th>", F.col("role"), "</th><td><p>", F.length("text").cast("string"), "</p></td></tr>"]
+    rows = t.conversations.select("conv_id", "turn", F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in row]).alias("row"))
+    tables = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "row"))), lambda r: r["row"]), "\n").alias("rows"))
+    file = F.concat(F.lit("<FictionBook><body><section><title><p>All. Turns of it.</p></title><table>"), "rows", F.lit("</table></section></body></FictionBook>"))
+    blocks = tm.file_blocks(tables.select("conv_id", file.cast("binary").alias("file")), "conv_id", "file")
+    n_cells = F.aggregate("cells", F.lit(0), lambda n, r: n + F.size(r))
+    return blocks.select("conv_id", "block", "kind", "text", F.size("sentences").alias("n_sentences"), F.array_max(F.transform("sentences", lambda x: x["e"])).alias("last_end"), n_cells.alias("n_cells"), "spoken")
 
 
 def _plain(t: Tables) -> DataFrame:
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    part = ["Chapter ", F.col("j"), "\n\n", flat, "*\n\n* A note on ", F.col("title"), " (", F.col("j"), ").\n\n* * *\n"]
+    part = ["Chapter ", F.col("j"), "\n\n", flat, "*\n\n* A note on ", F.col("title"), " (", F.col("j"), ").\n\n* * *\n\nAfter a break.\n"]
     return _written(t, part, "\n").select("conv_id", F.col("body").alias("text"))
 
 
 @query(_TURNS + """
-SELECT conv_id, 2 * j AS block, 'title' AS kind, j AS chapter, 'Chapter ' || j AS text, '' AS notes FROM t
-UNION ALL SELECT conv_id, 2 * j + 1, 'p', j, text, length(text) || ':n' || (j + 1) FROM t
+SELECT conv_id, 3 * j AS block, 'title' AS kind, j AS chapter, 'Chapter ' || j AS text, '' AS notes, 0 AS gap FROM t
+UNION ALL SELECT conv_id, 3 * j + 1, 'p', j, text, length(text) || ':n' || (j + 1), 0 FROM t UNION ALL SELECT conv_id, 3 * j + 2, 'p', j, 'After a break.', '', 1 FROM t
 """)
 def q_txt_blocks(t: Tables) -> DataFrame:
     """Plain texts with numbered chapters, footnotes by asterisks and scene breaks."""
-    return _shown(tm.txt_blocks(_plain(t), "conv_id", "text"))
+    return _shown(tm.txt_blocks(_plain(t), "conv_id", "text"), "gap")
 
 
 @query(_TURNS + "SELECT conv_id, 'n' || (j + 1) AS note, 'A note on ' || title || ' (' || j || ').' AS text FROM t")

@@ -51,8 +51,11 @@ def q_word_counts(t: Tables) -> DataFrame:
 
 @query(f"SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({normal('text')}) AS w FROM documents) GROUP BY w HAVING count(*) >= 3")
 def q_vocab(t: Tables) -> DataFrame:
-    each = t.documents.select("doc_id", F.explode(normal_words(F.col("text"))).alias("w")).groupBy("w", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    return each.groupBy("w").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs")).where("n >= 3")
+    """Words by occurrences and documents; both are counted in each task before the shuffle, a row a word."""
+    words = t.documents.select(normal_words(F.col("text")).alias("ws"))
+    seen = lambda ws, n, docs: F.transform(ws, lambda w: F.struct(w.alias("w"), F.lit(n).alias("n"), F.lit(docs).alias("docs")))
+    each = words.select(F.inline(F.concat(seen("ws", 1, 0), seen(F.array_distinct("ws"), 0, 1))))
+    return each.groupBy("w").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("n >= 3")
 
 
 @query(_LINES + "SELECT doc_id, block, length(line) AS n_chars, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS number FROM blocks WHERE trim(line) <> ''")
@@ -79,10 +82,8 @@ def q_cum_words(t: Tables) -> DataFrame:
 SELECT q.doc_id, q.word, s.block FROM q JOIN s ON q.doc_id = s.doc_id AND q.word >= s.before AND q.word < s.before + s.n
 """)
 def q_place_of_word(t: Tables) -> DataFrame:
-    cum = _cum(t).where("n > 0")
-    totals = cum.groupBy("doc_id").agg(F.sum("n").alias("n"))
-    asked = totals.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 50).cast("int"))).alias("k")).select("doc_id", (F.col("k") * 50).cast("long").alias("word"), "n").where("word < n").drop("n")
-    return seq.asof(asked, cum.select("doc_id", "before", "block"), ["doc_id"], "word", "before", ["block"])
+    """The block of every fiftieth word."""
+    return seq.each_step(_cum(t), "before", "n", 50, "word").select("doc_id", "word", "block")
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM conversations")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tomllib
 
 import pandas as pd
@@ -53,9 +52,14 @@ def books(spark: SparkSession, path: str) -> DataFrame:
 
 def headers(spark: SparkSession, root: str, name: str, most: int = 300) -> DataFrame:
     """``source`` and ``duration`` from the first bytes of large JSON files."""
-    head = F.decode(F.substring("content", 1, most), "UTF-8")
+    return _files(spark, root, name).select(F.regexp_extract("path", SLUG, 1).alias("slug"), header(F.col("content"), most).alias("h")).select("slug", "h.*")
+
+
+def header(content: Column, most: int = 300) -> Column:
+    """A struct (source, duration) from the first bytes of a JSON file, without reading the rest."""
+    head = F.decode(F.substring(content, 1, most), "UTF-8")
     number = F.regexp_extract(head, r'"duration"\s*:\s*(-?[0-9.]+)', 1).try_cast("double")
-    return _files(spark, root, name).select(F.regexp_extract("path", SLUG, 1).alias("slug"), F.nullif(F.regexp_extract(head, r'"source"\s*:\s*"([^"]*)"', 1), F.lit("")).alias("source"), number.alias("duration"))
+    return F.struct(F.nullif(F.regexp_extract(head, r'"source"\s*:\s*"([^"]*)"', 1), F.lit("")).alias("source"), number.alias("duration"))
 
 
 def device_states(spark: SparkSession, root: str) -> DataFrame:
@@ -70,6 +74,17 @@ def device_states(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def last_good(states: DataFrame, before: DataFrame) -> DataFrame:
+    """Device states as they are, but of an unreadable file what was read of it before; one that never was readable stays so.
+
+    ``before`` is what this gave last time: slug, device, state, readable.
+    """
+    kept = before.where("readable").select("slug", "device", F.col("state").alias("_before"))
+    known = states.join(kept, ["slug", "device"], "left")
+    state = F.when(F.col("readable"), F.col("state")).otherwise(F.col("_before"))
+    return known.select("slug", "device", state.alias("state"), (F.col("readable") | F.col("_before").isNotNull()).alias("readable"), (~F.col("readable")).alias("stale"))
+
+
 def variant_number(state: Column, path: str) -> Column:
     """A number of a VARIANT; booleans and numeric strings are none."""
     kind = F.schema_of_variant(F.try_variant_get(state, path, "variant"))
@@ -115,6 +130,17 @@ def captions(df: DataFrame, by: list[str]) -> DataFrame:
     return said.select(*by, (F.row_number().over(w) - 1).alias("pos"), "word", "t0", end.alias("t1"))
 
 
+def caption_events(words: DataFrame, by: list[str], segment: str) -> DataFrame:
+    """Timed words (word, t0) as caption events, one for each segment: what ``captions`` reads."""
+    ms = lambda c: F.floor(c * 1000 + 0.5).cast("bigint")
+    ordered = F.array_sort(F.collect_list(F.struct("t0", "word")))
+    events = words.groupBy(*by, segment).agg(ordered.alias("_w")).withColumn("_t", ms(F.get("_w", F.lit(0))["t0"]))
+    segs = F.transform("_w", lambda w, k: F.struct(F.when(k == 0, w["word"]).otherwise(F.concat(F.lit(" "), w["word"])).alias("utf8"), (ms(w["t0"]) - F.col("_t")).alias("tOffsetMs")))
+    event = events.select(*by, segment, F.struct(F.col("_t").alias("tStartMs"), segs.alias("segs")).alias("_e"))
+    track = F.array_sort(F.collect_list(F.struct(segment, "_e")))
+    return event.groupBy(*by).agg(F.transform(track, lambda x: x["_e"]).alias("events"))
+
+
 def plain_text(markup: Column) -> Column:
     """Markup as text: tags dropped, the five XML entities decoded, white space even."""
     t = F.regexp_replace(markup, r"(?s)<[^>]*>", " ")
@@ -171,6 +197,7 @@ def landed(spark: SparkSession, root: str, part: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/{part}").parquet(f"{root}/{part}").join(stamps, ["slug", "edition"])
 
 
-def safe_name(name: str) -> str:
-    """The last part of an untrusted path, without what a file name can't hold."""
-    return re.sub(r"[^\w.\- ]", "_", name.replace("\\", "/").rpartition("/")[2]).strip(". ") or "file"
+def safe_name(name: Column) -> Column:
+    """The last part of an untrusted path, without what a file name can't hold; ``file`` if nothing is left."""
+    last = F.regexp_replace(name, r"^.*[/\\]", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(last, r"[^\p{L}\p{N}_.\- ]", "_"), r"^[. ]+|[. ]+$", ""), F.lit("")), F.lit("file"))

@@ -41,6 +41,19 @@ def test_lag(spark):
     assert e.select(signals.lag(F.col("embedding"), F.col("embedding"), 5).alias("l")).distinct().collect()[0].l == 0
 
 
+def test_wave_windows():
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as sound:
+        sound.setparams((2, 2, 8000, 0, "NONE", ""))
+        sound.writeframes(np.stack([np.arange(0, 8000, 2), np.arange(0, 8000, 2) + 8], 1).astype("<i2").tobytes())
+    got = signals.wave_window(out.getvalue(), 0.25, 0.125)
+    assert len(got) == 2000 and abs(got[0] * 32768 - 4004) < 1e-3 and abs(got[1] * 32768 - 4005) < 1e-3
+    assert len(signals.wave_window(out.getvalue(), 0.4, 5.0)) == 1600 and len(signals.wave_window(out.getvalue(), 9.0, 1.0)) == 0
+
+
 def test_query_helpers(spark):
     def values(f, texts):
         return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(f(F.col("t"))).collect()]

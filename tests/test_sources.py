@@ -280,6 +280,11 @@ def test_library_files(spark, tmp_path):
     assert (h.slug, h.source, h.duration) == ("a", "captions", 12.5)
     states = files.device_states(spark, str(tmp_path)).orderBy("slug", "device")
     assert [(r.slug, r.device, r.readable) for r in states.select("slug", "device", "readable").collect()] == [("a", one, True), ("a", two, False)]
+    (tmp_path / "a" / "state" / f"{one}.json").rename(tmp_path / "kept.txt")
+    (tmp_path / "a" / "state" / f"{one}.json").write_text("{broken")
+    now = files.last_good(files.device_states(spark, str(tmp_path)), spark.createDataFrame([("a", one, "{}", True), ("a", two, None, False)], "slug string, device string, state string, readable boolean").withColumn("state", F.try_parse_json("state")))
+    assert sorted((r.device, r.readable, r.stale) for r in now.select("device", "readable", "stale").collect()) == [(one, True, True), (two, False, True)]
+    (tmp_path / "kept.txt").rename(tmp_path / "a" / "state" / f"{one}.json")
     rows = {r.key: (r.value, r.at_ms) for r in files.state_rows(states).collect()}
     assert rows == {"pos": ("5", 10.0), "mode": (rows["mode"][0], 0.0), "shelf": ('"done"', 0.0)}
 
@@ -293,7 +298,8 @@ def test_small_readers(spark):
     assert spark.range(1).select(files.toml_string(F.lit('a"b\\c\nd'))).first()[0] == '"a\\"b\\\\c\\nd"'
     doc = spark.sql("select 't' title, '' author, array() tags, array(1) n")
     assert files.book_json(doc, ["title", "author", "tags", "n"]).first()[0] == '{"title":"t","n":[1]}'
-    assert [files.safe_name(x) for x in ("../../etc/passwd", "a\\b:c.txt", "..")] == ["passwd", "b_c.txt", "file"]
+    names = spark.createDataFrame([("../../etc/passwd",), ("a\\b:c.txt",), ("..",), ("x/",)], "n string").select(files.safe_name(F.col("n"))).collect()
+    assert [r[0] for r in names] == ["passwd", "b_c.txt", "file", "file"]
 
 
 def test_landing(spark, tmp_path):
