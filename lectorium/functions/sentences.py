@@ -10,11 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Abbreviations that don't end a sentence, and those that do before a capital of their script.
-ABBREVIATIONS = frozenset(
-    "т е д г гг стр см им ул св проф др пр тыс млн млрд с гл в вв ст п ч н к изд ок акад англ нем франц фр лат кит греч санскр рис табл прим ред пер ср напр "
-    "сокр букв вып e g i mr mrs dr st vs etc p pp ch vol".split()
-)
-WEAK = frozenset("т е д г с в п ч н к e g i p им кит ок ст гл изд пер ред нем лат англ франц рис букв млн млрд тыс стр др пр".split())
+ABBREVIATIONS = {
+    "т", "е", "д", "г", "гг", "стр", "см", "им", "ул", "св", "проф", "др", "пр", "тыс", "млн", "млрд",
+    "с", "гл", "в", "вв", "ст", "п", "ч", "н", "к", "изд", "ок", "акад", "англ", "нем", "франц", "фр", "лат",
+    "кит", "греч", "санскр", "рис", "табл", "прим", "ред", "пер", "ср", "напр", "сокр", "букв", "вып",
+    "e", "g", "i", "mr", "mrs", "dr", "st", "vs", "etc", "p", "pp", "ch", "vol",
+}
+WEAK = {
+    "т", "е", "д", "г", "с", "в", "п", "ч", "н", "к", "e", "g", "i", "p",
+    "им", "кит", "ок", "ст", "гл", "изд", "пер", "ред", "нем", "лат", "англ", "франц", "рис", "букв",
+    "млн", "млрд", "тыс", "стр", "др", "пр",
+}
 OPENERS = "«\"“'–—-(["
 HEADINGS = frozenset(("title", "subtitle"))
 
