@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import fresh, tidy
 
 FEATURE_BITS = 20
 #: Words whose features a task remembers.
@@ -216,8 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(found["toxic"], found["any"], prior)
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's id, columns ``keep`` and ``score``, the probability that its whole text is toxic.
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """Each row's id, columns ``keep``, the text if asked for, and ``score``, the probability that the whole text is toxic.
 
     A null text counts as empty and gets the score of no features; a text of any length is
     read whole. Rows keep their number, repeated ones and null ids too; columns that aren't
@@ -232,8 +232,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         local, known = ToxicityModel(weights, bias, slope, shift), WordFeatures((weights != 0).tobytes())
         for batch in batches:
             scores = [local.score(document_features(t.as_py(), known)) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
-
-    rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+            columns = batch.columns if with_text else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=names)
+
+    text = fresh(text_col if with_text else "_text", docs.select(F.col(id_col), *keep))
+    rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias(text))
+    fields = rows.schema.fields if with_text else rows.schema.fields[:-1]
+    names = [*(f.name for f in fields), "score"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return rows.mapInArrow(tidy(work), f"{schema}, score double")
