@@ -21,8 +21,11 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below ``TOXIC``, by a model fitted on them and the labels."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return toxicity.score(rows, model, keep=("row",)).where(F.col("score") < TOXIC).select("row.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(True)  # so that the text goes to the workers once
+    scored = toxicity.score(docs.select("doc_id", "text", packed.alias("others")), model, keep=("others",), with_text=True)
+    kept = scored.where(F.col("score") < TOXIC)
+    return kept.select(*[F.col("others")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
