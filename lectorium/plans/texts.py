@@ -199,11 +199,10 @@ def q_word_match(t: Tables) -> DataFrame:
 @query()
 def q_sentence_map(t: Tables) -> DataFrame:
     """Each text against itself without its third line, line by line."""
-    lines = t.documents.where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
-    old = F.transform("l", normal_words)
-    new = F.filter(old, lambda x, i: i != 2)
+    old = t.documents.where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), normal_words).alias("old"))
+    both = old.withColumn("new", F.filter("old", lambda x, i: i != 2))  # from the column: its words are not found twice
     kernel = lambda a, b: list(enumerate(al.sentence_map(a, b)))
-    return al.align_pairs(lines.select("doc_id", old.alias("old"), new.alias("new")), ["doc_id"], "old", "new", kernel, "old_sentence int, new_sentence int")
+    return al.align_pairs(both, ["doc_id"], "old", "new", kernel, "old_sentence int, new_sentence int")
 
 
 @query(_LINES + f"""
