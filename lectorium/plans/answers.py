@@ -287,7 +287,8 @@ def q_css_looks(t: Tables) -> DataFrame:
     elements = t.part.select(
         key().alias("p_partkey"), F.lit(0).alias("id"), when((key() % 4 == 0, "p"), (key() % 4 == 1, "title"), (key() % 4 == 2, "author"), otherwise="verse").alias("kind"), F.array(F.concat(F.lit("k"), (key() % 3).cast("string"))).alias("classes"), F.lit(None).cast("string").alias("style"), (F.col("p_size") % 5).alias("gap")
     ).withColumn("name", when((F.col("kind") == "p", "p"), otherwise="div"))
-    sheets = t.part.select("p_partkey", styles.sheet_rules(css).alias("rules"))
+    written = t.part.select("p_partkey", css.alias("css")).repartition("p_partkey")  # so that a small file's sheets are read by many tasks
+    sheets = written.select("p_partkey", styles.sheet_rules(F.col("css")).alias("rules"))
     own = styles.own_says(elements, sheets, ["p_partkey"], ["id"])
     inherited = F.struct(F.lit("j").alias("a"), F.lit(15).alias("i"))
     return own.select("p_partkey", styles.block_look(F.col("kind"), F.col("own"), inherited, F.col("gap")).alias("x")).select("p_partkey", "x.*")

@@ -26,6 +26,12 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() >= 0
 
 
+def test_css_looks_broadcast_no_rules_and_read_sheets_once(spark):
+    plan = QUERIES["q_css_looks"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # their number is not seen in the size of the table
+    assert plan.count("pythonUDF0") and plan.count("ArrowEvalPython") == 2  # the sheets and the elements' own styles
+
+
 def test_entry(spark):
     import __spark_entry__
 
