@@ -125,9 +125,15 @@ WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHE
 """
 
 
-def _items(t: Tables, format: Column, name: Column, **others: Column) -> DataFrame:
+def _files(t: Tables, format: Column, name: Column, **others: Column) -> DataFrame:
+    """Each order's files in the order that the SQL gives them, a number of line and part; whether ``orders`` has the order says nothing."""
     file = F.struct(name.alias("name"), format.alias("format"), *[c.alias(k) for k, c in others.items()])
-    answers = _answer(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey"], file).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"), "l_orderkey")
+    placed = t.lineitem.withColumn("_place", F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey"))
+    return _answer(placed, "l_orderkey", ["_place"], file)
+
+
+def _items(t: Tables, format: Column, name: Column, **others: Column) -> DataFrame:
+    answers = _files(t, format, name, **others).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"), "l_orderkey")
     meta = F.struct(
         F.col("o_orderpriority").alias("title"), when((F.col("o_custkey") % 2 == 0, "Au Thor"), otherwise=None).alias("creator"), F.concat(F.lit("c"), (1900 + F.col("o_custkey") % 99).cast("string"), F.lit("?")).alias("year"), F.lit("rus").alias("language"),
         when((F.col("l_orderkey") % 3 == 0, " 2 "), otherwise=None).alias("volume"), when((F.col("l_orderkey") % 10 == 1, "true"), otherwise=None).alias("access-restricted-item"),
@@ -162,8 +168,8 @@ def q_sound_files(t: Tables) -> DataFrame:
     name = F.concat(F.lit("t"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), when((F.col("l_partkey") % 5 == 0, ".ogg"), otherwise=".Mp3"))
     minutes, seconds = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
     length = when((F.col("l_linenumber") % 2 == 0, F.concat_ws(":", minutes, seconds)), otherwise=(F.col("l_quantity").cast("int") * 60 + F.col("l_linenumber")).cast("string"))
-    tracks = feeds.sound_files(_items(t, format, name, size=(F.col("l_quantity").cast("long") * 90000).cast("string"), length=length), "l_orderkey")
-    return feeds.totals(tracks, "l_orderkey")
+    answers = _json(_files(t, format, name, size=(F.col("l_quantity").cast("long") * 90000).cast("string"), length=length), "l_orderkey", "files")
+    return feeds.totals(feeds.sound_files(answers, "l_orderkey"), "l_orderkey")
 
 
 @query(_PARTS + "SELECT p_brand, pos, 'yt:' || left(md5(CAST(k AS VARCHAR)), 11) AS ref, CASE WHEN k % 2 = 0 THEN p_type ELSE 'Chan' END AS narrator, p_size * 12 AS duration_s FROM p WHERE p_size >= 25 AND k % 4 <> 1")

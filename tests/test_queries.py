@@ -1,5 +1,6 @@
 """Every query of the library runs, and agrees with its SQL."""
 
+import duckdb
 import pytest
 
 from compare import duck, duck_rows, spark_rows
@@ -32,6 +33,16 @@ def test_css_looks_broadcast_no_rules_and_read_sheets_once(spark):
     assert plan.count("pythonUDF0") and plan.count("ArrowEvalPython") == 2  # the sheets and the elements' own styles
 
 
+def test_sound_files_as_the_sql_orders_them_without_orders(spark, tmp_path):
+    lines = [(1, 1, 1000006), (1, 2, 3), (2, 1, 1), (2, 2, 4)]  # order 1 has two formats with one file each
+    spark.createDataFrame([(o, n, p, 2.0) for o, n, p in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(2, 1, "x"), (2, 1, "x")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = spark_rows(QUERIES["q_sound_files"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert len(rows) == 2 and rows == duck_rows(con, ORACLES["q_sound_files"])[1]
+
+
 def test_entry(spark):
     import __spark_entry__
 
