@@ -39,6 +39,8 @@ MATCHES = 32
 BLOCK = 800
 #: Sets of a posting from which on they are posted anew under their rarest shingles.
 LONG = 4 * BLOCK
+#: Bytes of texts that are cut into words together.
+CHUNK = 1 << 18
 
 _RNG = np.random.default_rng(20)
 _STEPS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,30 +55,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordIds(dict):
-    """64-bit ids of words; forgets them when there are too many."""
+def byte_values(place: np.ndarray) -> np.ndarray:
+    """Random values of bytes at their places in a word (place * 256 + byte)."""
+    return mix((place.astype(np.uint64) + _STEPS[0]) * _FACTORS[0])
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
 
+_INSIDE, _LOWER = np.ones(256, bool), np.arange(256)
+_INSIDE[[0x20, *range(0x09, 0x0E)]] = False
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_VALUES = byte_values(np.arange(64 * 256))
 
-def shingles(text: bytes, ids: WordIds, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``size`` words; fewer words are one shingle.
 
-    Bytes know only A-Z as letters and ``[\\x20\\x09-\\x0D]`` as white space.
+def column_shingles(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Of each text of a binary column the sorted distinct 64-bit hashes of its shingles of ``size`` words; fewer words are one shingle.
+
+    Bytes know only A-Z as letters and ``[\\x20\\x09-\\x0D]`` as white space. Texts are taken together, some
+    ``CHUNK`` bytes at a time: a word's hash is the sum of a random value for each byte at its place in the word.
     """
-    words = text.lower().split()
-    if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    if len(ids) > 250_000:
-        ids.clear()
-    codes = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-    n = len(words) - size + 1
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.array([], np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK, "right")) - 1)
+        yield from _chunk_shingles(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first], size)
+        first = last
+
+
+def _chunk_shingles(data: np.ndarray, ends: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    inside = _INSIDE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    starts = ends[:-1][ends[:-1] < len(data)]
+    begins[starts] = inside[starts]  # a text's first word does not go on from the text before
+    at = np.flatnonzero(inside)
+    heads = np.flatnonzero(begins[at])
+    place = (np.arange(len(at)) - np.repeat(heads, np.diff(heads, append=len(at)))) * 256 + _LOWER[data[at]]
+    values = _VALUES[place] if not len(place) or place.max() < len(_VALUES) else byte_values(place)
+    codes = np.add.reduceat(values, heads) if len(heads) else np.array([], np.uint64)
+    n = max(len(codes) - size + 1, 0)
     total = np.zeros(n, np.uint64)
     for i in range(size):
         total += mix(codes[i : i + n] + _STEPS[i]) * _STEPS[i]
-    return np.unique(mix(total))
+    total = mix(total)
+    words = np.searchsorted(at[heads], ends).tolist()
+    for k in range(len(ends) - 1):
+        a, b = words[k], words[k + 1]
+        if b - a >= size:
+            hashes = np.sort(total[a : b - size + 1])
+            new = np.ones(len(hashes), bool)
+            np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+            yield hashes[new]
+        else:
+            few_words = data[ends[k] : ends[k + 1]].tobytes().lower().split()
+            yield np.array([xxhash.xxh64_intdigest(b" ".join(few_words), seed=b - a)] if few_words else [], np.uint64)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -96,11 +128,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row its id, ``n_shingles``, the 128-bit hash of its set (null if empty) and its signature."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for batch in batches:
             sizes, sets, sigs = [], [], []
-            for text in batch.column(1):
-                hashes = shingles(text.as_py(), ids)
+            for hashes in column_shingles(batch.column(1)):
                 sizes.append(len(hashes))
                 sets.append(xxhash.xxh128_digest(hashes.tobytes()) if len(hashes) else None)
                 sigs.append(signature(hashes).view(np.int64))
@@ -115,9 +145,8 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row its id and its whole set of shingle hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
         for batch in batches:
-            sets = [shingles(text.as_py(), ids).view(np.int64) for text in batch.column(1)]
+            sets = [hashes.view(np.int64) for hashes in column_shingles(batch.column(1))]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.array([], np.int64)))
             yield pa.record_batch([batch.column(0), lists], names=["_id", "_shingles"])

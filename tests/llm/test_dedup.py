@@ -3,7 +3,10 @@
 import hashlib
 import random
 import time
+import timeit
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +216,26 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert line_dedup.line_dedup(empty).count() == 0
     assert near_dedup.near_dedup(empty).count() == 0
+
+
+def test_shingles_of_a_column_are_those_of_its_texts_and_take_little_more_than_the_words():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aAbZ \t\n\x0b\x0c\r\x00\x85\xa0\x1cй.") for _ in range(rng.randint(0, 60))).encode() for _ in range(3000)]
+    texts += [b"", b"x" * 300 + b" " + b"y " * 5, b" a b c d e A B c d e f", b"q w e r t " * 60_000]
+
+    def brute(text: bytes) -> frozenset:
+        words = text.lower().split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+    column = pa.array(texts, pa.binary())
+    found = list(near_dedup.column_shingles(column))
+    for text, hashes in zip(texts, found):
+        assert len(hashes) == len(brute(text)) and (np.diff(hashes.astype(object)) > 0).all()
+    assert len({h.tobytes() for h in found}) == len({brute(t) for t in texts})
+    assert len({int(x) for h in found for x in h}) == len({s for t in texts for s in brute(t)})
+    for kind in (pa.binary(), pa.large_binary()):
+        assert all((x == y).all() for x, y in zip(near_dedup.column_shingles(column.cast(kind).slice(9, 500)), found[9:509]))
+
+    many = [" ".join(rng.choices([f"w{k}" for k in range(50_000)], k=500)).encode() for _ in range(1000)]
+    split = min(timeit.repeat(lambda: [t.lower().split() for t in many], number=1, repeat=3))
+    assert min(timeit.repeat(lambda: list(near_dedup.column_shingles(pa.array(many, pa.binary()))), number=1, repeat=3)) < 12 * split
